@@ -3,9 +3,10 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space of Python's \s (str patterns) and of JavaScript's \s.
-PY_SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-JS_SPACE = r"\x{9}-\x{d}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+# The white space of Python's \s (str patterns) and of JavaScript's \s, as the inside
+# of a pattern class. \p{Z} holds the space separators, the plain space among them.
+PY_SPACE = r"\x{9}-\x{d}\x{1c}-\x{1f}\x{85}\p{Z}"
+JS_SPACE = r"\x{9}-\x{d}\x{feff}\p{Z}"
 
 # Stop list of the top-words chart.
 CHART_STOP_WORDS = (
@@ -18,7 +19,9 @@ CHART_STOP_WORDS = (
 
 def clean_text(text: Column) -> Column:
     """Null becomes empty; runs of white space become one space; ends are stripped."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{PY_SPACE}]+", " "))
+    # A single plain space needs no change, so the pattern passes over it.
+    runs = f"[{PY_SPACE}]{{2,}}|[{PY_SPACE}&&[^ ]]"
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), runs, " "))
 
 
 def strip(text: Column) -> Column:

@@ -8,14 +8,16 @@ from feedbackmill.session import stage
 SALTS = 32
 
 
-def attach(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def attach(
+    df: DataFrame, lookup: DataFrame, on: list[str], spread: list[str], how: str = "inner"
+) -> DataFrame:
     """Join ``df`` to ``lookup``, which has at most one row per key.
 
     The lookup is staged, so its real size is known: below Spark's broadcast threshold it is
     broadcast and ``df`` is not shuffled. Beyond that, a key that holds much of ``df`` is spread
-    over ``SALTS`` reducers, with one copy of its lookup row on each.
+    over ``SALTS`` reducers by the columns ``spread``, with one copy of its lookup row on each.
     """
     small = stage(lookup, "lookup")
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -42,3 +42,14 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based position of each row in its group; ``order`` must be unique in a group."""
     return number_runs(ordered_stage(df, group, order), group, pos).drop("_seq")
+
+
+def with_line_number(
+    df: DataFrame, group: str, order: list[str | Column], pos: str = "pos", line: str = "line_no"
+) -> DataFrame:
+    """Add the position in the group and a number that rises over all rows, with gaps."""
+    numbered = number_runs(ordered_stage(df, group, order), group, pos)
+    in_part = F.col("_seq") - F.shiftleft(F.shiftright("_seq", ROW_BITS), ROW_BITS)
+    longest = numbered.agg(F.coalesce(F.max(in_part), F.lit(0))).first()[0] + 1
+    part = F.shiftright("_seq", ROW_BITS)
+    return numbered.withColumn(line, part * F.lit(longest) + in_part).drop("_seq")

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SALTS = 64
+ROWS_IN_LAST_WINDOW = 4096
 
 
 def top_per_group(
@@ -17,11 +17,12 @@ def top_per_group(
 ) -> DataFrame:
     """First ``n`` rows per group by ``order``; ``spread`` names columns that tell rows apart.
 
-    Each group is first cut to ``n`` rows within ``SALTS`` shares of its rows (Spark limits every
-    map task to ``n`` rows per share before the shuffle), so the last window sees at most
-    ``SALTS * n`` rows of a group, however large the group is.
+    Each group is first cut to ``n`` rows within each of some shares of its rows (Spark limits
+    every map task to ``n`` rows per share before the shuffle), so the last window sees a few
+    thousand rows of a group, however large the group is.
     """
-    share = F.pmod(F.xxhash64(*spread), F.lit(SALTS))
+    shares = min(max(ROWS_IN_LAST_WINDOW // n, 4), 64)
+    share = F.pmod(F.xxhash64(*spread), F.lit(shares))
     in_share = F.row_number().over(W.partitionBy(*group, "_share").orderBy(*order))
     in_group = F.row_number().over(W.partitionBy(*group).orderBy(*order))
     name = rank or "_rank"

@@ -43,7 +43,7 @@ def top_words(
         KEY,
         "id",
         F.size("_firsts").alias("_distinct"),
-        F.posexplode(F.concat("_firsts", "_words")).alias("_at", "word"),
+        F.posexplode_outer(F.concat("_firsts", "_words")).alias("_at", "word"),
     ).where(~F.col("word").isin(*stop_words))
     is_first = F.col("_at") < F.col("_distinct")
     counts = tokens.groupBy(KEY, "word").agg(
@@ -108,7 +108,7 @@ def _collocations(words: DataFrame, forms: DataFrame, group: list[str], stop, pl
         " p -> p.second is not null)"
     )
     pairs = (
-        words.select(*group, F.inline(neighbours))
+        words.select(*group, F.inline_outer(neighbours))
         .where(~F.col("first").isin(*stop) & ~F.col("second").isin(*stop))
         .groupBy(*group, F.concat_ws(" ", "first", "second").alias("term"))
         .agg(F.count("*").alias("n"))
@@ -130,7 +130,7 @@ def _collocations(words: DataFrame, forms: DataFrame, group: list[str], stop, pl
     unigrams = _sum_by(forms, group, "standard")
     totals = unigrams.groupBy(*group).agg(F.sum("n").alias("total"))
     score = collocation_score(F.col("n"), F.col("n_first"), F.col("n_second"), F.col("total"))
-    kept = attach(scored, totals, group).where(score > COLLOCATION_THRESHOLD)
+    kept = attach(scored, totals, group, spread=["term"]).where(score > COLLOCATION_THRESHOLD)
     changes = kept.select(*group, F.inline(F.array(
         F.struct("term", "n"),
         F.struct(F.col("first_term").alias("term"), (-F.col("n")).alias("n")),
@@ -155,7 +155,7 @@ def term_frequencies(
         *group, _cloud_words(F.col("review_text")).alias("_words")
     )
     counts = (
-        words.select(*group, F.explode("_words").alias("term"))
+        words.select(*group, F.explode_outer("_words").alias("term"))
         .where(~F.col("term").isin(*stop_words))
         .groupBy(*group, "term")
         .agg(F.count("*").alias("n"))

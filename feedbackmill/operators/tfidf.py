@@ -25,7 +25,7 @@ def with_text(reviews: DataFrame) -> DataFrame:
 def term_counts(reviews: DataFrame, stop_words: list[str]) -> DataFrame:
     """How often each review holds each term (business_url, id, term, tf)."""
     tokens = with_text(reviews).select(
-        KEY, "id", F.explode(feature_tokens(F.col("review_text"))).alias("term")
+        KEY, "id", F.explode_outer(feature_tokens(F.col("review_text"))).alias("term")
     )
     return (
         tokens.where(~F.col("term").isin(*stop_words))
@@ -68,7 +68,7 @@ def tfidf_terms(
 
 def tfidf_weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Weight of each vocabulary term in each review, scaled to length 1 per review."""
-    kept = attach(counts, vocab.select(KEY, "term", "slot", "idf"), [KEY, "term"])
+    kept = attach(counts, vocab.select(KEY, "term", "slot", "idf"), [KEY, "term"], spread=["id"])
     raw = kept.withColumn("weight", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy(KEY, "id")))
     return raw.select(KEY, "id", "term", "slot", "tf", (F.col("weight") / norm).alias("weight"))

@@ -21,7 +21,7 @@ from feedbackmill.operators import dashboard, runs, samples, sentiment, terms, t
 from feedbackmill.operators.positions import with_position
 from feedbackmill.sources.pages import Selectors, page_items
 from feedbackmill.sources.records import parse_records, prefer
-from feedbackmill.sources.sample_tables import sample_reviews, table
+from feedbackmill.sources.sample_tables import sample_reviews, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -323,20 +323,20 @@ def page_links(spark, sf_dir):
         container="li", user_name="a", rating=".stars", date=".when", review_text="a",
         attributes={"user_name": "href", "rating": "aria-label"},
     )
-    return page_items(table(spark, sf_dir, "pages"), selectors)
+    return page_items(texts(spark, sf_dir, "pages", "page_id"), selectors)
 
 
 @query
 def page_items_capped(spark, sf_dir):
     selectors = Selectors(container="li", review_text="a")
-    return page_items(table(spark, sf_dir, "pages"), selectors, max_items=3)
+    return page_items(texts(spark, sf_dir, "pages", "page_id"), selectors, max_items=3)
 
 
 @query
 def page_ads(spark, sf_dir):
     """Text of the block with class ``ad`` inside the body of every page."""
     selectors = Selectors(container="body", review_text="div.ad")
-    return page_items(table(spark, sf_dir, "pages"), selectors)
+    return page_items(texts(spark, sf_dir, "pages", "page_id"), selectors)
 
 
 @query
@@ -345,7 +345,7 @@ def source_precedence(spark, sf_dir):
     rows = sample_reviews(spark, sf_dir, "id", KEY, "sentiment", "review_text")
     structured = (F.col("sentiment") == "Negative") & (F.length("review_text") > 4000)
     primary = rows.where(structured).select(KEY, "id", F.lit("structured").alias("origin"))
-    return prefer(primary, rows.select(KEY, "id", F.lit("page").alias("origin")))
+    return prefer(primary, rows.select(KEY, "id", F.lit("page").alias("origin")), ["id"])
 
 
 @query

@@ -17,7 +17,10 @@ def parse_records(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return rows.where(F.col("_item").isNotNull()).select(*kept, "item_pos", "_item.*")
 
 
-def prefer(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Rows of ``primary``, and rows of ``fallback`` for the datasets ``primary`` does not have."""
+def prefer(primary: DataFrame, fallback: DataFrame, spread: list[str]) -> DataFrame:
+    """Rows of ``primary``, and rows of ``fallback`` for the datasets ``primary`` does not have.
+
+    ``spread`` names columns that tell the rows of a dataset apart.
+    """
     covered = primary.select(KEY).distinct()
-    return primary.unionByName(attach(fallback, covered, [KEY], "left_anti"))
+    return primary.unionByName(attach(fallback, covered, [KEY], spread, "left_anti"))

@@ -14,9 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table with long texts, spread over the cores when it has fewer scan tasks than cores."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def sample_reviews(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The asked columns of ``reviews``; a table that supplies none of them is not read."""
-    out = table(spark, sf_dir, "documents").select(
+    if "review_text" in columns:
+        documents = texts(spark, sf_dir, "documents", "doc_id")
+    else:
+        documents = table(spark, sf_dir, "documents")
+    out = documents.select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("business_url"),
         F.col("text").alias("review_text"),
