@@ -8,12 +8,14 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedbackmill import schemas
 from feedbackmill.operators.dashboard import KEY
 from feedbackmill.operators.runs import latest_status
 from feedbackmill.schemas import NOT_FOUND
 
+PARTITION = T.StructField("dataset_id", T.StringType())
 SCHEMAS = {
     "reviews": schemas.REVIEWS,
     "aspect_sentiments": schemas.ASPECT_SENTIMENTS,
@@ -40,7 +42,7 @@ class ReviewStore:
         """A whole table, or one dataset of it by partition pruning."""
         schema = SCHEMAS[table]
         names = [f.name for f in schema]
-        stored = schema if table == "dataset_runs" else schema.add("dataset_id", "string")
+        stored = schema if table == "dataset_runs" else T.StructType([*schema, PARTITION])
         try:
             rows = self.spark.read.schema(stored).parquet(self.path(table))
         except AnalysisException as e:

@@ -53,6 +53,12 @@ def column_places(headers: DataFrame) -> DataFrame:
     return headers.select("file_path", *places, _last_place(names, dated).alias("date"))
 
 
+def _file_name() -> Column:
+    """Name of the scanned file; Spark gives it URL-encoded, with plus signs as they are."""
+    encoded = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded).alias("file_name")
+
+
 def _raw_rows(spark: SparkSession, paths: list[str], multi_line: bool) -> DataFrame:
     """Every record of every file, header records included, as (file, block, order, fields)."""
     headers = stage(read_headers(spark, paths), "headers")
@@ -68,7 +74,7 @@ def _raw_rows(spark: SparkSession, paths: list[str], multi_line: bool) -> DataFr
         .csv(paths)
         .select(
             F.col("_metadata.file_path").alias("file_path"),
-            F.col("_metadata.file_name").alias("file_name"),
+            _file_name(),
             F.col("_metadata.file_modification_time").alias("file_time"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_seq"),
@@ -112,18 +118,6 @@ def _number_records(rows: DataFrame) -> DataFrame:
     )
 
 
-def _blank_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of no bytes, in the form :func:`dataset_keys` reads; only the listing is used."""
-    files = spark.read.format("binaryFile").load(paths).where(F.col("length") == 0)
-    return files.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_modification_time").alias("file_time"),
-        F.lit(None).cast("string").alias("title"),
-        F.lit(None).cast("long").alias("pos"),
-    )
-
-
 def dataset_keys(records: DataFrame) -> DataFrame:
     """One dataset per file: its last title that is not empty, else its name, else a default."""
     titled = (F.col("pos") >= 0) & (F.col("title") != "")
@@ -153,13 +147,13 @@ def read_review_csv(
     """Reviews in the files and the datasets they belong to.
 
     Returns (business_url, pos, line_no, user_name, rating, date, review_text) and
-    (business_url, file_path); a dataset may have no rows. ``multi_line=False`` lets Spark split
-    large files, for files known to hold no line break inside a field.
+    (business_url, file_path); a file with only a header gives a dataset without rows, and one of
+    no bytes is skipped by Spark. ``multi_line=False`` lets Spark split large files, for files
+    known to hold no line break inside a field.
     """
     staged = stage(_raw_rows(spark, paths, multi_line), "csv")
     records = _number_records(staged)
-    keys = dataset_keys(records).unionByName(dataset_keys(_blank_files(spark, paths)))
-    datasets = stage(latest_files(keys), "datasets")
+    datasets = stage(latest_files(dataset_keys(records)), "datasets")
     rows = records.where(F.col("pos") >= 0)
     if max_rows is not None:
         rows = rows.where(F.col("pos") < max_rows)
