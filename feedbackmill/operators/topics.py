@@ -258,6 +258,9 @@ def cluster_reviews(
         F.lit(NO_TOPIC).alias("cluster_label"),
     )
 
+    if sizes.where(F.col("docs") >= MIN_TEXTS).isEmpty():
+        return few
+
     counts = term_counts(reviews, stop)
     vocab = stage(vocabulary(counts, reviews, max_features), "vocabulary")
     large = sizes.where(F.col("docs") >= MIN_TEXTS).join(

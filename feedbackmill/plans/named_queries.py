@@ -1,11 +1,12 @@
 """Named queries over the sample tables, one per operator; the entry module registers them."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedbackmill.functions.dates import fill_unknown_date, normalize_date
+from feedbackmill.functions.dates import fill_unknown_date, month_period, normalize_date
 from feedbackmill.functions.labels import (
     name_or_unknown,
     parse_sentiments,
@@ -17,8 +18,14 @@ from feedbackmill.functions.labels import (
 from feedbackmill.functions.ratings import parse_rating, rating_bucket
 from feedbackmill.functions.text import chart_tokens, clean_text, utf16_length
 from feedbackmill.operators import aspects as asp
-from feedbackmill.operators import dashboard, runs, samples, sentiment, terms, tfidf
+from feedbackmill.operators import dashboard, runs, samples, sentiment, terms, tfidf, topics
 from feedbackmill.operators.positions import with_position
+from feedbackmill.plans import adhoc
+from feedbackmill.schemas import UNKNOWN
+from feedbackmill.session import shared_dir
+from feedbackmill.sinks.csv_export import export_csv
+from feedbackmill.sinks.store import ReviewStore
+from feedbackmill.sources import csv_files
 from feedbackmill.sources.pages import Selectors, page_items
 from feedbackmill.sources.records import parse_records, prefer
 from feedbackmill.sources.sample_tables import sample_reviews, table, texts
@@ -241,6 +248,19 @@ def synthetic_dates(spark, sf_dir):
     return placed.select("id", fill_unknown_date(F.col("date"), F.col("pos"), as_of()).alias("date"))
 
 
+@query
+def month_periods(spark, sf_dir):
+    """Months of dates written in the forms a source may hold."""
+    day = F.col("o_orderdate")
+    forms = [
+        F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "M/d/yyyy"),
+        F.date_format(day, "yyyy/MM/dd"), F.date_format(day, "yyyy-MM-dd't'HH:mm:ss'z'"),
+        F.lit(UNKNOWN), F.lit("31-31-31"), F.lit(None).cast("string"),
+    ]
+    date = F.get(F.array(*forms), F.pmod("o_custkey", F.lit(len(forms))).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", month_period(date).alias("period"))
+
+
 @query
 def title_labels(spark, sf_dir):
     words = F.array(F.lower("lang"), F.lower("source"), F.lit("pizza crust"))
@@ -397,6 +417,110 @@ def review_records(spark, sf_dir):
     return rows.select("id", record_json("id", KEY, "sentiment").alias("record"))
 
 
+@query
+def dataset_key(spark, sf_dir):
+    """Datasets of files: the last title a file holds, else its name."""
+    rows = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("/in/"), "source", F.lit(".csv")).alias("file_path"),
+        F.concat("source", F.lit(".csv")).alias("file_name"),
+        F.lit(None).cast("timestamp").alias("file_time"),
+        F.col("doc_id").alias("pos"),
+        F.when(F.col("n_chars") > 9000, F.concat("lang", F.lit(" shop "), "doc_id"))
+        .when(F.col("n_chars") > 2000, "").alias("title"),
+    )
+    return csv_files.dataset_keys(rows).drop("file_time")
+
+
+@query
+def uploaded_csv(spark, sf_dir):
+    """Documents written as CSV files of 500 rows with line breaks and quotes, read as uploads."""
+    folder = f"{shared_dir(spark)}/upload-{uuid.uuid4().hex}"
+    part = F.expr("doc_id div 500")
+    rows = table(spark, sf_dir, "documents").select(
+        part.alias("part"),
+        F.concat(F.lit("d"), "doc_id").alias(" Name"),
+        F.col("text").alias("TEXT"),
+        F.concat(F.pmod("doc_id", F.lit(6)).cast("string"), F.lit(".5")).alias("Stars"),
+        F.lit("2 weeks ago").alias("Posted Time"),
+        F.concat(F.lit("upload "), part).alias("title"),
+        "doc_id",
+    )
+    (
+        rows.repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id")
+        .write.partitionBy("part").option("header", True).option("quoteAll", True)
+        .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False).csv(folder)
+    )
+    reviews, _ = csv_files.read_review_csv(spark, [folder])
+    return reviews.drop("line_no").withColumn("review_text", F.md5("review_text"))
+
+
+@query
+def replaced_reviews(spark, sf_dir):
+    """A store filled with all reviews, then with new rows for one business."""
+    store = ReviewStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    columns = ("id", KEY, "user_name", "rating", "date", "review_text", "sentiment")
+    rows = sample_reviews(spark, sf_dir, *columns)
+    store.replace("reviews", rows, rows.select(KEY).distinct())
+    new = rows.where((F.col(KEY) == "src3") & (F.col("sentiment") == "Negative"))
+    store.replace("reviews", new, rows.select(KEY).distinct().where(F.col(KEY) == "src3"))
+    return store.read("reviews").withColumn("review_text", F.md5("review_text"))
+
+
+@query
+def exported_csv(spark, sf_dir):
+    """Lines of the CSV export without its header."""
+    folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    export_csv(sample_reviews(spark, sf_dir, "id", KEY, "rating", "sentiment"), folder)
+    return spark.read.text(folder).where(~F.startswith("value", F.lit('"id"')))
+
+
+# SQL of the caller
+
+
+def _views(sf_dir):
+    def load(session):
+        reviews = sample_reviews(
+            session, sf_dir, "id", KEY, "user_name", "rating", "date", "review_text", "sentiment"
+        )
+        return {"reviews": reviews, "aspect_sentiments": _aspects(session, sf_dir)}
+
+    return load
+
+
+@query
+def adhoc_sql(spark, sf_dir):
+    session = adhoc.scoped_session(spark, _views(sf_dir))
+    return adhoc.run_query(
+        session,
+        "SELECT sentiment, COUNT(*) AS n, AVG(rating) AS avg_rating FROM reviews"
+        " GROUP BY sentiment",
+    )
+
+
+@query
+def scoped_sql(spark, sf_dir):
+    """A join that names no business, run in the scope of one."""
+    session = adhoc.scoped_session(spark, _views(sf_dir), "src7")
+    return adhoc.run_query(
+        session,
+        "SELECT a.aspect, r.sentiment, COUNT(*) AS n FROM reviews r"
+        " JOIN aspect_sentiments a ON a.review_id = r.id GROUP BY a.aspect, r.sentiment",
+    )
+
+
+@query
+def chart_axes(spark, sf_dir):
+    session = adhoc.scoped_session(spark, _views(sf_dir), "src7")
+    result = adhoc.answer(
+        session,
+        "SELECT substr(date, 1, 4) AS year, COUNT(*) AS reviews, AVG(rating) AS rating"
+        " FROM reviews GROUP BY 1 ORDER BY 1",
+        needs_graph=True, chart_type="line", x_label="year", y_label="reviews",
+    )
+    return result.chart.points
+
+
 # Sentiment and topics
 
 
@@ -431,3 +555,18 @@ def tfidf_weights(spark, sf_dir):
     counts = tfidf.term_counts(rows, list(terms.CLOUD_STOP_WORDS))
     out = tfidf.tfidf_weights(counts, tfidf.vocabulary(counts, rows))
     return out.select(KEY, "id", "term", F.round("weight", 8).alias("weight"))
+
+
+def _clusters(spark, sf_dir):
+    rows = sample_reviews(spark, sf_dir, KEY, "id", "review_text")
+    return topics.cluster_reviews(rows)
+
+
+@query
+def review_clusters(spark, sf_dir):
+    return _clusters(spark, sf_dir)
+
+
+@query
+def cluster_labels(spark, sf_dir):
+    return topics.cluster_sizes(_clusters(spark, sf_dir))

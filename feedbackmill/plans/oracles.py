@@ -449,5 +449,43 @@ raw as (
 select business_url, id, term,
   round(w / sqrt(sum(w * w) over (partition by business_url, id)), 8) as weight
 from raw
+""",
+    "month_periods": """
+select o_orderkey, case when o_custkey % 7 < 4 then strftime(o_orderdate, '%Y-%m')
+  else 'Unknown' end as period
+from orders
+""",
+    "dataset_key": """
+select '/in/' || source || '.csv' as file_path, coalesce(
+  arg_max(lang || ' shop ' || doc_id, doc_id) filter (n_chars > 9000), source || '.csv')
+  as business_url
+from documents group by source
+""",
+    "uploaded_csv": """
+select 'upload ' || (doc_id // 500) as business_url,
+  row_number() over (partition by doc_id // 500 order by doc_id) - 1 as pos,
+  'd' || doc_id as user_name, doc_id % 6 + 0.5::double as rating, '2 weeks ago' as date,
+  md5(text) as review_text
+from documents
+""",
+    "replaced_reviews": REVIEWS + """
+select id, business_url, user_name, rating, date, md5(review_text) as review_text, sentiment
+from reviews where business_url <> 'src3' or sentiment = 'Negative'
+""",
+    "exported_csv": REVIEWS + """
+select '"' || id || '","' || business_url || '","'
+  || regexp_replace(cast(rating as varchar), '[.]0$', '') || '","'
+  || coalesce(sentiment, 'null') || '"' as value
+from reviews
+""",
+    "adhoc_sql": REVIEWS + """
+select sentiment, count(*) as n, avg(rating) as avg_rating from reviews group by sentiment
+""",
+    "scoped_sql": REVIEWS + ASPECTS + """
+select a.aspect, r.sentiment, count(*) as n
+from reviews r join aspects a on a.review_id = r.id and r.business_url = 'src7' group by all
+""",
+    "chart_axes": REVIEWS + """
+select substr(date, 1, 4) as x, count(*) as y from reviews where business_url = 'src7' group by 1
 """,
 }
