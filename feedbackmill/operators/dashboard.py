@@ -1,8 +1,7 @@
 """Dashboard aggregates, for every business at once.
 
 All charts that group by sentiment or rating bucket come from one wide aggregation per business.
-Labels and buckets are fixed, so they are conditional counts: no join is needed to fill zeros,
-and a chart that selects some of the counts has the others pruned from its plan.
+Labels and buckets are fixed, so they are conditional counts: no join is needed to fill zeros.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +23,11 @@ def _long(wide: DataFrame, rows: list[list[Column]], names: list[str]) -> DataFr
     return wide.select(KEY, F.inline(F.array(*entries)))
 
 
-def dashboard_totals(reviews: DataFrame) -> DataFrame:
-    """One row per business with every count and mean of the dashboard charts."""
+CHARTS = ("sentiment", "rating", "sentiment_rating", "rating_length", "cross")
+
+
+def dashboard_totals(reviews: DataFrame, *charts: str) -> DataFrame:
+    """One row per business with the counts and means of the asked charts, all unless named."""
     rows = reviews.select(
         KEY,
         sentiment_or_neutral(F.col("sentiment")).alias("sentiment"),
@@ -33,18 +35,23 @@ def dashboard_totals(reviews: DataFrame) -> DataFrame:
         rating_or_zero(F.col("rating")).alias("rating"),
         utf16_length(F.col("review_text")).alias("length"),
     )
-    aggs = [F.count("*").alias("n")]
-    for s in SENTIMENTS:
-        match = F.col("sentiment") == s
-        aggs.append(F.count_if(match).alias(f"n_{s}"))
-        aggs.append(F.avg(F.when(match, F.col("rating"))).alias(f"rating_{s}"))
-    for b in BUCKETS:
-        in_bucket = F.col("bucket") == b
-        aggs.append(F.count_if(in_bucket).alias(f"n_{b}"))
-        aggs.append(F.avg(F.when(in_bucket, F.col("length"))).alias(f"length_{b}"))
-        for s in SENTIMENTS:
-            aggs.append(F.count_if(in_bucket & (F.col("sentiment") == s)).alias(f"n_{s}_{b}"))
-    return rows.groupBy(KEY).agg(*aggs)
+    labelled = {s: F.col("sentiment") == s for s in SENTIMENTS}
+    rated = {b: F.col("bucket") == b for b in BUCKETS}
+    aggs = {
+        "sentiment": lambda: [F.count_if(c).alias(f"n_{s}") for s, c in labelled.items()],
+        "rating": lambda: [F.count_if(c).alias(f"n_{b}") for b, c in rated.items()],
+        "sentiment_rating": lambda: [
+            F.avg(F.when(c, F.col("rating"))).alias(f"rating_{s}") for s, c in labelled.items()
+        ],
+        "rating_length": lambda: [
+            F.avg(F.when(c, F.col("length"))).alias(f"length_{b}") for b, c in rated.items()
+        ],
+        "cross": lambda: [
+            F.count_if(cs & cb).alias(f"n_{s}_{b}")
+            for s, cs in labelled.items() for b, cb in rated.items()
+        ],
+    }
+    return rows.groupBy(KEY).agg(*[a for chart in charts or CHARTS for a in aggs[chart]()])
 
 
 def sentiment_breakdown(totals: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """Words and terms: the top-words chart and the term counts behind the two word clouds."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedbackmill.functions.text import CHART_STOP_WORDS, chart_words, cloud_tokens
@@ -66,18 +65,43 @@ def _cloud_words(text: Column) -> Column:
     return F.filter(bare, lambda t: ~((t < "a") | (t > "{")) | ~t.rlike(r"^\p{N}+$"))
 
 
-def _standard_forms(counts: DataFrame, group: list[str]) -> DataFrame:
-    """Add ``standard``: the singular of a plural in -s (not -ss) where the group has both."""
-    ends = F.col("term").endswith("s") & ~F.col("term").endswith("ss")
-    singular = F.when(ends, F.expr("substring(term, 1, length(term) - 1)"))
-    known = counts.select(*group, F.col("term").alias("_singular"), F.lit(True).alias("_known"))
-    joined = counts.withColumn("_singular", singular).join(known, [*group, "_singular"], "left")
-    standard = F.when(F.col("_known"), F.col("_singular")).otherwise(F.col("term"))
-    return joined.select(*counts.columns, standard.alias("standard"))
+def _count_terms(terms: DataFrame, group: list[str], merge_plurals: bool) -> DataFrame:
+    """Occurrences of each stem as itself (``n_stem``) and with a plural s (``n_plural``).
+
+    The stem of a word in -s (not -ss) is the word without it. A stem never ends in s itself, so
+    a singular and its plural, and no others, share a stem: one grouping finds both.
+    """
+    term, stem = F.col("term"), F.col("term")
+    if merge_plurals:
+        plural = F.endswith(term, F.lit("s")) & ~F.endswith(term, F.lit("ss"))
+        cut = F.substring(term, F.lit(1), F.length(term) - 1)
+        stem = F.when(plural, cut).otherwise(term)
+    stems = terms.select(*group, stem.alias("stem"), (stem != term).alias("_plural"))
+    return stems.groupBy(*group, "stem").agg(
+        F.count_if(~F.col("_plural")).alias("n_stem"), F.count_if("_plural").alias("n_plural")
+    )
+
+
+def _standard_term() -> Column:
+    """The singular where it occurs, else the plural."""
+    return F.when(F.col("n_stem") > 0, F.col("stem")).otherwise(F.concat("stem", F.lit("s")))
+
+
+def _totals(counts: DataFrame, group: list[str]) -> DataFrame:
+    total = F.col("n_stem") + F.col("n_plural")
+    return counts.select(*group, _standard_term().alias("term"), total.alias("n"))
 
 
-def _sum_by(df: DataFrame, group: list[str], term: str) -> DataFrame:
-    return df.groupBy(*group, F.col(term).alias("term")).agg(F.sum("n").alias("n"))
+def _written_forms(counts: DataFrame, group: list[str]) -> DataFrame:
+    """Each word as written with its standard term and that term's count."""
+    plural = F.when(F.col("n_plural") > 0, F.concat("stem", F.lit("s")))
+    written = F.array_compact(F.array(F.when(F.col("n_stem") > 0, F.col("stem")), plural))
+    return counts.select(
+        *group,
+        F.explode(written).alias("form"),
+        _standard_term().alias("term"),
+        (F.col("n_stem") + F.col("n_plural")).alias("n"),
+    )
 
 
 def _log_likelihood(k: Column, n: Column, x: Column) -> Column:
@@ -97,46 +121,37 @@ def collocation_score(pair: Column, first: Column, second: Column, total: Column
     return -2 * (independent - dependent)
 
 
-def _collocations(words: DataFrame, forms: DataFrame, group: list[str], stop, plurals) -> DataFrame:
-    """Terms per group when pairs that occur together more than by chance count as one term.
-
-    ``forms`` has each word as written, its standard form and the counts of both.
-    """
-    neighbours = F.expr(
-        "filter(transform(sequence(0, greatest(size(_words) - 2, 0)),"
-        " i -> struct(get(_words, i) as first, get(_words, i + 1) as second)),"
-        " p -> p.second is not null)"
-    )
-    pairs = (
-        words.select(*group, F.inline_outer(neighbours))
-        .where(~F.col("first").isin(*stop) & ~F.col("second").isin(*stop))
-        .groupBy(*group, F.concat_ws(" ", "first", "second").alias("term"))
-        .agg(F.count("*").alias("n"))
+def _collocations(
+    words: DataFrame, counts: DataFrame, group: list[str], stop: tuple[str, ...], plurals: bool
+) -> DataFrame:
+    """Terms per group when pairs that occur together more than by chance count as one term."""
+    following = words.withColumn("_following", F.slice("_words", F.lit(2), F.size("_words")))
+    neighbours = following.select(*group, F.inline_outer(F.arrays_zip("_words", "_following")))
+    kept = ~F.col("_words").isin(*stop) & ~F.col("_following").isin(*stop)
+    pairs = neighbours.where(kept).select(
+        *group, F.concat_ws(" ", "_words", "_following").alias("term")
     )
-    if plurals:
-        pairs = _sum_by(_standard_forms(pairs, group), group, "standard")
-    pairs = pairs.withColumn("first", F.substring_index("term", " ", 1)).withColumn(
-        "second", F.substring_index("term", " ", -1)
+    pairs = _totals(_count_terms(pairs, group, plurals), group).select(
+        "*",
+        F.substring_index("term", " ", 1).alias("first"),
+        F.substring_index("term", " ", -1).alias("second"),
     )
+    unigrams, forms = _totals(counts, group), _written_forms(counts, group)
+
     def side(name: str) -> DataFrame:
-        return forms.select(
-            *group,
-            F.col("term").alias(name),
-            F.col("standard").alias(f"{name}_term"),
-            F.col("n_standard").alias(f"n_{name}"),
-        )
+        return forms.withColumnsRenamed({"form": name, "term": f"{name}_term", "n": f"n_{name}"})
 
     scored = pairs.join(side("first"), [*group, "first"]).join(side("second"), [*group, "second"])
-    unigrams = _sum_by(forms, group, "standard")
     totals = unigrams.groupBy(*group).agg(F.sum("n").alias("total"))
     score = collocation_score(F.col("n"), F.col("n_first"), F.col("n_second"), F.col("total"))
-    kept = attach(scored, totals, group, spread=["term"]).where(score > COLLOCATION_THRESHOLD)
-    changes = kept.select(*group, F.inline(F.array(
+    found = attach(scored, totals, group, spread=["term"]).where(score > COLLOCATION_THRESHOLD)
+    changes = found.select(*group, F.inline(F.array(
         F.struct("term", "n"),
         F.struct(F.col("first_term").alias("term"), (-F.col("n")).alias("n")),
         F.struct(F.col("second_term").alias("term"), (-F.col("n")).alias("n")),
     )))
-    return _sum_by(unigrams.unionByName(changes), group, "term").where(F.col("n") > 0)
+    changed = unigrams.unionByName(changes).groupBy(*group, "term").agg(F.sum("n").alias("n"))
+    return changed.where(F.col("n") > 0)
 
 
 def term_frequencies(
@@ -154,20 +169,12 @@ def term_frequencies(
     words = reviews.where(F.col("sentiment").isin(POSITIVE, NEGATIVE)).select(
         *group, _cloud_words(F.col("review_text")).alias("_words")
     )
-    counts = (
-        words.select(*group, F.explode_outer("_words").alias("term"))
-        .where(~F.col("term").isin(*stop_words))
-        .groupBy(*group, "term")
-        .agg(F.count("*").alias("n"))
-    )
-    if merge_plurals or collocations:
-        forms = (
-            _standard_forms(counts, group) if merge_plurals
-            else counts.withColumn("standard", F.col("term"))
-        )
-        of_standard = W.partitionBy(*group, "standard")
-        forms = stage(forms.withColumn("n_standard", F.sum("n").over(of_standard)), "forms")
-        counts = _sum_by(forms, group, "standard")
+    tokens = words.select(*group, F.explode_outer("_words").alias("term"))
+    tokens = tokens.where(~F.col("term").isin(*stop_words))
+    counts = _count_terms(tokens, group, merge_plurals)
     if collocations:
-        counts = _collocations(words, forms, group, stop_words, merge_plurals)
-    return top_per_group(counts, group, [F.desc("n"), F.asc("term")], n, ["term"], rank="rank")
+        counts = stage(counts, "stems")  # read by both sides of the pairs and for the totals
+        terms = _collocations(words, counts, group, stop_words, merge_plurals)
+    else:
+        terms = _totals(counts, group)
+    return top_per_group(terms, group, [F.desc("n"), F.asc("term")], n, ["term"], rank="rank")

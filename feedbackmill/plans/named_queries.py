@@ -52,38 +52,39 @@ def query(fn: Query) -> Query:
 # Dashboards
 
 
-def _totals(spark, sf_dir, *columns):
-    """Totals over the given columns; the charts of a column left out are not asked for."""
+def _totals(spark, sf_dir, chart, *columns):
+    """Totals of one chart, read from the columns it needs."""
     rows = sample_reviews(spark, sf_dir, KEY, *columns)
-    for name, kind in (("sentiment", "string"), ("rating", "double"), ("review_text", "string")):
-        if name not in columns:
-            rows = rows.withColumn(name, F.lit(None).cast(kind))
-    return dashboard.dashboard_totals(rows)
+    kinds = {"sentiment": "string", "rating": "double", "review_text": "string"}
+    unused = {n: F.lit(None).cast(kind) for n, kind in kinds.items() if n not in columns}
+    return dashboard.dashboard_totals(rows.withColumns(unused), chart)
 
 
 @query
 def sentiment_breakdown(spark, sf_dir):
-    return dashboard.sentiment_breakdown(_totals(spark, sf_dir, "sentiment"))
+    return dashboard.sentiment_breakdown(_totals(spark, sf_dir, "sentiment", "sentiment"))
 
 
 @query
 def rating_distribution(spark, sf_dir):
-    return dashboard.rating_distribution(_totals(spark, sf_dir, "rating"))
+    return dashboard.rating_distribution(_totals(spark, sf_dir, "rating", "rating"))
 
 
 @query
 def avg_rating_by_sentiment(spark, sf_dir):
-    return dashboard.avg_rating_by_sentiment(_totals(spark, sf_dir, "sentiment", "rating"))
+    totals = _totals(spark, sf_dir, "sentiment_rating", "sentiment", "rating")
+    return dashboard.avg_rating_by_sentiment(totals)
 
 
 @query
 def avg_length_by_rating(spark, sf_dir):
-    return dashboard.avg_length_by_rating(_totals(spark, sf_dir, "rating", "review_text"))
+    totals = _totals(spark, sf_dir, "rating_length", "rating", "review_text")
+    return dashboard.avg_length_by_rating(totals)
 
 
 @query
 def sentiment_by_rating(spark, sf_dir):
-    return dashboard.sentiment_by_rating(_totals(spark, sf_dir, "sentiment", "rating"))
+    return dashboard.sentiment_by_rating(_totals(spark, sf_dir, "cross", "sentiment", "rating"))
 
 
 @query
