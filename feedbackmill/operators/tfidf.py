@@ -2,7 +2,6 @@
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedbackmill.functions.text import feature_tokens
@@ -66,9 +65,30 @@ def tfidf_terms(
     return vocabulary(term_counts(reviews, stop), reviews, max_features).drop("slot")
 
 
+def tfidf_vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """One row per review that holds a known term: ``entries`` (slot, term, weight) by slot.
+
+    The weights of a review are scaled to length 1.
+    """
+    known = vocab.select(KEY, "term", "slot", "idf")
+    raw = attach(counts, known, [KEY, "term"], spread=["id"]).withColumn(
+        "weight", F.col("tf") * F.col("idf")
+    )
+    by_review = raw.groupBy(KEY, "id").agg(
+        F.array_sort(F.collect_list(F.struct("slot", "term", "weight"))).alias("entries"),
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"),
+    )
+    scaled = F.transform(
+        "entries",
+        lambda e: F.struct(
+            e["slot"].alias("slot"),
+            e["term"].alias("term"),
+            (e["weight"] / F.col("_norm")).alias("weight"),
+        ),
+    )
+    return by_review.select(KEY, "id", scaled.alias("entries"))
+
+
 def tfidf_weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Weight of each vocabulary term in each review, scaled to length 1 per review."""
-    kept = attach(counts, vocab.select(KEY, "term", "slot", "idf"), [KEY, "term"], spread=["id"])
-    raw = kept.withColumn("weight", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy(KEY, "id")))
-    return raw.select(KEY, "id", "term", "slot", "tf", (F.col("weight") / norm).alias("weight"))
+    """Weight of each vocabulary term in each review that holds it."""
+    return tfidf_vectors(counts, vocab).select(KEY, "id", F.inline("entries"))

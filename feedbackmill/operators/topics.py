@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from feedbackmill.operators.tfidf import (
     MAX_FEATURES,
     english_stop_words,
     term_counts,
-    tfidf_weights,
+    tfidf_vectors,
     vocabulary,
     with_text,
 )
@@ -50,21 +50,20 @@ def review_vectors(
     reviews: DataFrame, vocab: DataFrame, counts: DataFrame, sizes: DataFrame
 ) -> DataFrame:
     """Sparse vector, chunk and k of every review with text; without a known term it is empty."""
-    entries = F.array_sort(F.collect_list(F.struct("slot", "weight")))
-    sparse = tfidf_weights(counts, vocab).groupBy(KEY, "id").agg(entries.alias("_entries"))
+    sparse = tfidf_vectors(counts, vocab).select(
+        KEY, "id", F.col("entries.slot").alias("slots"), F.col("entries.weight").alias("weights")
+    )
     docs = attach(with_text(reviews).select(KEY, "id"), sizes, [KEY], spread=["id"])
     chunks = F.ceil(F.col("docs") / CHUNK_ROWS)
-    empty = F.array().cast("array<struct<slot:int,weight:double>>")
     return (
         docs.join(sparse, [KEY, "id"], "left")
-        .withColumn("_entries", F.coalesce("_entries", empty))
         .select(
             KEY,
             F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"),
             "id",
             "k",
-            F.col("_entries.slot").alias("slots"),
-            F.col("_entries.weight").alias("weights"),
+            F.coalesce("slots", F.array().cast("array<int>")).alias("slots"),
+            F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
         )
     )
 
@@ -176,22 +175,23 @@ def _next_centres(
     )
     count = F.get("_sums", F.lit(width))
     mean = F.transform(F.slice("_sums", 1, width), lambda s: s / count)
-    before = centres.select(*ids, "point", F.col("cost").alias("cost_before"))
-    return before.join(sums, ids, "left").select(
+    return centres.drop("cost").join(sums, ids, "left").select(
         *ids,
         F.when(count > 0, mean).otherwise(F.col("point")).alias("point"),
-        "cost_before",
         F.coalesce(F.get("_sums", F.lit(width + 1)), F.lit(0.0)).alias("cost"),
+        F.col("point").alias("_before"),
     )
 
 
-def _improvement(centres: DataFrame) -> float:
-    """Largest relative fall of the cost over all businesses and starts; infinite at first."""
-    before, cost = F.sum("cost_before"), F.sum("cost")
-    fall = F.when(before > 0, (before - cost) / before).otherwise(F.lit(0.0)).alias("fall")
-    falls = centres.groupBy(KEY, "start").agg(fall)
-    largest = falls.agg(F.max(F.nanvl("fall", F.lit(float("inf"))))).first()[0]
-    return 0.0 if largest is None else largest
+def _move(vectors: DataFrame, chunks: DataFrame, centres: DataFrame, width: int):
+    """The next centres, staged, and the longest way one of them moved."""
+    moved = _next_centres(vectors, chunks, centres, width)
+    squares = F.zip_with("point", "_before", lambda a, b: (a - b) * (a - b))
+    way = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, s: total + s))
+    # Observed while the centres are written, so that the check costs no job.
+    seen = Observation()
+    moved = stage(moved.observe(seen, F.max(way).alias("way")).drop("_before"), "centres")
+    return moved, seen.get["way"] or 0.0
 
 
 def best_start(centres: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def cluster_reviews(
     if sizes.where(F.col("docs") >= MIN_TEXTS).isEmpty():
         return few
 
-    counts = term_counts(reviews, stop)
+    counts = stage(term_counts(reviews, stop), "counts")
     vocab = stage(vocabulary(counts, reviews, max_features), "vocabulary")
     large = sizes.where(F.col("docs") >= MIN_TEXTS).join(
         vocab.select(KEY).distinct(), KEY, "left_semi"
@@ -274,8 +274,8 @@ def cluster_reviews(
 
     centres = stage(first_centres(vectors, n_clusters, n_starts, max_features), "centres")
     for _ in range(max_iter):
-        centres = stage(_next_centres(vectors, chunks, centres, max_features), "centres")
-        if _improvement(centres) <= tol:
+        centres, way = _move(vectors, chunks, centres, max_features)
+        if way <= tol:
             break
 
     best = stage(best_start(centres), "centres")
