@@ -1,4 +1,4 @@
-"""Join of a large table to a table with one row per key."""
+"""Joins of a large table to a small one that stay parallel when one key holds much of the data."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -8,16 +8,22 @@ from feedbackmill.session import stage
 SALTS = 32
 
 
-def attach(
-    df: DataFrame, lookup: DataFrame, on: list[str], spread: list[str], how: str = "inner"
+def spread_join(
+    df: DataFrame, staged: DataFrame, on: list[str], spread: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Join ``df`` to ``lookup``, which has at most one row per key.
+    """Join ``df`` to a staged table with few rows per key.
 
-    The lookup is staged, so its real size is known: below Spark's broadcast threshold it is
+    The staged table's size is known from its files: below Spark's broadcast threshold it is
     broadcast and ``df`` is not shuffled. Beyond that, a key that holds much of ``df`` is spread
-    over ``SALTS`` reducers by the columns ``spread``, with one copy of its lookup row on each.
+    over ``SALTS`` reducers by the columns ``spread``, with a copy of its lookup rows on each.
     """
-    small = stage(lookup, "lookup")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = staged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def attach(
+    df: DataFrame, lookup: DataFrame, on: list[str], spread: list[str], how: str = "inner"
+) -> DataFrame:
+    """Stage ``lookup``, which is not staged yet, and :func:`spread_join` it to ``df``."""
+    return spread_join(df, stage(lookup, "lookup"), on, spread, how)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from feedbackmill.operators.lookup import attach
 from feedbackmill.session import stage
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
@@ -31,7 +32,7 @@ def number_runs(staged: DataFrame, group: str, pos: str = "pos") -> DataFrame:
     )
     rows = staged.withColumn("_part", F.shiftright("_seq", ROW_BITS))
     return (
-        rows.join(runs, [group, "_part"])
+        attach(rows, runs, [group, "_part"], spread=["_seq"])
         .withColumn(pos, F.col("_seq") - F.col("_first") + F.col("_before"))
         .drop("_part", "_first", "_before")
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from feedbackmill.functions.labels import title_case
 from feedbackmill.operators.dashboard import KEY
-from feedbackmill.operators.lookup import attach
+from feedbackmill.operators.lookup import attach, spread_join
 from feedbackmill.operators.ranking import top_per_group
 from feedbackmill.operators.tfidf import (
     MAX_FEATURES,
@@ -155,7 +155,8 @@ def _assign_chunk(key: tuple, rows: pd.DataFrame, centres: pd.DataFrame) -> pd.D
 
 def _by_chunk(vectors: DataFrame, chunks: DataFrame, centres: DataFrame):
     """Each chunk of vectors next to a copy of the centres of its business."""
-    copies = centres.select(KEY, "start", "cluster", "point").join(chunks, KEY)
+    points = centres.select(KEY, "start", "cluster", "point")
+    copies = spread_join(chunks, points, [KEY], spread=["chunk"])
     keys = [KEY, "chunk"]
     return vectors.groupBy(*keys).cogroup(copies.groupBy(*keys))
 

@@ -76,15 +76,18 @@ def store_session(store: ReviewStore, key: str | None = None) -> SparkSession:
     )
 
 
-def run_query(session: SparkSession, sql: str) -> DataFrame:
-    """Result of one query. As a subquery, only a single query can be parsed, never a command."""
+def run_query(session: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
+    """Result of one query, with values for its ``:name`` markers.
+
+    As a subquery, only a single query can be parsed, never a command.
+    """
     text = (sql or "").strip().rstrip(";").rstrip()
     if not text:
         raise ValueError("the SQL text is empty")
     if _REFLECTION.search(text):
         raise QueryError("calls into Java are not allowed")
     try:
-        return session.sql(f"SELECT * FROM (\n{text}\n) AS result")
+        return session.sql(f"SELECT * FROM (\n{text}\n) AS result", args=args)
     except PySparkException as e:
         raise QueryError(str(e)) from e
 
@@ -104,9 +107,10 @@ def answer(
     chart_type: str | None = None,
     x_label: str = "",
     y_label: str = "",
+    args: dict | None = None,
 ) -> Answer:
     """Whole result, its first rows for whoever words the answer, and its chart."""
-    data = run_query(session, sql)
+    data = run_query(session, sql, args)
     try:
         points = chart_axes(data, needs_graph)
     except PySparkException as e:

@@ -18,7 +18,7 @@ from feedbackmill.operators.sentiment import Scorer, classify_sentiment, lexicon
 from feedbackmill.operators.terms import term_frequencies
 from feedbackmill.operators.topics import cluster_reviews
 from feedbackmill.schemas import COMPLETED, FAILED, PENDING
-from feedbackmill.session import stage
+from feedbackmill.session import scratch, stage
 from feedbackmill.sinks.store import ReviewStore
 from feedbackmill.sources.csv_files import read_review_csv
 from feedbackmill.sources.pages import Selectors, page_items
@@ -116,8 +116,9 @@ def ingest_csv(
     multi_line: bool = True,
 ) -> RunResult:
     """Each file replaces the dataset its title, or else its name, stands for."""
-    raw, datasets = read_review_csv(store.spark, paths, max_rows, multi_line)
-    return ingest(store, raw, datasets, options)
+    with scratch(store.spark):
+        raw, datasets = read_review_csv(store.spark, paths, max_rows, multi_line)
+        return ingest(store, raw, datasets, options)
 
 
 def ingest_pages(
@@ -133,11 +134,12 @@ def ingest_pages(
     ``records`` holds structured rows (business_url, page_id, item_pos and the review fields); a
     dataset that has any takes those and not the rows found in its pages.
     """
-    items = page_items(pages, selectors, max_items)
-    datasets = pages.select(F.col("url").alias(KEY)).distinct()
-    if records is not None:
-        order = ["page_id", "item_pos"]
-        items = prefer(records.select(*items.columns), items, spread=order)
-        datasets = datasets.union(records.select(KEY)).distinct()
-    raw = with_line_number(items, KEY, ["page_id", "item_pos"]).select(*RAW_COLUMNS)
-    return ingest(store, raw, stage(datasets, "datasets"), options)
+    with scratch(store.spark):
+        items = page_items(pages, selectors, max_items)
+        datasets = pages.select(F.col("url").alias(KEY)).distinct()
+        if records is not None:
+            order = ["page_id", "item_pos"]
+            items = prefer(records.select(*items.columns), items, spread=order)
+            datasets = datasets.union(records.select(KEY)).distinct()
+        raw = with_line_number(items, KEY, ["page_id", "item_pos"]).select(*RAW_COLUMNS)
+        return ingest(store, raw, stage(datasets, "datasets"), options)

@@ -14,6 +14,7 @@ from feedbackmill import schemas
 from feedbackmill.operators.dashboard import KEY
 from feedbackmill.operators.runs import latest_status
 from feedbackmill.schemas import NOT_FOUND
+from feedbackmill.session import remove_path
 
 PARTITION = T.StructField("dataset_id", T.StringType())
 SCHEMAS = {
@@ -73,7 +74,7 @@ class ReviewStore:
         filled = rows.select(KEY).distinct()
         emptied = datasets.select(KEY).join(filled, KEY, "left_anti")
         for row in emptied.select(dataset_id(F.col(KEY)).alias("id")).toLocalIterator():
-            self._remove(f"{self.path(table)}/dataset_id={row['id']}")
+            remove_path(self.spark, f"{self.path(table)}/dataset_id={row['id']}")
 
     def append(self, rows: DataFrame) -> None:
         """Add review rows to their datasets."""
@@ -83,11 +84,6 @@ class ReviewStore:
             "dataset_id"
         ).parquet(self.path("reviews"))
 
-    def _remove(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(path, True)
-
     def log_run(
         self, datasets: DataFrame, run_id: str, status: str, next_id: int, warnings: str = ""
     ) -> None:
@@ -100,7 +96,7 @@ class ReviewStore:
             F.lit(next_id).cast("long").alias("next_id"),
             F.current_timestamp().alias("ts"),
         )
-        entry.coalesce(1).write.mode("append").parquet(self.path("dataset_runs"))
+        entry.hint("rebalance").write.mode("append").parquet(self.path("dataset_runs"))
 
     def next_id(self) -> int:
         """First review id that no run has taken."""

@@ -37,8 +37,19 @@ def _sorted_rows(columns, rows):
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
+SQL_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 def differences(df, con, sql) -> str | None:
-    """None when both sides hold the same columns, types of value and rows."""
+    """None when both sides hold the same columns, types and rows."""
+    relation = con.sql(sql)
+    types = {name: str(kind) for name, kind in zip(relation.columns, relation.types)}
+    wrong = {n: (t, types.get(n)) for n, t in df.dtypes if types.get(n) != SQL_TYPES.get(t)}
+    if wrong:
+        return f"types {wrong}"
     expected = con.execute(sql)
     names = [d[0] for d in expected.description]
     want_rows = expected.fetchall()

@@ -192,6 +192,8 @@ def scope(spark):
 def test_scope_and_chart(spark, scope):
     assert adhoc.run_query(scope, "select * from reviews;").count() == 60
     assert adhoc.run_query(scope, "with a as (select 1 x) select x from a").count() == 1
+    named = adhoc.run_query(scope, "select 1 from reviews where business_url = :k", {"k": "o'b"})
+    assert named.count() == 0
     joined = "select * from reviews r join aspect_sentiments a on a.review_id = r.id"
     assert adhoc.run_query(scope, joined).count() == 60
     result = adhoc.answer(
