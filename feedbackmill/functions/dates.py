@@ -9,6 +9,9 @@ from feedbackmill.schemas import UNKNOWN
 # Units of a relative date and their days, in the order they are tested.
 UNIT_DAYS = (("year", 365), ("month", 30), ("week", 7), ("day", 1))
 
+# Date forms read besides ISO dates and times.
+DAY_FORMS = ("M/d/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]")
+
 
 def normalize_date(text: Column, as_of: Column) -> Column:
     """ISO date for relative wording, the lower-cased text for absolute dates, or ``Unknown``."""
@@ -42,8 +45,7 @@ def review_day(date: Column) -> Column:
     return F.coalesce(
         F.try_to_date(date, "yyyy-MM-dd").cast("timestamp"),
         F.upper(date).try_cast("timestamp"),
-        F.try_to_timestamp(date, F.lit("M/d/yyyy")),
-        F.try_to_timestamp(date, F.lit("yyyy/M/d")),
+        *[F.try_to_timestamp(date, F.lit(form)) for form in DAY_FORMS],
     )
 
 

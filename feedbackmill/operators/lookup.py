@@ -16,10 +16,17 @@ def spread_join(
     The staged table's size is known from its files: below Spark's broadcast threshold it is
     broadcast and ``df`` is not shuffled. Beyond that, a key that holds much of ``df`` is spread
     over ``SALTS`` reducers by the columns ``spread``, with a copy of its lookup rows on each.
+    Null keys are equal, so that rows without a key are not lost.
     """
-    copies = staged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = staged.withColumnsRenamed({k: f"_key_{k}" for k in on}).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    same = F.col("_salt") == F.col("_copy")
+    for key in on:
+        same = same & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
+    joined = salted.join(copies, same, how)
+    return joined.drop("_salt", "_copy", *[f"_key_{k}" for k in on])
 
 
 def attach(

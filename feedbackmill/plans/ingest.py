@@ -21,7 +21,7 @@ from feedbackmill.schemas import COMPLETED, FAILED, PENDING
 from feedbackmill.session import scratch, stage
 from feedbackmill.sinks.store import ReviewStore
 from feedbackmill.sources.csv_files import read_review_csv
-from feedbackmill.sources.pages import Selectors, page_items
+from feedbackmill.sources.pages import Selectors, dataset_of, page_items
 from feedbackmill.sources.records import prefer
 
 log = logging.getLogger(__name__)
@@ -136,7 +136,7 @@ def ingest_pages(
     """
     with scratch(store.spark):
         items = page_items(pages, selectors, max_items)
-        datasets = pages.select(F.col("url").alias(KEY)).distinct()
+        datasets = pages.select(dataset_of(F.col("url")).alias(KEY)).distinct()
         if records is not None:
             order = ["page_id", "item_pos"]
             items = prefer(records.select(*items.columns), items, spread=order)

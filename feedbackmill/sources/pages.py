@@ -5,11 +5,12 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedbackmill.functions.labels import name_or_unknown
 from feedbackmill.functions.ratings import first_number
+from feedbackmill.functions.text import strip
 from feedbackmill.operators.positions import with_position
 from feedbackmill.schemas import UNKNOWN
 
@@ -17,6 +18,9 @@ from feedbackmill.schemas import UNKNOWN
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
+# Elements that begin a line when a page is shown, and those that are not shown.
+LINE_TAGS = frozenset("article br div h1 h2 h3 h4 h5 h6 li ol p section table tr ul".split())
+HIDDEN_TAGS = frozenset("noscript script style template".split())
 
 
 @dataclass(frozen=True)
@@ -50,6 +54,8 @@ class _ItemParser(HTMLParser):
         self.current: list[dict[str, str]] = []
 
     def handle_starttag(self, tag, attrs):
+        if tag in LINE_TAGS:
+            self._add_text("\n")
         attributes = dict(attrs)
         classes = (attributes.get("class") or "").split()
         opens = _matches(self.selectors.container, tag, classes)
@@ -80,9 +86,15 @@ class _ItemParser(HTMLParser):
             if opens:
                 self.current.pop()
             if name == tag:
-                return
+                break
+        if tag in LINE_TAGS:
+            self._add_text("\n")
 
     def handle_data(self, data):
+        if not self.stack or self.stack[-1][0] not in HIDDEN_TAGS:
+            self._add_text(data)
+
+    def _add_text(self, data):
         if self.current:
             for _, opens, fields in reversed(self.stack):
                 for name in fields:
@@ -98,6 +110,11 @@ def _items(html: str | None, selectors: Selectors) -> list[dict[str, str]]:
     return parser.items
 
 
+def dataset_of(url: Column) -> Column:
+    """Dataset of a page; pages stored without an address share one."""
+    return F.coalesce(url, F.lit(UNKNOWN))
+
+
 def page_items(
     pages: DataFrame, selectors: Selectors = Selectors(), max_items: int | None = None
 ) -> DataFrame:
@@ -122,12 +139,12 @@ def page_items(
         found = found.where(F.col("item_pos") < max_items)
     return found.select(
         "page_id",
-        F.col("url").alias("business_url"),
+        dataset_of(F.col("url")).alias("business_url"),
         "item_pos",
-        name_or_unknown(F.trim("user_name")).alias("user_name"),
+        name_or_unknown(strip(F.col("user_name"))).alias("user_name"),
         F.coalesce(first_number(F.col("rating")), F.lit(0.0)).alias("rating"),
-        F.coalesce(F.trim("date"), F.lit(UNKNOWN)).alias("date"),
-        F.coalesce(F.trim("review_text"), F.lit("")).alias("review_text"),
+        F.coalesce(strip(F.col("date")), F.lit(UNKNOWN)).alias("date"),
+        F.coalesce(strip(F.col("review_text")), F.lit("")).alias("review_text"),
     )
 
 

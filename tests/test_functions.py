@@ -57,11 +57,11 @@ def test_normalize_date(spark, wording, expected):
 def test_month_period(spark):
     forms = [
         "2024-01-05", "2024-01-05t10:11:12z", "1/5/2024", "12/31/2023", "2024/1/5", "2024-13-40",
-        "Unknown", None, "soon - maybe",
+        "Unknown", None, "soon - maybe", "2/5/2024 9:30", "2024/2/5 09:30:01", "02-05-2024",
     ]
     assert apply(spark, dates.month_period, forms) == [
         "2024-01", "2024-01", "2024-01", "2023-12", "2024-01", "Unknown", "Unknown", "Unknown",
-        "Unknown",
+        "Unknown", "2024-02", "2024-02", "2024-02",
     ]
 
 

@@ -186,11 +186,11 @@ def test_page_job(spark, tmp_path):
     )
     html = "".join([
         item.format("Ann &amp; Co", "4.0", "a month ago", "Nice <b>pizza</b> here<br>really"),
-        '<div class="jftiEf"><p>no fields</div>',
+        '<div class="jftiEf"><p>no fields<script>var a = "<b>";</script></div>',
         item.format("Cy", "five", "yesterday", "third"),
     ])
     pages = spark.createDataFrame(
-        [(1, "u1", html), (2, "u2", html), (3, "u3", None)],
+        [(1, "u1", html), (2, "u2", html), (3, "u3", None), (4, None, html)],
         "page_id long, url string, html string",
     )
     records = spark.createDataFrame(
@@ -202,10 +202,11 @@ def test_page_job(spark, tmp_path):
     ingest.ingest_pages(store, pages, records, OPTIONS, max_items=2)
     got = rows(store.read("reviews", "u1").orderBy("id"), "user_name", "rating", "date", "review_text")
     assert got == [
-        ("Ann & Co", 4.0, "2025-01-01", "Nice pizza herereally"),
+        ("Ann & Co", 4.0, "2025-01-01", "Nice pizza here really"),
         ("Unknown", 0.0, "2025-01-30", ""),
     ]
     assert rows(store.read("reviews", "u2"), "user_name") == [("Zed",)]
+    assert store.read("reviews", "Unknown").count() == 2
     assert store.status("u3") == "completed" and store.read("reviews", "u3").count() == 0
 
 

@@ -33,6 +33,12 @@ def test_position_matches_a_plain_count(frame):
     assert got == want
 
 
+def test_position_keeps_rows_without_a_group(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "id int, g string")
+    got = sorted((r["id"], r["pos"]) for r in with_position(df, "g", ["id"]).collect())
+    assert got == [(1, 0), (2, 0), (3, 1)]
+
+
 def test_line_number_rises_with_group_and_position(frame):
     rows = with_line_number(frame, "g", ["v", "id"]).orderBy("g", "pos").collect()
     lines = [r["line_no"] for r in rows]
