@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedbackmill.session import stage
+from feedbackmill.session import stage, stored_bytes
 
 SALTS = 32
+BROADCAST_BYTES = 4 * 1024 * 1024  # of Parquet files; a few times as much in memory
 
 
 def spread_join(
@@ -13,19 +14,22 @@ def spread_join(
 ) -> DataFrame:
     """Join ``df`` to a staged table with few rows per key.
 
-    The staged table's size is known from its files: below Spark's broadcast threshold it is
-    broadcast and ``df`` is not shuffled. Beyond that, a key that holds much of ``df`` is spread
-    over ``SALTS`` reducers by the columns ``spread``, with a copy of its lookup rows on each.
-    Null keys are equal, so that rows without a key are not lost.
+    The size of the staged table is read from its files. Up to ``BROADCAST_BYTES`` it is broadcast
+    and ``df`` is not shuffled. Beyond that, a key that holds much of ``df`` is spread over
+    ``SALTS`` reducers by the columns ``spread``, with a copy of its lookup rows on each. Null keys
+    are equal, so that rows without a key are not lost.
     """
-    copies = staged.withColumnsRenamed({k: f"_key_{k}" for k in on}).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    same = F.col("_salt") == F.col("_copy")
+    small = staged.withColumnsRenamed({k: f"_key_{k}" for k in on})
+    same = F.lit(True)
     for key in on:
         same = same & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
-    joined = salted.join(copies, same, how)
+    if stored_bytes(staged) <= BROADCAST_BYTES:
+        joined = df.join(F.broadcast(small), same, how)
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        copies = small.withColumn("_copy", every).hint("merge")
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+        joined = salted.join(copies, same & (F.col("_salt") == F.col("_copy")), how)
     return joined.drop("_salt", "_copy", *[f"_key_{k}" for k in on])
 
 

@@ -60,16 +60,28 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         remove_path(spark, folder)
 
 
+def _hadoop_path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def remove_path(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = _hadoop_path(spark, folder)
+    files.delete(path, True)
+
+
+def stored_bytes(staged: DataFrame) -> int:
+    """Size of the files behind a staged table."""
+    folder = staged.inputFiles()[0].rsplit("/", 1)[0]
+    path, files = _hadoop_path(staged.sparkSession, folder)
+    return files.getContentSummary(path).getLength()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, fixes non-deterministic columns, and gives later joins a table whose size is
-    known from its files, so that Spark's broadcast threshold decides on real bytes.
+    known from its files.
     """
     spark = df.sparkSession
     path = f"{_scratch.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -4,8 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedbackmill.operators import sentiment, topics
-from feedbackmill.operators.lookup import attach
+from feedbackmill.operators import lookup, sentiment, topics
 from feedbackmill.operators.positions import with_line_number, with_position
 from feedbackmill.operators.ranking import top_per_group
 from feedbackmill.plans import adhoc
@@ -56,17 +55,15 @@ def test_top_per_group(frame, n):
     assert {(r["g"], r["rank"], r["id"]) for r in got} == want
 
 
-@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+@pytest.mark.parametrize("limit", [0, lookup.BROADCAST_BYTES])
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
-def test_attach_with_and_without_broadcast(spark, frame, threshold, how):
-    lookup = spark.createDataFrame([("hot", 1), ("g1", 2)], "g string, w int")
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    try:
-        got = attach(frame, lookup, ["g"], ["id"], how).collect()
-        want = frame.join(lookup, "g", how).collect()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+def test_attach_with_and_without_broadcast(spark, frame, monkeypatch, limit, how):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", limit)
+    small = spark.createDataFrame([("hot", 1), ("g1", 2)], "g string, w int")
+    joined = lookup.attach(frame, small, ["g"], ["id"], how)
+    plan = joined._jdf.queryExecution().toString()
+    assert ("BroadcastHashJoin" in plan) == (limit > 0)
+    got, want = joined.collect(), frame.join(small, "g", how).collect()
     assert sorted(str(sorted(r.asDict().items())) for r in got) == sorted(
         str(sorted(r.asDict().items())) for r in want
     )
