@@ -156,7 +156,7 @@ def _assign_chunk(key: tuple, rows: pd.DataFrame, centres: pd.DataFrame) -> pd.D
 def _by_chunk(vectors: DataFrame, chunks: DataFrame, centres: DataFrame):
     """Each chunk of vectors next to a copy of the centres of its business."""
     points = centres.select(KEY, "start", "cluster", "point")
-    copies = spread_join(chunks, points, [KEY], spread=["chunk"])
+    copies = spread_join(points, chunks, [KEY], spread=["start", "cluster"])
     keys = [KEY, "chunk"]
     return vectors.groupBy(*keys).cogroup(copies.groupBy(*keys))
 

@@ -135,7 +135,8 @@ def ingest_pages(
     dataset that has any takes those and not the rows found in its pages.
     """
     with scratch(store.spark):
-        items = page_items(pages, selectors, max_items)
+        # Staged, since the sort below reads its input twice and pages should be parsed once.
+        items = stage(page_items(pages, selectors, max_items), "items")
         datasets = pages.select(dataset_of(F.col("url")).alias(KEY)).distinct()
         if records is not None:
             order = ["page_id", "item_pos"]
