@@ -27,6 +27,7 @@ from feedbackmill.sources.records import prefer
 log = logging.getLogger(__name__)
 
 RAW_COLUMNS = (KEY, "pos", "line_no", "user_name", "rating", "date", "review_text")
+DERIVED = ("aspect_sentiments", "review_clusters", "term_frequencies")
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,7 @@ class IngestOptions:
     aspects: tuple[str, ...] = ASPECTS
     n_clusters: int = 5
     stop_words: list[str] | None = None
+    derived: tuple[str, ...] = DERIVED  # the derived tables to fill
 
 
 @dataclass
@@ -67,14 +69,15 @@ def prepare(raw: DataFrame, first_id: int, options: IngestOptions) -> DataFrame:
 
 
 def derived_tables(options: IngestOptions) -> dict[str, Callable[[DataFrame], DataFrame]]:
-    """How each derived table follows from the reviews."""
-    return {
+    """How each of the wanted derived tables follows from the reviews."""
+    tables = {
         "aspect_sentiments": lambda r: aspect_mentions(r, options.aspects),
         "review_clusters": lambda r: cluster_reviews(
             r, options.n_clusters, stop_words=options.stop_words
         ),
         "term_frequencies": lambda r: term_frequencies(r, merge_plurals=True, collocations=True),
     }
+    return {name: tables[name] for name in options.derived}
 
 
 def ingest(

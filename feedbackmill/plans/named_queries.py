@@ -2,6 +2,7 @@
 
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from feedbackmill.operators import aspects as asp
 from feedbackmill.operators import dashboard, runs, samples, sentiment, terms, tfidf, topics
 from feedbackmill.operators.positions import with_position
 from feedbackmill.plans import adhoc
+from feedbackmill.plans.ingest import IngestOptions, ingest_csv, ingest_pages
 from feedbackmill.schemas import UNKNOWN
 from feedbackmill.session import shared_dir
 from feedbackmill.sinks.csv_export import export_csv
@@ -44,6 +46,11 @@ def as_of():
     return F.lit("2025-01-31").cast("date")
 
 
+def length_scorer(texts: list[str]) -> list[str]:
+    """Stand-in for a model: the label follows from the length of the text."""
+    return [("Positive", "Negative", "mixed")[len(t) % 3] for t in texts]
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -258,8 +265,9 @@ def month_periods(spark, sf_dir):
         F.date_format(day, "yyyy/MM/dd"), F.date_format(day, "yyyy-MM-dd't'HH:mm:ss'z'"),
         F.lit(UNKNOWN), F.lit("31-31-31"), F.lit(None).cast("string"),
     ]
-    date = F.get(F.array(*forms), F.pmod("o_custkey", F.lit(len(forms))).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", month_period(date).alias("period"))
+    written = F.get(F.array(*forms), F.pmod("o_custkey", F.lit(len(forms))).cast("int"))
+    period = month_period(written).alias("period")
+    return table(spark, sf_dir, "orders").select("o_orderkey", period)
 
 
 @query
@@ -432,9 +440,8 @@ def dataset_key(spark, sf_dir):
     return csv_files.dataset_keys(rows).drop("file_time")
 
 
-@query
-def uploaded_csv(spark, sf_dir):
-    """Documents written as CSV files of 500 rows with line breaks and quotes, read as uploads."""
+def _write_uploads(spark, sf_dir):
+    """Documents as CSV files of 500 rows, with line breaks and quotes inside fields."""
     folder = f"{shared_dir(spark)}/upload-{uuid.uuid4().hex}"
     part = F.expr("doc_id div 500")
     rows = table(spark, sf_dir, "documents").select(
@@ -442,7 +449,7 @@ def uploaded_csv(spark, sf_dir):
         F.concat(F.lit("d"), "doc_id").alias(" Name"),
         F.col("text").alias("TEXT"),
         F.concat(F.pmod("doc_id", F.lit(6)).cast("string"), F.lit(".5")).alias("Stars"),
-        F.lit("2 weeks ago").alias("Posted Time"),
+        _date_wording().alias("Posted Time"),
         F.concat(F.lit("upload "), part).alias("title"),
         "doc_id",
     )
@@ -452,14 +459,65 @@ def uploaded_csv(spark, sf_dir):
         .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False).csv(folder)
     )
-    reviews, _ = csv_files.read_review_csv(spark, [folder])
+    return folder
+
+
+@query
+def uploaded_csv(spark, sf_dir):
+    """CSV files read as uploads."""
+    reviews, _ = csv_files.read_review_csv(spark, [_write_uploads(spark, sf_dir)])
     return reviews.drop("line_no").withColumn("review_text", F.md5("review_text"))
 
 
+def _new_store(spark):
+    return ReviewStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+def _stored(store):
+    """Stored reviews without their ids, which follow the order of the files."""
+    return store.read("reviews").drop("id").withColumn("review_text", F.md5("review_text"))
+
+
+INGEST_DAY = date(2025, 1, 31)
+
+
+@query
+def ingested_csv(spark, sf_dir):
+    """The upload job from files to stored reviews, with labels from a scorer."""
+    store = _new_store(spark)
+    options = IngestOptions(INGEST_DAY, length_scorer, derived=("aspect_sentiments",))
+    ingest_csv(store, [_write_uploads(spark, sf_dir)], options)
+    return _stored(store)
+
+
+@query
+def ingested_aspects(spark, sf_dir):
+    """Aspects the upload job derives, per dataset."""
+    store = _new_store(spark)
+    options = IngestOptions(
+        INGEST_DAY, length_scorer, aspects=SAMPLE_ASPECTS, derived=("aspect_sentiments",)
+    )
+    ingest_csv(store, [_write_uploads(spark, sf_dir)], options)
+    return dashboard.aspect_sentiment(store.read("aspect_sentiments"))
+
+
+@query
+def ingested_pages(spark, sf_dir):
+    """The page job from stored pages to stored reviews."""
+    store = _new_store(spark)
+    selectors = Selectors(
+        container="li", user_name="a", review_text="a", attributes={"user_name": "href"}
+    )
+    pages = texts(spark, sf_dir, "pages", "page_id")
+    options = IngestOptions(INGEST_DAY, length_scorer, derived=())
+    ingest_pages(store, pages, options=options, selectors=selectors)
+    return _stored(store)
+
+
 @query
 def replaced_reviews(spark, sf_dir):
     """A store filled with all reviews, then with new rows for one business."""
-    store = ReviewStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store = _new_store(spark)
     columns = ("id", KEY, "user_name", "rating", "date", "review_text", "sentiment")
     rows = sample_reviews(spark, sf_dir, *columns)
     store.replace("reviews", rows, rows.select(KEY).distinct())
@@ -525,11 +583,6 @@ def chart_axes(spark, sf_dir):
 # Sentiment and topics
 
 
-def length_scorer(texts: list[str]) -> list[str]:
-    """Stand-in for a model: the label follows from the length of the text."""
-    return [("Positive", "Negative", "mixed")[len(t) % 3] for t in texts]
-
-
 @query
 def scored_sentiment(spark, sf_dir):
     rows = sample_reviews(spark, sf_dir, "id", "review_text")

@@ -109,6 +109,21 @@ dates as (
 )
 """
 
+UPLOADS = f""",
+uploads as (
+  select doc_id, 'upload ' || (doc_id // 500) as business_url, 'd' || doc_id as user_name,
+    doc_id % 6 + 0.5::double as rating, case when date <> 'Unknown' then date else strftime(
+      date '2025-01-31' - cast(row_number() over (
+        partition by doc_id // 500 order by doc_id) - 1 as int), '%Y-%m-%d') end as date,
+    review_text, case length(review_text) % 3 when 0 then 'Positive' when 1 then 'Negative'
+      else 'Neutral' end as sentiment
+  from (
+    select doc_id, dates.date as date,
+      trim(regexp_replace(text, '[{PY_SPACE}]+', ' ', 'g')) as review_text
+    from documents join dates using (doc_id))
+)
+"""
+
 TFIDF = rf""",
 tokens as (
   select business_url, id,
@@ -461,12 +476,51 @@ select '/in/' || source || '.csv' as file_path, coalesce(
   as business_url
 from documents group by source
 """,
-    "uploaded_csv": """
+    "uploaded_csv": DATES + """
 select 'upload ' || (doc_id // 500) as business_url,
   row_number() over (partition by doc_id // 500 order by doc_id) - 1 as pos,
-  'd' || doc_id as user_name, doc_id % 6 + 0.5::double as rating, '2 weeks ago' as date,
-  md5(text) as review_text
-from documents
+  'd' || doc_id as user_name, doc_id % 6 + 0.5::double as rating,
+  case when raw = '' then 'Unknown' else raw end as date, md5(text) as review_text
+from documents join wording using (doc_id)
+""",
+    "ingested_csv": DATES + UPLOADS + """
+select business_url, user_name, rating, date, md5(review_text) as review_text, sentiment
+from uploads
+""",
+    "ingested_aspects": DATES + UPLOADS + """,
+wanted(word) as (values ('the'), ('heit'), ('tion'), ('ment'), ('ado')),
+hits as (
+  select doc_id, business_url, upper(word[1]) || substr(word, 2) as aspect, sentiment
+  from uploads join wanted on contains(lower(review_text), word)
+),
+found as (
+  select business_url, aspect, sentiment from hits
+  union all
+  select business_url, 'Overall Experience', sentiment from uploads
+  where doc_id not in (select doc_id from hits) and review_text <> ''
+)
+select business_url, aspect, count(*) filter (sentiment = 'Positive') as positive,
+  count(*) filter (sentiment = 'Negative') as negative,
+  count(*) filter (sentiment = 'Neutral') as neutral
+from found group by all
+""",
+    "ingested_pages": f"""
+with items as (
+  select page_id, url, generate_subscripts(items, 1) as nth,
+    replace(regexp_extract(unnest(items), 'href="([^"]*)"', 1), '&amp;', '&') as name,
+    replace(regexp_extract(unnest(items), '>([^<]*)</a>', 1), '&amp;', '&') as text
+  from (select *, regexp_extract_all(html, '<li>.*?</li>') as items from pages)
+),
+placed as (
+  select *, row_number() over (partition by url order by page_id, nth) - 1 as pos,
+    trim(regexp_replace(text, '[{PY_SPACE}]+', ' ', 'g')) as review_text
+  from items
+)
+select url as business_url, trim(name) as user_name, 0.0::double as rating,
+  strftime(date '2025-01-31' - cast(pos as int), '%Y-%m-%d') as date,
+  md5(review_text) as review_text, case length(review_text) % 3 when 0 then 'Positive'
+    when 1 then 'Negative' else 'Neutral' end as sentiment
+from placed
 """,
     "replaced_reviews": REVIEWS + """
 select id, business_url, user_name, rating, date, md5(review_text) as review_text, sentiment
