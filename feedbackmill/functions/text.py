@@ -40,7 +40,7 @@ def utf16_length(text: Column) -> Column:
 
 def letters_only(text: Column) -> Column:
     """Lower case with everything but a-z and white space deleted (not replaced)."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^a-z{JS_SPACE}]", "")
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^a-z{JS_SPACE}]+", "")
 
 
 def chart_tokens(text: Column) -> Column:

@@ -4,6 +4,7 @@ One writer works on a store at a time; readers may come and go.
 """
 
 from dataclasses import dataclass
+from hashlib import md5
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,19 +41,22 @@ class ReviewStore:
         return f"{self.root}/{table}"
 
     def read(self, table: str, key: str | None = None) -> DataFrame:
-        """A whole table, or one dataset of it by partition pruning."""
+        """A whole table, or one dataset of it, whose folder is then the only one listed."""
         schema = SCHEMAS[table]
         names = [f.name for f in schema]
-        stored = schema if table == "dataset_runs" else T.StructType([*schema, PARTITION])
+        partitioned = table != "dataset_runs"
+        stored = T.StructType([*schema, PARTITION]) if partitioned else schema
+        folder = self.path(table)
+        if partitioned and key is not None:
+            folder += f"/dataset_id={md5(key.encode()).hexdigest()}"
+        reader = self.spark.read.schema(stored).option("basePath", self.path(table))
         try:
-            rows = self.spark.read.schema(stored).parquet(self.path(table))
+            rows = reader.parquet(folder)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             rows = self.spark.createDataFrame([], stored)
         if key is not None:
-            if table != "dataset_runs":
-                rows = rows.where(F.col("dataset_id") == dataset_id(F.lit(key)))
             rows = rows.where(F.col(KEY) == key)
         return rows.select(*names)
 

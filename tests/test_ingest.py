@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from feedbackmill import schemas
 from feedbackmill.plans import adhoc, bundles, ingest
 from feedbackmill.sinks.csv_export import export_csv
 from feedbackmill.sinks.store import ReviewStore
@@ -153,6 +154,21 @@ def test_upload_job_and_replacement(spark, tmp_path):
     assert rows(got, "aspect", "n") == [("Service", 1)]
 
 
+def test_store_keys_of_any_length_and_script(spark, tmp_path):
+    store = ReviewStore(spark, str(tmp_path / "store"))
+    keys = ["https://maps.example.com/é店/" + "x" * 300, "a=b/c d%20", "'; --"]
+    reviews = spark.createDataFrame(
+        [(i, k, "n", 1.0, "d", "t", None) for i, k in enumerate(keys)], schemas.REVIEWS
+    )
+    store.append(reviews)
+    store.append(reviews.withColumn("id", F.col("id") + 10))
+    for i, key in enumerate(keys):
+        assert sorted(rows(store.read("reviews", key), "id")) == [(i,), (i + 10,)]
+    store.replace("reviews", reviews.limit(0), reviews.where("id = 1"))
+    assert store.read("reviews", keys[1]).count() == 0
+    assert store.read("reviews").count() == 4
+
+
 def test_failed_derivation_is_a_warning(spark, tmp_path, monkeypatch):
     store = ReviewStore(spark, str(tmp_path / "store"))
 
