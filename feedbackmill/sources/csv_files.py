@@ -123,7 +123,11 @@ def dataset_keys(records: DataFrame) -> DataFrame:
     titled = (F.col("pos") >= 0) & (F.col("title") != "")
     return (
         records.groupBy("file_path")
-        .agg(F.max_by("title", F.when(titled, F.col("pos"))).alias("title"), F.max("file_name").alias("file_name"), F.max("file_time").alias("file_time"))
+        .agg(
+            F.max_by("title", F.when(titled, F.col("pos"))).alias("title"),
+            F.max("file_name").alias("file_name"),
+            F.max("file_time").alias("file_time"),
+        )
         .select(
             "file_path",
             F.coalesce(

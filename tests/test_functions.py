@@ -153,7 +153,8 @@ def test_dashboards_on_edges(spark):
 
 def test_aspects_on_edges(spark):
     rows = reviews_frame(spark, [
-        {"id": 1, "business_url": "u", "review_text": "Waiter: bad SERVICE, long wait", "sentiment": "Negative"},
+        {"id": 1, "business_url": "u", "sentiment": "Negative",
+         "review_text": "Waiter: bad SERVICE, long wait"},
         {"id": 2, "business_url": "u", "review_text": " ", "sentiment": None},
         {"id": 3, "business_url": "u", "review_text": ""},
         {"id": 4, "business_url": "u", "review_text": None},

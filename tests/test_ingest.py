@@ -50,7 +50,8 @@ def test_csv_quirks(spark, tmp_path):
 
 
 def test_csv_names_bytes_and_caps(spark, tmp_path):
-    plain = write(tmp_path, "plain file.csv", b"text,TEXT ,when date,time\nfirst,second,d1,t1\nb\xffd,z\xff,,t2\n")
+    lines = [b"text,TEXT ,when date,time", b"first,second,d1,t1", b"b\xffd,z\xff,,t2", b""]
+    plain = write(tmp_path, "plain file.csv", b"\n".join(lines))
     empty = write(tmp_path, "empty.csv", "text,stars\n")
     blank = write(tmp_path, "blank.csv", "")
     reviews, datasets = read_review_csv(spark, [plain, empty, blank], max_rows=1)
