@@ -46,29 +46,27 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, label: str, rows: int, max_bytes: int) -> list[tuple[str, object]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, max_bytes: int) -> list[tuple[str, object]]:
     """(text, label) of at most ``rows`` documents, picked by a hash of the id.
 
-    Rows with null text or label or of the held-out third are left out. Ids and sizes are read
-    first, texts only of those chosen; picking ends before ``max_bytes`` of text, so what reaches
-    the driver is bounded by both. The bound doesn't depend on the size of the input.
+    ``docs`` gives doc_id and text, ``labels`` doc_id and label. Rows with a null text or label or
+    of the held-out third are left out; of several labels of an id the largest counts. Ids and
+    sizes are read first, texts only of those chosen, and picking ends before ``max_bytes`` of
+    text, so what reaches the driver is bounded by both, whatever the size of the input.
     """
-    pool = docs.where(F.col("text").isNotNull() & F.col(label).isNotNull() & ~held_out())
-    order = F.xxhash64(F.col("doc_id"))
+    named = labels.where(F.col("label").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    pool = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    sizes = pool.select("doc_id", F.octet_length("text").alias("size")).groupBy("doc_id").agg(F.max("size").alias("size"))
     heads = (
-        pool.select("doc_id", F.octet_length("text").alias("size"), order.alias("at"))
-        .orderBy("at", "doc_id").limit(rows).collect()
+        sizes.join(named, "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(rows).collect()
     )
-    chosen, total = set(), 0
+    chosen, total = {}, 0
     for row in heads:
         total += row["size"]
         if chosen and total > max_bytes:
             break
-        chosen.add(row["doc_id"])
+        chosen[row["doc_id"]] = row["label"]
     if not chosen:
         return []
-    found = (
-        pool.where(F.col("doc_id").isin(*chosen)).select("doc_id", "text", F.col(label).alias("label"))
-        .orderBy("doc_id", "text", "label").limit(rows).collect()
-    )
-    return [(r["text"], r["label"]) for r in found]
+    texts = pool.where(F.col("doc_id").isin(*chosen)).groupBy("doc_id").agg(F.max("text").alias("text"))
+    return [(r["text"], chosen[r["doc_id"]]) for r in sorted(texts.collect(), key=lambda r: r["doc_id"])]
