@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedbackmill.llm import langid, packing, pii, simhash, token_files, toxicity
+from feedbackmill.llm import ann, chat, decontaminate, langid, packing, pii, simhash, token_files, toxicity, warc
 from feedbackmill.llm.common import held_out
 from feedbackmill.sources.sample_tables import table
 
@@ -28,6 +28,54 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*columns or ("doc_id", "text"))
 
 
+@query
+def op1_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+# A conversation of control strings of another format, besides those of the table.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame(
+        [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string"
+    )
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return chat.conversation_digest(turns.unionByName(tricky), path, public_tokenizers.PATTERN)
+
+
+def _escaped_sql(column: str) -> str:
+    sql = f"replace({column}, '{chat.ESCAPE}', '{chat.ESCAPE * 2}')"
+    for control in chat.CONTROL:
+        sql = f"replace({sql}, '{control}', '{control[0]}{chat.ESCAPE}{control[1:]}')"
+    return sql
+
+
+ORACLES["op2_chat_format"] = f"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast({len(chat.MARKS[0])} + sum({sum(map(len, chat.MARKS[1:]))} + length({_escaped_sql("role")})
+            + length({_escaped_sql("text")})) as bigint) as formatted_chars
+from turns group by conv_id
+"""
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_copies(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -62,6 +110,27 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc_packages"] = f"""
+with pages as (
+    select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes from pages
+), same as (
+    select *, payload_bytes >= {warc.SHARED_BYTES} and page_id <> max(page_id) over (partition by html) as again,
+           max(page_id) over (partition by html) as original
+    from pages
+)
+select page_id, payload_bytes, sha1(html) as payload_digest,
+       case when again then 'revisit' else 'response' end as record_type,
+       case when again then original end as refers_to
+from same
+"""
+
+
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(documents(spark, sf_dir))
