@@ -1,11 +1,13 @@
 """Helpers of the operators in this subpackage."""
 
+import pickle
 import sys
 import types
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of a slice of an Arrow batch that a task handles at once.
@@ -19,6 +21,15 @@ def worker_store() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Send a value of bounded size to all executors; tasks call the result to get it.
+
+    Its classes travel along, so that executors need not have this package.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """The batches in slices of bounded rows and bytes, so that long texts don't pile up.
 

@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedbackmill.llm.common import labelled_sample, slices, worker_store
+from feedbackmill.llm.common import labelled_sample, share, slices, worker_store
 
 #: Bounds of the sample that the model is fitted on.
-SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_ROWS = 5000
+SAMPLE_BYTES = 16 << 20
 #: Hashed weights, and the lengths of word beginnings that have a weight besides the whole word's.
 BUCKETS = 1 << 18
 BEGINNINGS = range(3, 8)
@@ -95,6 +95,8 @@ def fit_sentences(
     The penalty equals the pull of ``votes`` documents, so chance words keep no weight. An empty sample gives a model of zero scores.
     """
     words: dict[str, int] = {}
+    features: list[np.ndarray] = []  # buckets of each word
+    seen = np.zeros(BUCKETS, np.int32)  # documents with each bucket
     flat, sentence_of, doc_of, labels = [], [], [], []
     sentences = 0
     for text, label in sample:
@@ -102,29 +104,28 @@ def fit_sentences(
         for m in re.split(r"[.!?\n]", text.lower()):
             ids = [words.setdefault(w, len(words)) for w in re.findall(r"\w+", m)]
             if ids:
-                flat += ids
-                sentence_of += [sentences] * len(ids)
+                flat.append(np.array(ids, np.int32))
                 doc_of.append(len(labels))
                 sentences += 1
         if sentences > first:
             labels.append(int(label == 1))
+            features += [np.array(word_features(w), np.int32) for w in list(words)[len(features) :]]
+            mine = np.unique(np.concatenate(flat[first:]))
+            seen[np.unique(np.concatenate([features[i] for i in mine]))] += 1
     weights, bias = np.zeros(BUCKETS), -6.0
     if not sentences:
         return SentenceModel(weights.astype(np.float32), -50.0, "empty")
-    flat, sentence_of, doc_of = (np.array(x, np.int64) for x in (flat, sentence_of, doc_of))
+    sentence_of = np.repeat(np.arange(sentences, dtype=np.int32), [len(x) for x in flat])
+    flat, doc_of = np.concatenate(flat), np.array(doc_of, np.int32)
     labels = np.array(labels, float)
-    features = [word_features(w) for w in words]
     owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    buckets = np.concatenate([np.array(f) for f in features])
+    buckets = np.concatenate(features)
     # Weights that few documents speak for would only learn those documents by heart.
-    doc_of_word = np.unique(doc_of[sentence_of] * len(features) + flat)
-    pairs = np.repeat(doc_of_word // len(features), [len(features[i]) for i in doc_of_word % len(features)])
-    firsts = np.cumsum([0, *map(len, features)])
-    which = np.concatenate([buckets[firsts[i] : firsts[i + 1]] for i in doc_of_word % len(features)])
-    seen = np.bincount(np.unique(pairs * BUCKETS + which) % BUCKETS, minlength=BUCKETS)
     keep = seen[buckets] >= MIN_DOCUMENTS
     owner, buckets = owner[keep], buckets[keep]
     used, buckets = np.unique(buckets, return_inverse=True)
+    weighted = np.isin(flat, owner)
+    flat, sentence_of = flat[weighted], sentence_of[weighted]
     w = np.zeros(len(used))
     mean, square, mean_b, square_b = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -167,10 +168,10 @@ def score_toxicity(docs: DataFrame, model: SentenceModel, doc_id: str = "doc_id"
     )
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the corpus
+    shared = share(docs.sparkSession, model)  # 1 MB, whatever the corpus
 
     def scored(batches):
-        model = shared.value
+        model = shared()
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             scores = [min(1.0, max(0.0, model.score(t))) for t in texts]
@@ -186,3 +187,16 @@ def score_toxicity(docs: DataFrame, model: SentenceModel, doc_id: str = "doc_id"
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(scored, schema)
+
+
+def drop_toxic(docs: DataFrame, model: SentenceModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that don't count as toxic, with all their columns; nothing is moved."""
+    shared = share(docs.sparkSession, model)
+
+    def clean(batches):
+        model = shared()
+        for batch in slices(batches, text):
+            kept = [model.score(t) < TOXIC_AT for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
