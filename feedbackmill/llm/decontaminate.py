@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedbackmill.llm.common import slices
+from feedbackmill.llm.common import share, slices
 from feedbackmill.session import stage
 
 GRAM = 3
@@ -170,10 +170,10 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
 def find_seeds(texts: DataFrame, items: Items) -> Seeds:
     """Seeds of a block of items, by the number of documents with each of its n-grams."""
     grams = items.all_grams()
-    shared = texts.sparkSession.sparkContext.broadcast((items, grams))  # at most a block
+    shared = share(texts.sparkSession, (items, grams))  # at most a block
 
     def count(batches):
-        items, grams = shared.value
+        items, grams = shared()
         counts = np.zeros(len(grams), np.int64)
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
@@ -204,10 +204,10 @@ def find_copies(
     schema = "doc_id long, item_id long, score double, start long, end long"
     result = None
     for items in item_blocks(benchmark):
-        shared = rows.sparkSession.sparkContext.broadcast((items, find_seeds(rows.select("text"), items)))
+        shared = share(rows.sparkSession, (items, find_seeds(rows.select("text"), items)))
 
         def search(batches, shared=shared):
-            items, seeds = shared.value
+            items, seeds = shared()
             for batch in slices(batches, "text"):
                 pairs = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
                 found = [(key, items.ids[i], *at) for key, text in pairs for i, *at in copies(items, seeds, text or "")]
@@ -227,10 +227,10 @@ def find_copies(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no copy of any item, with all their columns."""
     for items in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast((items, find_seeds(docs.select(F.col(text).alias("text")), items)))
+        shared = share(docs.sparkSession, (items, find_seeds(docs.select(F.col(text).alias("text")), items)))
 
         def clean(batches, shared=shared):
-            items, seeds = shared.value
+            items, seeds = shared()
             for batch in slices(batches, text):
                 yield batch.filter(pa.array([not copies(items, seeds, t or "") for t in batch.column(text).to_pylist()], pa.bool_()))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedbackmill.llm.common import labelled_sample, slices
+from feedbackmill.llm.common import labelled_sample, share, slices
 
 #: Bounds of the sample that the network is trained on.
 SAMPLE_ROWS = 3000
@@ -257,10 +257,10 @@ def predict_language(
     nothing to learn from. Ties go to the first language by name. Other columns are ignored and
     repeated rows come back each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # some 100 KB, whatever the corpus
+    shared = share(docs.sparkSession, net)  # some 100 KB, whatever the corpus
 
     def predict(batches):
-        net = shared.value
+        net = shared()
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             known = [net is not None and has_letter(t) for t in texts]

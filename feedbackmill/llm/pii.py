@@ -182,12 +182,12 @@ def _pool_of(k: int, loose: bool) -> Column:
     ))
 
 
-def candidates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: base, the base spans, and pool, all candidates with votes and traits; no text.
+def candidates(docs: DataFrame, kept: Column, text: str) -> DataFrame:
+    """Per row: kept, base, the base spans, and pool, all candidates with votes and traits.
 
-    Staged, so that texts are read once.
+    Staged, so that patterns are sought once.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(kept.alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     empty = F.array().cast(f"array<{_MATCH}>")
     for loose, patterns in ((False, STRICT), (True, LOOSE)):
         rows = rows.select("*", *(
@@ -196,7 +196,7 @@ def candidates(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         ))
     base = [_base_spans(k) for k in range(len(KINDS))]
     pool = [_pool_of(k, loose) for k in range(len(KINDS)) for loose in (False, True)]
-    return stage(rows.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), F.concat(*pool).alias("pool")), "pii")
+    return stage(rows.select("kept", F.array_sort(F.concat(*base)).alias("base"), F.concat(*pool).alias("pool")), "pii")
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS) -> dict[tuple[int, ...], float]:
@@ -262,7 +262,26 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     candidates that it finds at least as likely as not and that overlap no base span. Null and empty
     texts have no spans; repeated rows come back each; other columns are ignored.
     """
-    rows = candidates(docs, doc_id, text)
+    found = _with_spans(docs, F.col(doc_id).cast("long"), text)
+    return found.select(F.col("kept").alias("doc_id"), "base", "spans")
+
+
+def redact_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All rows with all columns, marks in place of spans, and redacted: whether there were any.
+
+    Null texts stay null, and repeated rows come back each. A column named redacted is replaced.
+    """
+    columns = [c for c in docs.columns if c != "redacted"]
+    found = _with_spans(docs, F.struct(*(F.col(c) for c in columns)), text)
+    clean = redact(F.col(f"kept.{text}"), F.col("spans"))
+    return found.select(
+        *(clean.alias(c) if c == text else F.col(f"kept.{c}").alias(c) for c in columns),
+        (F.size("spans") > 0).alias("redacted"),
+    )
+
+
+def _with_spans(docs: DataFrame, kept: Column, text: str) -> DataFrame:
+    rows = candidates(docs, kept, text)
     pool = rows.select(F.explode("pool").alias("c")).select("c.*")
     # Both tables are bounded by the numbers of votes and traits, not by the corpus.
     counted = pool.groupBy("kind", *VOTES).count().collect()
@@ -306,7 +325,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")),
     )
     spans = F.array_sort(F.concat("base", added)) if wanted else F.col("base")
-    return rows.select("doc_id", "base", spans.alias("spans"))
+    return rows.select("kept", "base", spans.alias("spans"))
 
 
 def count_kind(spans: str, k: int) -> Column:

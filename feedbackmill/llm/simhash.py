@@ -255,5 +255,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class of near duplicates, with all its columns: that with the smallest id.
+
+    Of repeated rows of that id the one with the largest columns, in their order, stays. A class in
+    which no row has an id keeps one row, too.
+    """
+    classes = near_duplicates(docs, radius, doc_id, text)
+    firsts = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+    one = rows.groupBy("_id").agg(F.max("_row").alias("_row"))
+    kept = one.join(firsts.distinct(), F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.select("_row.*")
+
+
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
