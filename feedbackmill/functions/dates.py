@@ -35,8 +35,13 @@ def normalize_date(text: Column, as_of: Column) -> Column:
 
 
 def fill_unknown_date(date: Column, position: Column, as_of: Column) -> Column:
-    """Stand-in for ``Unknown``: the row at position i gets the day i days before ``as_of``."""
-    stand_in = F.date_format(F.date_sub(as_of, position.cast("int")), "yyyy-MM-dd")
+    """Stand-in for ``Unknown``: the row at position i gets the day i days before ``as_of``.
+
+    Positions that leave the calendar (before year 1) get ``as_of`` itself, as far relative dates do.
+    """
+    in_calendar = position <= F.datediff(as_of, F.lit("0001-01-01").cast("date"))
+    days = F.when(in_calendar, position).otherwise(F.lit(0)).cast("int")
+    stand_in = F.date_format(F.date_sub(as_of, days), "yyyy-MM-dd")
     return F.when(date == UNKNOWN, stand_in).otherwise(date)
 
 

@@ -102,6 +102,8 @@ def ingest(
             except Exception as e:
                 log.warning("%s was not derived", table, exc_info=True)
                 run.warnings.append(f"{table}: {type(e).__name__}")
+                # What was derived from the replaced reviews must not stay.
+                store.clear(table, datasets)
         run.status = COMPLETED
     except Exception:
         run.status = FAILED
@@ -118,7 +120,10 @@ def ingest_csv(
     max_rows: int | None = None,
     multi_line: bool = True,
 ) -> RunResult:
-    """Each file replaces the dataset its title, or else its name, stands for."""
+    """The files replace the datasets that their titles, or else their names, stand for.
+
+    Files of one dataset are parts of one upload, in the order in which they were written.
+    """
     with scratch(store.spark):
         raw, datasets = read_review_csv(store.spark, paths, max_rows, multi_line)
         return ingest(store, raw, datasets, options)

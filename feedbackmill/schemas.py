@@ -58,3 +58,11 @@ DATASET_RUNS = T.StructType([
     T.StructField("next_id", T.LongType()),
     T.StructField("ts", T.TimestampType()),
 ])
+
+COMMITS = T.StructType([
+    T.StructField("business_url", T.StringType()),
+    T.StructField("table_name", T.StringType()),
+    T.StructField("generation", T.StringType()),
+    T.StructField("seq", T.LongType()),
+    T.StructField("kind", T.StringType()),
+])

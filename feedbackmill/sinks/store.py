@@ -1,10 +1,13 @@
 """Stored tables: reviews, what is derived from them, and the run registry.
 
-One writer works on a store at a time; readers may come and go.
+Every write adds a generation of rows and then one commit per dataset that says which generation
+holds. Readers join the commits, so a dataset is replaced, emptied or extended as a whole, and a
+write that fails before its commits is never seen. One writer works on a store at a time; readers
+may come and go.
 """
 
+import uuid
 from dataclasses import dataclass
-from hashlib import md5
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,21 +18,25 @@ from feedbackmill import schemas
 from feedbackmill.operators.dashboard import KEY
 from feedbackmill.operators.runs import latest_status
 from feedbackmill.schemas import NOT_FOUND
-from feedbackmill.session import remove_path
+from feedbackmill.session import remove_path, scratch, stage
 
-PARTITION = T.StructField("dataset_id", T.StringType())
+#: Folders of a generation; a dataset lies in one of them.
+BUCKETS = 64
+REPLACE, APPEND = "replace", "append"
+GENERATION = (T.StructField("generation", T.StringType()), T.StructField("bucket", T.IntegerType()))
 SCHEMAS = {
     "reviews": schemas.REVIEWS,
     "aspect_sentiments": schemas.ASPECT_SENTIMENTS,
     "review_clusters": schemas.REVIEW_CLUSTERS,
     "term_frequencies": schemas.TERM_FREQUENCIES,
     "dataset_runs": schemas.DATASET_RUNS,
+    "commits": schemas.COMMITS,
 }
+FLAT = ("dataset_runs", "commits")
 
 
-def dataset_id(key: Column) -> Column:
-    """Folder name of a dataset; a business address itself can be too long for one."""
-    return F.md5(key)
+def bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -40,53 +47,83 @@ class ReviewStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def read(self, table: str, key: str | None = None) -> DataFrame:
-        """A whole table, or one dataset of it, whose folder is then the only one listed."""
+    def _stored(self, table: str) -> DataFrame:
+        """All rows of a table that were ever written and not compacted away."""
         schema = SCHEMAS[table]
-        names = [f.name for f in schema]
-        partitioned = table != "dataset_runs"
-        stored = T.StructType([*schema, PARTITION]) if partitioned else schema
-        folder = self.path(table)
-        if partitioned and key is not None:
-            folder += f"/dataset_id={md5(key.encode()).hexdigest()}"
-        reader = self.spark.read.schema(stored).option("basePath", self.path(table))
+        stored = schema if table in FLAT else T.StructType([*schema, *GENERATION])
         try:
-            rows = reader.parquet(folder)
+            return self.spark.read.schema(stored).parquet(self.path(table))
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            rows = self.spark.createDataFrame([], stored)
+            return self.spark.createDataFrame([], stored)
+
+    def live(self, table: str, key: str | None = None) -> DataFrame:
+        """(business_url, generation) of what holds: the last replacement and what was added since."""
+        commits = self._stored("commits").where(F.col("table_name") == table)
+        if key is not None:
+            commits = commits.where(F.col(KEY) == key)
+        since = commits.where(F.col("kind") == REPLACE).groupBy(KEY).agg(F.max("seq").alias("since"))
+        held = commits.join(since, KEY, "left").where(F.col("seq") >= F.coalesce("since", F.lit(-1)))
+        return held.select(KEY, "generation").distinct()
+
+    def read(self, table: str, key: str | None = None) -> DataFrame:
+        """A whole table, or one dataset of it, for which only its bucket's folders are read."""
+        names = [f.name for f in SCHEMAS[table]]
+        rows = self._stored(table)
         if key is not None:
             rows = rows.where(F.col(KEY) == key)
+            if table not in FLAT:
+                rows = rows.where(F.col("bucket") == bucket(F.lit(key)))
+        if table not in FLAT:
+            rows = rows.join(self.live(table, key), [KEY, "generation"], "left_semi")
         return rows.select(*names)
 
+    def _add(self, table: str, rows: DataFrame) -> str:
+        """Write a generation of rows. Rebalancing gathers small buckets and splits large ones."""
+        generation = uuid.uuid4().hex
+        names = [f.name for f in SCHEMAS[table]]
+        keyed = rows.select(*names, F.lit(generation).alias("generation"), bucket(F.col(KEY)).alias("bucket"))
+        (
+            keyed.hint("rebalance", "bucket").sortWithinPartitions("bucket", KEY)
+            .write.mode("append").partitionBy("generation", "bucket").parquet(self.path(table))
+        )
+        return generation
+
+    def _commit(self, table: str, datasets: DataFrame, generation: str, kind: str) -> None:
+        seq = self._stored("commits").agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1
+        rows = datasets.select(
+            KEY, F.lit(table).alias("table_name"), F.lit(generation).alias("generation"),
+            F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"),
+        ).distinct()
+        rows.write.mode("append").parquet(self.path("commits"))
+
     def replace(self, table: str, rows: DataFrame, datasets: DataFrame) -> None:
         """Put ``rows`` in place of all rows of ``datasets``; other datasets stay.
 
-        ``rows`` is read twice, so it should be staged. A dataset that has no new rows is emptied.
+        A dataset without new rows is emptied. Rows of datasets that are not named are not kept.
         """
-        names = [f.name for f in SCHEMAS[table]]
-        keyed = rows.select(*names, dataset_id(F.col(KEY)).alias("dataset_id"))
-        # Rebalancing gathers a small dataset in one file and splits a large one over many tasks.
-        (
-            keyed.hint("rebalance", "dataset_id")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dataset_id")
-            .parquet(self.path(table))
-        )
-        filled = rows.select(KEY).distinct()
-        emptied = datasets.select(KEY).join(filled, KEY, "left_anti")
-        for row in emptied.select(dataset_id(F.col(KEY)).alias("id")).toLocalIterator():
-            remove_path(self.spark, f"{self.path(table)}/dataset_id={row['id']}")
+        self._commit(table, datasets, self._add(table, rows), REPLACE)
+
+    def clear(self, table: str, datasets: DataFrame) -> None:
+        """Empty ``datasets``."""
+        self._commit(table, datasets, uuid.uuid4().hex, REPLACE)
 
     def append(self, rows: DataFrame) -> None:
-        """Add review rows to their datasets."""
-        names = [f.name for f in SCHEMAS["reviews"]]
-        keyed = rows.select(*names, dataset_id(F.col(KEY)).alias("dataset_id"))
-        keyed.hint("rebalance", "dataset_id").write.mode("append").partitionBy(
-            "dataset_id"
-        ).parquet(self.path("reviews"))
+        """Add review rows to their datasets; ``rows`` is read twice, so it should be staged."""
+        self._commit("reviews", rows.select(KEY), self._add("reviews", rows), APPEND)
+
+    def compact(self, table: str) -> None:
+        """Write what holds as one generation and drop the older ones; no reader may be at work.
+
+        The folders dropped are as many as there were writes since the last compaction.
+        """
+        old = [r["generation"] for r in self._stored(table).select("generation").distinct().collect()]
+        with scratch(self.spark):
+            held = self.live(table).select(KEY).distinct()
+            self.replace(table, stage(self.read(table), "compacted"), stage(held, "held"))
+        for generation in old:
+            remove_path(self.spark, f"{self.path(table)}/generation={generation}")
 
     def log_run(
         self, datasets: DataFrame, run_id: str, status: str, next_id: int, warnings: str = ""

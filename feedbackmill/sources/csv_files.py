@@ -138,10 +138,16 @@ def dataset_keys(records: DataFrame) -> DataFrame:
     )
 
 
-def latest_files(keys: DataFrame) -> DataFrame:
-    """The last written file of each dataset: a later upload replaces an earlier one."""
-    return keys.groupBy("business_url").agg(
-        F.max_by("file_path", F.struct("file_time", "file_path")).alias("file_path")
+def part_files(records: DataFrame) -> DataFrame:
+    """(business_url, file_path, rows_before): files of one dataset are parts of one upload.
+
+    They follow each other in the order in which they were written. One row per file meets in a
+    window here, no records.
+    """
+    sizes = records.groupBy("file_path").agg((F.max("pos") + 1).alias("rows"))
+    before = W.partitionBy("business_url").orderBy("file_time", "file_path").rowsBetween(W.unboundedPreceding, -1)
+    return dataset_keys(records).join(sizes, "file_path").select(
+        "business_url", "file_path", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before")
     )
 
 
@@ -151,17 +157,19 @@ def read_review_csv(
     """Reviews in the files and the datasets they belong to.
 
     Returns (business_url, pos, line_no, user_name, rating, date, review_text) and
-    (business_url, file_path); a file with only a header gives a dataset without rows, and one of
-    no bytes is skipped by Spark. ``multi_line=False`` lets Spark split large files, for files
-    known to hold no line break inside a field.
+    (business_url, file_path, rows_before). Files of one dataset are parts of one upload, of which
+    the first ``max_rows`` rows are kept. A file with only a header gives a dataset without rows,
+    and one of no bytes is skipped by Spark. ``multi_line=False`` lets Spark split large files, for
+    files known to hold no line break inside a field.
     """
     staged = stage(_raw_rows(spark, paths, multi_line), "csv")
     records = _number_records(staged)
-    datasets = stage(latest_files(dataset_keys(records)), "datasets")
-    rows = records.where(F.col("pos") >= 0)
+    datasets = stage(part_files(records), "datasets")
+    rows = attach(records.where(F.col("pos") >= 0), datasets, ["file_path"], spread=["line_no"])
+    rows = rows.withColumn("pos", F.col("pos") + F.col("rows_before"))
     if max_rows is not None:
         rows = rows.where(F.col("pos") < max_rows)
-    reviews = attach(rows, datasets, ["file_path"], spread=["line_no"]).select(
+    reviews = rows.select(
         "business_url",
         "pos",
         "line_no",

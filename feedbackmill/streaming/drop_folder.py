@@ -1,45 +1,63 @@
-"""Ingest of the CSV files that have arrived in a folder since the last run."""
+"""Ingest of the CSV files that have arrived or changed in a folder since the last run."""
 
+from collections.abc import Iterator
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
 
-from feedbackmill.plans.ingest import IngestOptions, ingest_csv
+from feedbackmill.plans.ingest import IngestOptions, RunResult, ingest_csv
+from feedbackmill.session import scratch, stage
 from feedbackmill.sinks.store import ReviewStore
 
-FILE_ROWS = "path string, modificationTime timestamp, length long, content binary"
+VERSION = ("path", "modificationTime", "length")
+VERSION_ROWS = "path string, modificationTime timestamp, length long"
+
+
+def _seen(store: ReviewStore, ledger: str) -> DataFrame:
+    try:
+        return store.spark.read.schema(VERSION_ROWS).parquet(ledger)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return store.spark.createDataFrame([], VERSION_ROWS)
+
+
+def new_files(store: ReviewStore, folder: str, ledger: str) -> DataFrame:
+    """Files that the ledger doesn't hold with this time and length; their contents are not read."""
+    arrived = (
+        store.spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.[cC][sS][vV]")
+        .option("recursiveFileLookup", True)
+        .load(folder)
+        .select(*VERSION)
+    )
+    return arrived.join(_seen(store, ledger), list(VERSION), "left_anti")
 
 
 def ingest_new_files(
     store: ReviewStore,
     folder: str,
-    checkpoint: str,
+    ledger: str,
     options: IngestOptions = IngestOptions(),
     max_rows: int | None = None,
     files_per_batch: int = 1000,
-) -> StreamingQuery:
-    """Start a query that ingests the new files and stops; ``checkpoint`` remembers them.
+) -> Iterator[RunResult]:
+    """Ingest the new and the rewritten files, oldest first, and remember them in ``ledger``.
 
-    The stream lists files only. Headers differ from file to file, so each batch of paths goes
-    through the batch reader. A batch that is repeated after a failure replaces the same datasets.
+    A file stream knows files by path only and would never read a rewritten one, so the ledger
+    keeps path, time and length. Headers differ from file to file, so each batch of paths goes
+    through the batch reader; files of one dataset in a batch are parts of one upload, and a later
+    batch replaces it. A batch that fails is not remembered and comes again.
     """
-
-    def ingest_batch(files: DataFrame, batch_id: int) -> None:
-        # At most ``files_per_batch`` paths reach the driver.
-        paths = [row["path"] for row in files.select("path").toLocalIterator()]
-        if paths:
-            ingest_csv(store, paths, options, max_rows)
-
-    arrived = (
-        store.spark.readStream.format("binaryFile")
-        .schema(FILE_ROWS)
-        .option("pathGlobFilter", "*.csv")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
-        .select("path")
-    )
-    return (
-        arrived.writeStream.foreachBatch(ingest_batch)
-        .trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint)
-        .start()
-    )
+    with scratch(store.spark):
+        files = stage(new_files(store, folder, ledger), "new-files")
+        while True:
+            # At most ``files_per_batch`` paths reach the driver.
+            left = files.join(_seen(store, ledger), list(VERSION), "left_anti")
+            batch = left.orderBy("modificationTime", "path").limit(files_per_batch).collect()
+            if not batch:
+                return
+            yield ingest_csv(store, [r["path"] for r in batch], options, max_rows)
+            done = store.spark.createDataFrame(batch, VERSION_ROWS)
+            done.select(*(F.col(c) for c in VERSION)).coalesce(1).write.mode("append").parquet(ledger)

@@ -210,3 +210,11 @@ def test_records_and_precedence(spark):
     second = spark.createDataFrame([("a", 2), ("b", 3)], "business_url string, id int")
     chosen = prefer(first, second, ["id"]).collect()
     assert sorted(tuple(r) for r in chosen) == [("a", 1), ("b", 3)]
+
+
+def test_stand_in_dates_stay_in_the_calendar(spark):
+    rows = spark.createDataFrame([(0,), (1,), (738_000,), (800_000,), (1 << 40,)], "pos long")
+    as_of = F.lit("2025-01-31").cast("date")
+    got = [r[0] for r in rows.orderBy("pos").select(dates.fill_unknown_date(F.lit("Unknown"), F.col("pos"), as_of)).collect()]
+    assert got[:2] == ["2025-01-31", "2025-01-30"] and got[2].startswith("0004-")
+    assert got[3:] == ["2025-01-31", "2025-01-31"]

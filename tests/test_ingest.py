@@ -76,7 +76,7 @@ def test_csv_split_over_tasks(spark, tmp_path):
     assert reviews.select("line_no").distinct().count() == 5000
 
 
-def test_later_file_of_a_dataset_wins(spark, tmp_path):
+def test_files_of_a_dataset_are_parts_of_one_upload(spark, tmp_path):
     import os
 
     old = write(tmp_path, "z.csv", "text,title\nold,Shop\nold2,Shop\n")
@@ -84,8 +84,13 @@ def test_later_file_of_a_dataset_wins(spark, tmp_path):
     os.utime(old, (1_600_000_000, 1_600_000_000))
     os.utime(new, (1_700_000_000, 1_700_000_000))
     reviews, datasets = read_review_csv(spark, [old, new])
-    assert rows(reviews, "review_text") == [("new",)]
-    assert datasets.count() == 1
+    assert rows(reviews.orderBy("pos"), "pos", "review_text") == [(0, "old"), (1, "old2"), (2, "new")]
+    assert datasets.select("business_url").distinct().count() == 1
+    capped, _ = read_review_csv(spark, [old, new], max_rows=2)
+    assert sorted(rows(capped, "review_text")) == [("old",), ("old2",)]
+    store = ReviewStore(spark, str(tmp_path / "store"))
+    ingest.ingest_csv(store, [old, new], OPTIONS)
+    assert store.read("reviews", "Shop").count() == 3
 
 
 def test_upload_job_and_replacement(spark, tmp_path):
@@ -182,6 +187,45 @@ def test_failed_derivation_is_a_warning(spark, tmp_path, monkeypatch):
     assert store.read("aspect_sentiments").count() == 4
 
 
+def test_failed_derivation_leaves_nothing_of_the_last_run(spark, tmp_path, monkeypatch):
+    store = ReviewStore(spark, str(tmp_path / "store"))
+    ingest.ingest_csv(store, [write(tmp_path, "a.csv", SHOP)], OPTIONS)
+    assert store.read("review_clusters", "Shop B").count() > 0
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("no model")
+
+    monkeypatch.setattr(ingest, "cluster_reviews", broken)
+    again = write(tmp_path, "b.csv", "text,title\nservice was good,Shop B\n")
+    assert ingest.ingest_csv(store, [again], OPTIONS).warnings == ["review_clusters: RuntimeError"]
+    assert store.read("review_clusters", "Shop B").count() == 0
+    assert store.read("aspect_sentiments", "Shop B").count() == 1
+
+
+def test_generations_and_compaction(spark, tmp_path):
+    store = ReviewStore(spark, str(tmp_path / "store"))
+    reviews = spark.createDataFrame(
+        [(i, f"k{i % 5}", "n", 1.0, "d", "t", None) for i in range(50)], schemas.REVIEWS
+    )
+    store.append(reviews)
+    store.append(reviews.where("business_url = 'k1'"))
+    store.replace("reviews", reviews.where("id < 10"), reviews.where("business_url in ('k2', 'k3')"))
+    store._add("reviews", reviews)  # a write that never came to its commits
+    store.clear("reviews", reviews.where("business_url = 'k4'"))
+    want = {"k0": 10, "k1": 20, "k2": 2, "k3": 2}
+
+    def counts():
+        return {r[0]: r[1] for r in store.read("reviews").groupBy("business_url").count().collect()}
+
+    assert counts() == want
+    before = len(list((tmp_path / "store" / "reviews").glob("generation=*")))
+    store.compact("reviews")
+    assert counts() == want and store.read("reviews", "k1").count() == 20
+    assert (before, len(list((tmp_path / "store" / "reviews").glob("generation=*")))) == (4, 1)
+    plan = store.read("reviews", "k1")._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_failed_run(spark, tmp_path, monkeypatch):
     store = ReviewStore(spark, str(tmp_path / "store"))
     path = write(tmp_path, "a.csv", SHOP)
@@ -233,18 +277,20 @@ def test_drop_folder_takes_each_file_once(spark, tmp_path):
     write(folder, "skipped.txt", "text\nb\n")
 
     def run():
-        query = ingest_new_files(store, str(folder), str(tmp_path / "seen"), OPTIONS)
-        query.awaitTermination(120)
+        return len(list(ingest_new_files(store, str(folder), str(tmp_path / "seen"), OPTIONS)))
 
-    run()
+    assert run() == 1
     write(folder, "two.csv", "text,title\nc,Two\n")
-    run()
-    run()
+    write(folder, "THREE.CSV", "text\nd\n")
+    assert (run(), run()) == (1, 0)
     assert sorted(rows(store.read("reviews"), "business_url", "review_text")) == [
-        ("Two", "c"), ("one.csv", "a")
+        ("THREE.CSV", "d"), ("Two", "c"), ("one.csv", "a")
     ]
     runs = store.read("dataset_runs").where("status = 'completed'")
-    assert sorted(rows(runs, "business_url")) == [("Two",), ("one.csv",)]
+    assert sorted(rows(runs, "business_url")) == [("THREE.CSV",), ("Two",), ("one.csv",)]
+    write(folder, "one.csv", "text\nrewritten text\n")
+    assert (run(), run()) == (1, 0)
+    assert rows(store.read("reviews", "one.csv"), "review_text") == [("rewritten text",)]
 
 
 def test_export(spark, tmp_path):
