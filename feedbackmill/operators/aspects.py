@@ -35,5 +35,5 @@ def aspect_mentions(reviews: DataFrame, aspects: tuple[str, ...] = ASPECTS) -> D
 
 def of_reviews(derived: DataFrame, reviews: DataFrame) -> DataFrame:
     """Rows of a derived table (aspects, clusters) that belong to the given reviews."""
-    ids = reviews.select(F.col("id").alias("review_id"))
-    return derived.join(ids, "review_id", "left_semi")
+    ids = reviews.select("business_url", F.col("id").alias("review_id"))
+    return derived.join(ids, ["business_url", "review_id"], "left_semi")

@@ -1,11 +1,11 @@
 """SQL of the caller over the reviews, read-only and kept to one business."""
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from feedbackmill.operators.aspects import of_reviews
@@ -21,8 +21,13 @@ _CARRIED_CONF = (
     "spark.sql.adaptive.enabled",
     "spark.sql.ansi.enabled",
 )
-# Functions that call code by its class name.
-_REFLECTION = re.compile(r"\b(java_method|reflect|try_reflect)\s*\(", re.IGNORECASE)
+# Functions that call code by its class name; scoped sessions don't have them.
+REFLECTION = ("java_method", "reflect", "try_reflect")
+# A name made from a value is looked up while the text is parsed, before its plan can be checked.
+_MADE_NAME = re.compile(r"\bidentifier\W*\(", re.IGNORECASE)
+_COMMENT = re.compile(r"/\*.*?\*/|--[^\n]*", re.DOTALL)
+# Sources that hold no stored rows.
+_OWN_ROWS = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnresolvedInlineTable", "ResolvedInlineTable")
 
 Tables = dict[str, DataFrame]
 
@@ -47,6 +52,9 @@ class Answer:
     context: DataFrame
     chart: Chart | None
 
+    def context_rows(self) -> list[Row]:
+        return fetch(self.context)
+
 
 def scoped_session(
     spark: SparkSession, load: Callable[[SparkSession], Tables], key: str | None = None
@@ -59,14 +67,39 @@ def scoped_session(
     child.conf.set("spark.sql.runSQLOnFiles", "false")
     tables = load(child)
     if key is not None:
-        reviews = tables["reviews"].where(F.col(KEY) == key)
-        cut = {n: of_reviews(t, reviews) for n, t in tables.items() if n != "reviews"}
-        tables = {"reviews": reviews, **cut}
+        cut = {n: t.where(F.col(KEY) == key) for n, t in tables.items()}
+        reviews = cut.pop("reviews")
+        tables = {"reviews": reviews, **{n: of_reviews(t, reviews) for n, t in cut.items()}}
     for name, rows in tables.items():
         rows.createOrReplaceTempView(name)
+    registry = child._jsparkSession.sessionState().functionRegistry()
+    for name in REFLECTION:
+        registry.dropFunction(child._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
     return child
 
 
+def _sources(plan) -> Iterator[str]:
+    """Of an analysed plan and its subqueries: the views it reads by name, and its other sources."""
+    kind = plan.nodeName()
+    if kind == "View" and plan.isTempView():
+        yield f"view {plan.desc().identifier().unquotedString()}"
+        return
+    inner = [part.apply(i) for part in (plan.children(), plan.subqueries()) for i in range(part.size())]
+    if not inner:
+        yield kind
+    for child in inner:
+        yield from _sources(child)
+
+
+def check_sources(result: DataFrame) -> None:
+    """Refuse a query that reads anything but the views of its session and rows of its own."""
+    session = result.sparkSession
+    views = {f"view {t.name}" for t in session.catalog.listTables() if t.isTemporary}
+    for source in _sources(result._jdf.queryExecution().analyzed()):
+        if source not in _OWN_ROWS and source not in views:
+            raise QueryError(f"not among the tables of this session: {source}")
+
+
 def store_session(store: ReviewStore, key: str | None = None) -> SparkSession:
     """Scoped session over stored tables; those of one business are read by partition."""
     return scoped_session(
@@ -84,10 +117,20 @@ def run_query(session: SparkSession, sql: str, args: dict | None = None) -> Data
     text = (sql or "").strip().rstrip(";").rstrip()
     if not text:
         raise ValueError("the SQL text is empty")
-    if _REFLECTION.search(text):
-        raise QueryError("calls into Java are not allowed")
+    if _MADE_NAME.search(_COMMENT.sub(" ", text)):
+        raise QueryError("names can't be made from values")
+    try:
+        result = session.sql(f"SELECT * FROM (\n{text}\n) AS result", args=args)
+    except PySparkException as e:
+        raise QueryError(str(e)) from e
+    check_sources(result)
+    return result
+
+
+def fetch(rows: DataFrame, n: int = CONTEXT_ROWS) -> list[Row]:
+    """The first rows of a result; what fails only when it runs arrives as a QueryError, too."""
     try:
-        return session.sql(f"SELECT * FROM (\n{text}\n) AS result", args=args)
+        return rows.limit(n).collect()
     except PySparkException as e:
         raise QueryError(str(e)) from e
 

@@ -30,7 +30,7 @@ from feedbackmill.sinks.store import ReviewStore
 from feedbackmill.sources import csv_files
 from feedbackmill.sources.pages import Selectors, page_items
 from feedbackmill.sources.records import parse_records, prefer
-from feedbackmill.sources.sample_tables import sample_reviews, table, texts
+from feedbackmill.sources.sample_tables import sample_reviews, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,7 +151,7 @@ def overall_experience(spark, sf_dir):
 @query
 def aspects_of_dataset(spark, sf_dir):
     reviews = sample_reviews(spark, sf_dir, "id", KEY).where(F.col(KEY) == "src7")
-    return asp.of_reviews(_aspects(spark, sf_dir), reviews)
+    return asp.of_reviews(_aspects(spark, sf_dir).where(F.col(KEY) == "src7"), reviews)
 
 
 @query
@@ -352,20 +352,20 @@ def page_links(spark, sf_dir):
         container="li", user_name="a", rating=".stars", date=".when", review_text="a",
         attributes={"user_name": "href", "rating": "aria-label"},
     )
-    return page_items(texts(spark, sf_dir, "pages", "page_id"), selectors)
+    return page_items(table(spark, sf_dir, "pages"), selectors)
 
 
 @query
 def page_items_capped(spark, sf_dir):
     selectors = Selectors(container="li", review_text="a")
-    return page_items(texts(spark, sf_dir, "pages", "page_id"), selectors, max_items=3)
+    return page_items(table(spark, sf_dir, "pages"), selectors, max_items=3)
 
 
 @query
 def page_ads(spark, sf_dir):
     """Text of the block with class ``ad`` inside the body of every page."""
     selectors = Selectors(container="body", review_text="div.ad")
-    return page_items(texts(spark, sf_dir, "pages", "page_id"), selectors)
+    return page_items(table(spark, sf_dir, "pages"), selectors)
 
 
 @query
@@ -508,7 +508,7 @@ def ingested_pages(spark, sf_dir):
     selectors = Selectors(
         container="li", user_name="a", review_text="a", attributes={"user_name": "href"}
     )
-    pages = texts(spark, sf_dir, "pages", "page_id")
+    pages = table(spark, sf_dir, "pages")
     options = IngestOptions(INGEST_DAY, length_scorer, derived=())
     ingest_pages(store, pages, options=options, selectors=selectors)
     return _stored(store)

@@ -210,6 +210,16 @@ def test_scope_and_chart(spark, scope):
     assert adhoc.answer(scope, "select id, rating from reviews where id < 0", True).chart is None
     assert adhoc.answer(scope, "select id, rating from reviews", False).chart is None
     assert not spark.catalog.tableExists("reviews")
+    windowed = "select id, row_number() over (order by rating) from reviews where id in (select review_id from aspect_sentiments)"
+    assert adhoc.run_query(scope, windowed).count() == 60
+    ctes = "with a as (select * from reviews), b as (select id from a union all values (1)) select * from b, range(1)"
+    assert adhoc.run_query(scope, ctes).count() == 61
+
+
+@pytest.mark.parametrize("graph", [True, False])
+def test_failures_at_run_time(scope, graph):
+    with pytest.raises(adhoc.QueryError):
+        adhoc.answer(scope, "select id, raise_error('no') from reviews", graph).context_rows()
 
 
 @pytest.mark.parametrize("sql", ["", "  ", None, ";"])
@@ -231,9 +241,21 @@ def test_empty_sql(scope, sql):
         "select * from parquet.`/root/testdata/sf0.001/orders.parquet`",
         "select java_method('java.lang.System', 'getenv', 'HOME')",
         "with a as (select 1) insert into reviews select * from a",
+        "select `java_method`('java.lang.System', 'getenv', 'HOME')",
+        "select reflect/* */('java.lang.System', 'getenv', 'HOME')",
+        "select try_reflect -- x\n('java.lang.System', 'getenv', 'HOME')",
+        "select * from identifier('reviews')",
+        "select IDENTIFIER/**/('java_method')('java.lang.System', 'getenv', 'HOME')",
+        "select * from global_temp.other",
+        "select count(*) from default.elsewhere",
+        "select (select max(x) from global_temp.other) from reviews",
+        "with a as (select x from global_temp.other) select * from a",
+        "select id from reviews where exists (select 1 from spark_catalog.default.elsewhere)",
     ],
 )
-def test_refused_sql(scope, sql):
+def test_refused_sql(spark, scope, sql):
+    spark.range(3).toDF("x").createOrReplaceGlobalTempView("other")
+    spark.sql("create table if not exists default.elsewhere using parquet as select 1 as x")
     with pytest.raises(adhoc.QueryError):
         adhoc.run_query(scope, sql)
     assert scope.catalog.tableExists("reviews")
