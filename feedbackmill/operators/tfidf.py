@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedbackmill.functions.text import feature_tokens
 from feedbackmill.operators.dashboard import KEY
-from feedbackmill.operators.lookup import attach
+from feedbackmill.operators.lookup import spread_join
 from feedbackmill.operators.ranking import top_per_group
 
 MAX_FEATURES = 1000
@@ -21,31 +21,31 @@ def with_text(reviews: DataFrame) -> DataFrame:
     return reviews.where(F.coalesce(F.col("review_text"), F.lit("")) != "")
 
 
-def term_counts(reviews: DataFrame, stop_words: list[str]) -> DataFrame:
-    """How often each review holds each term (business_url, id, term, tf)."""
-    tokens = with_text(reviews).select(
-        KEY, "id", F.explode_outer(feature_tokens(F.col("review_text"))).alias("term")
-    )
-    return (
-        tokens.where(~F.col("term").isin(*stop_words))
-        .groupBy(KEY, "id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+def review_terms(reviews: DataFrame) -> DataFrame:
+    """The terms of each review with text, repeats and stop words included (business_url, id, terms)."""
+    return with_text(reviews).select(KEY, "id", feature_tokens(F.col("review_text")).alias("terms"))
 
 
-def vocabulary(
-    counts: DataFrame, reviews: DataFrame, max_features: int = MAX_FEATURES
-) -> DataFrame:
+def vocabulary(terms: DataFrame, stop_words: list[str], max_features: int = MAX_FEATURES) -> DataFrame:
     """The most frequent terms of each business with document frequency and smoothed idf.
 
-    ``slot`` numbers the terms of a business by falling frequency, from 0.
+    ``slot`` numbers the terms of a business by falling frequency, from 0. Totals and document
+    frequencies come from one grouping by term, whose partial sums are as many as distinct terms.
     """
-    totals = counts.groupBy(KEY, "term").agg(
-        F.sum("tf").alias("total"), F.count("*").alias("df")
+    first = F.transform(
+        F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("total"), F.lit(1).alias("df"))
+    )
+    every = F.transform(
+        "terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("total"), F.lit(0).alias("df"))
+    )
+    totals = (
+        terms.select(KEY, F.explode(F.concat(first, every)).alias("one")).select(KEY, "one.*")
+        .where(~F.col("term").isin(*stop_words))
+        .groupBy(KEY, "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     )
     order = [F.desc("total"), F.asc("term")]
     top = top_per_group(totals, [KEY], order, max_features, ["term"], rank="slot")
-    sizes = with_text(reviews).groupBy(KEY).agg(F.count("*").alias("docs"))
+    sizes = terms.groupBy(KEY).agg(F.count("*").alias("docs"))
     idf = F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1
     return (
         top.join(sizes, KEY)
@@ -62,18 +62,19 @@ def tfidf_terms(
 ) -> DataFrame:
     """Vocabulary with total, df and idf per business and term."""
     stop = english_stop_words() if stop_words is None else stop_words
-    return vocabulary(term_counts(reviews, stop), reviews, max_features).drop("slot")
+    return vocabulary(review_terms(reviews), stop, max_features).drop("slot")
 
 
-def tfidf_vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+def tfidf_vectors(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """One row per review that holds a known term: ``entries`` (slot, term, weight) by slot.
 
-    The weights of a review are scaled to length 1.
+    ``vocab`` is staged. Terms that it lacks are dropped before anything is sent. The weights of a
+    review are scaled to length 1.
     """
     known = vocab.select(KEY, "term", "slot", "idf")
-    raw = attach(counts, known, [KEY, "term"], spread=["id"]).withColumn(
-        "weight", F.col("tf") * F.col("idf")
-    )
+    found = spread_join(terms.select(KEY, "id", F.explode("terms").alias("term")), known, [KEY, "term"], spread=["id"])
+    # A review lies in one task, so its terms are counted there before anything is sent.
+    raw = found.groupBy(KEY, "id", "slot", "term").agg((F.count("*") * F.first("idf")).alias("weight"))
     by_review = raw.groupBy(KEY, "id").agg(
         F.array_sort(F.collect_list(F.struct("slot", "term", "weight"))).alias("entries"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"),
@@ -89,6 +90,6 @@ def tfidf_vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return by_review.select(KEY, "id", scaled.alias("entries"))
 
 
-def tfidf_weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+def tfidf_weights(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """Weight of each vocabulary term in each review that holds it."""
-    return tfidf_vectors(counts, vocab).select(KEY, "id", F.inline("entries"))
+    return tfidf_vectors(terms, vocab).select(KEY, "id", F.inline("entries"))

@@ -5,6 +5,7 @@ iterations and not on the number of businesses. The vectors of a business are sp
 bounded size; a task compares one chunk with the centres and returns sums, which Spark adds up.
 """
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from feedbackmill.operators.ranking import top_per_group
 from feedbackmill.operators.tfidf import (
     MAX_FEATURES,
     english_stop_words,
-    term_counts,
+    review_terms,
     tfidf_vectors,
     vocabulary,
     with_text,
@@ -31,6 +32,8 @@ from feedbackmill.operators.tfidf import (
 from feedbackmill.schemas import NO_TOPIC
 from feedbackmill.session import stage
 
+log = logging.getLogger(__name__)
+
 MIN_TEXTS = 5
 CHUNK_ROWS = 20_000  # vectors in one group of a task
 DENSE_ROWS = 2_048  # vectors unpacked at a time inside it
@@ -47,10 +50,10 @@ def cluster_counts(reviews: DataFrame, n_clusters: int) -> DataFrame:
 
 
 def review_vectors(
-    reviews: DataFrame, vocab: DataFrame, counts: DataFrame, sizes: DataFrame
+    reviews: DataFrame, vocab: DataFrame, terms: DataFrame, sizes: DataFrame
 ) -> DataFrame:
     """Sparse vector, chunk and k of every review with text; without a known term it is empty."""
-    sparse = tfidf_vectors(counts, vocab).select(
+    sparse = tfidf_vectors(terms, vocab).select(
         KEY, "id", F.col("entries.slot").alias("slots"), F.col("entries.weight").alias("weights")
     )
     docs = attach(with_text(reviews).select(KEY, "id"), sizes, [KEY], spread=["id"])
@@ -94,7 +97,7 @@ def first_centres(
     points = drawn_vectors.mapInPandas(
         unpack, "business_url string, start int, cluster int, point array<double>"
     )
-    return points.withColumn("cost", F.lit(float("inf")))
+    return points.withColumns({"cost": F.lit(float("inf")), "moving": F.lit(True)})
 
 
 def _dense(slots: pd.Series, weights: pd.Series, width: int) -> np.ndarray:
@@ -176,7 +179,7 @@ def _next_centres(
     )
     count = F.get("_sums", F.lit(width))
     mean = F.transform(F.slice("_sums", 1, width), lambda s: s / count)
-    return centres.drop("cost").join(sums, ids, "left").select(
+    return centres.drop("cost", "moving").join(sums, ids, "left").select(
         *ids,
         F.when(count > 0, mean).otherwise(F.col("point")).alias("point"),
         F.coalesce(F.get("_sums", F.lit(width + 1)), F.lit(0.0)).alias("cost"),
@@ -184,15 +187,18 @@ def _next_centres(
     )
 
 
-def _move(vectors: DataFrame, chunks: DataFrame, centres: DataFrame, width: int):
-    """The next centres, staged, and the longest way one of them moved."""
-    moved = _next_centres(vectors, chunks, centres, width)
+def _move(vectors: DataFrame, chunks: DataFrame, centres: DataFrame, width: int, tol: float):
+    """All centres after a step of those whose start still moves, staged, and how many still do."""
+    moved = _next_centres(vectors, chunks, centres.where("moving"), width)
     squares = F.zip_with("point", "_before", lambda a, b: (a - b) * (a - b))
     way = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, s: total + s))
+    # A start has as many centres as its business has clusters.
+    longest = F.max(way).over(W.partitionBy(KEY, "start"))
+    moved = moved.withColumn("moving", longest > tol).drop("_before")
     # Observed while the centres are written, so that the check costs no job.
     seen = Observation()
-    moved = stage(moved.observe(seen, F.max(way).alias("way")).drop("_before"), "centres")
-    return moved, seen.get["way"] or 0.0
+    moved = moved.observe(seen, F.count_if("moving").alias("moving"))
+    return stage(moved.unionByName(centres.where("not moving")), "centres"), seen.get["moving"]
 
 
 def best_start(centres: DataFrame) -> DataFrame:
@@ -240,14 +246,16 @@ def cluster_reviews(
     n_clusters: int = 5,
     max_features: int = MAX_FEATURES,
     n_starts: int = 10,
-    max_iter: int = 20,
+    max_iter: int = 300,
     tol: float = 1e-4,
     stop_words: list[str] | None = None,
+    warnings: list[str] | None = None,
 ) -> DataFrame:
     """Cluster and label of every review with text (business_url, review_id, cluster_id, label).
 
     A business with fewer than five texts has one cluster; one whose texts hold no term but stop
-    words has none.
+    words has none. Centres move until none moves more than ``tol``; starts that have come to rest
+    are not computed again. If some still move after ``max_iter`` steps, ``warnings`` says so.
     """
     stop = english_stop_words() if stop_words is None else stop_words
     sizes = stage(cluster_counts(reviews, n_clusters), "sizes")
@@ -262,22 +270,30 @@ def cluster_reviews(
     if sizes.where(F.col("docs") >= MIN_TEXTS).isEmpty():
         return few
 
-    counts = stage(term_counts(reviews, stop), "counts")
-    vocab = stage(vocabulary(counts, reviews, max_features), "vocabulary")
+    terms = review_terms(reviews)
+    vocab = stage(vocabulary(terms, stop, max_features), "vocabulary")
+    # Vectors are as wide as the largest vocabulary, which short texts keep far below the limit.
+    width = (vocab.agg(F.max("slot")).first()[0] or 0) + 1
     large = sizes.where(F.col("docs") >= MIN_TEXTS).join(
         vocab.select(KEY).distinct(), KEY, "left_semi"
     )
-    vectors = stage(review_vectors(reviews, vocab, counts, large), "vectors")
+    vectors = stage(review_vectors(reviews, vocab, terms, large), "vectors")
     # Kept partitioned by chunk, so that an iteration moves only the centres. A lost executor
     # costs a re-read of the staged vectors.
-    vectors = vectors.repartition(KEY, "chunk").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = vectors.repartition(KEY, "chunk").sortWithinPartitions(KEY, "chunk")
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     chunks = stage(vectors.select(KEY, "chunk").distinct(), "chunks")
 
-    centres = stage(first_centres(vectors, n_clusters, n_starts, max_features), "centres")
+    centres = stage(first_centres(vectors, n_clusters, n_starts, width), "centres")
     for _ in range(max_iter):
-        centres, way = _move(vectors, chunks, centres, max_features)
-        if way <= tol:
+        centres, moving = _move(vectors, chunks, centres, width, tol)
+        if not moving:
             break
+    else:
+        text = f"k-means stopped after {max_iter} steps, with centres still moving"
+        log.warning(text)
+        if warnings is not None:
+            warnings.append(text)
 
     best = stage(best_start(centres), "centres")
     assigned = _by_chunk(vectors, chunks, best).applyInPandas(

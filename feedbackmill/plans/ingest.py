@@ -68,12 +68,12 @@ def prepare(raw: DataFrame, first_id: int, options: IngestOptions) -> DataFrame:
     )
 
 
-def derived_tables(options: IngestOptions) -> dict[str, Callable[[DataFrame], DataFrame]]:
+def derived_tables(options: IngestOptions, warnings: list[str]) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """How each of the wanted derived tables follows from the reviews."""
     tables = {
         "aspect_sentiments": lambda r: aspect_mentions(r, options.aspects),
         "review_clusters": lambda r: cluster_reviews(
-            r, options.n_clusters, stop_words=options.stop_words
+            r, options.n_clusters, stop_words=options.stop_words, warnings=warnings
         ),
         "term_frequencies": lambda r: term_frequencies(r, merge_plurals=True, collocations=True),
     }
@@ -96,7 +96,7 @@ def ingest(
     try:
         reviews = stage(prepare(raw, first_id, options), "reviews")
         store.replace("reviews", reviews, datasets)
-        for table, derive in derived_tables(options).items():
+        for table, derive in derived_tables(options, run.warnings).items():
             try:
                 store.replace(table, stage(derive(reviews), table), datasets)
             except Exception as e:

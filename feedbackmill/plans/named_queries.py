@@ -21,10 +21,11 @@ from feedbackmill.functions.text import chart_tokens, clean_text, utf16_length
 from feedbackmill.operators import aspects as asp
 from feedbackmill.operators import dashboard, runs, samples, sentiment, terms, tfidf, topics
 from feedbackmill.operators.positions import with_position
-from feedbackmill.plans import adhoc
+from feedbackmill.operators.ranking import top_per_group
+from feedbackmill.plans import adhoc, bundles
 from feedbackmill.plans.ingest import IngestOptions, ingest_csv, ingest_pages
 from feedbackmill.schemas import UNKNOWN
-from feedbackmill.session import shared_dir
+from feedbackmill.session import shared_dir, stage
 from feedbackmill.sinks.csv_export import export_csv
 from feedbackmill.sinks.store import ReviewStore
 from feedbackmill.sources import csv_files
@@ -287,8 +288,16 @@ def row_index(spark, sf_dir):
 @query
 def capped_rows(spark, sf_dir):
     """The row cap of an upload: the first 30 rows of each business."""
-    placed = with_position(sample_reviews(spark, sf_dir, "id", KEY), KEY, ["id"])
-    return placed.where(F.col("pos") < 30)
+    rows = sample_reviews(spark, sf_dir, "id", KEY)
+    top = top_per_group(rows, [KEY], [F.asc("id")], 30, ["id"], rank="rank")
+    return top.select("id", KEY, (F.col("rank") - 1).cast("long").alias("pos"))
+
+
+@query
+def capped_csv(spark, sf_dir):
+    """The first 30 rows of each upload, read from CSV files."""
+    reviews, _ = csv_files.read_review_csv(spark, [_write_uploads(spark, sf_dir)], max_rows=30)
+    return reviews.select(KEY, "pos", "user_name")
 
 
 @query
@@ -485,8 +494,7 @@ INGEST_DAY = date(2025, 1, 31)
 def ingested_csv(spark, sf_dir):
     """The upload job from files to stored reviews, with labels from a scorer."""
     store = _new_store(spark)
-    options = IngestOptions(INGEST_DAY, length_scorer, derived=("aspect_sentiments",))
-    ingest_csv(store, [_write_uploads(spark, sf_dir)], options)
+    ingest_csv(store, [_write_uploads(spark, sf_dir)], IngestOptions(INGEST_DAY, length_scorer))
     return _stored(store)
 
 
@@ -494,9 +502,7 @@ def ingested_csv(spark, sf_dir):
 def ingested_aspects(spark, sf_dir):
     """Aspects the upload job derives, per dataset."""
     store = _new_store(spark)
-    options = IngestOptions(
-        INGEST_DAY, length_scorer, aspects=SAMPLE_ASPECTS, derived=("aspect_sentiments",)
-    )
+    options = IngestOptions(INGEST_DAY, length_scorer, aspects=SAMPLE_ASPECTS)
     ingest_csv(store, [_write_uploads(spark, sf_dir)], options)
     return dashboard.aspect_sentiment(store.read("aspect_sentiments"))
 
@@ -509,7 +515,7 @@ def ingested_pages(spark, sf_dir):
         container="li", user_name="a", review_text="a", attributes={"user_name": "href"}
     )
     pages = table(spark, sf_dir, "pages")
-    options = IngestOptions(INGEST_DAY, length_scorer, derived=())
+    options = IngestOptions(INGEST_DAY, length_scorer)
     ingest_pages(store, pages, options=options, selectors=selectors)
     return _stored(store)
 
@@ -526,6 +532,86 @@ def replaced_reviews(spark, sf_dir):
     return store.read("reviews").withColumn("review_text", F.md5("review_text"))
 
 
+@query
+def replaced_derived(spark, sf_dir):
+    """Aspects after a second run of one business, whose first rows must be gone."""
+    store, columns = _new_store(spark), ("id", KEY, "review_text", "sentiment")
+    rows = sample_reviews(spark, sf_dir, *columns)
+    store.replace("aspect_sentiments", asp.aspect_mentions(rows, SAMPLE_ASPECTS), rows.select(KEY).distinct())
+    one = rows.where(F.col(KEY) == "src3")
+    again = asp.aspect_mentions(one.where("id % 2 = 0"), SAMPLE_ASPECTS)
+    store.replace("aspect_sentiments", again, one.select(KEY).distinct())
+    store.clear("aspect_sentiments", rows.where(F.col(KEY) == "src4").select(KEY).distinct())
+    return store.read("aspect_sentiments")
+
+
+@query
+def stored_dataset(spark, sf_dir):
+    """One business read from a store of all by its key."""
+    store = _new_store(spark)
+    columns = ("id", KEY, "user_name", "rating", "date", "review_text", "sentiment")
+    rows = sample_reviews(spark, sf_dir, *columns)
+    store.replace("reviews", rows, rows.select(KEY).distinct())
+    return store.read("reviews", "src7").withColumn("review_text", F.md5("review_text"))
+
+
+@query
+def appended_reviews(spark, sf_dir):
+    """A store to which half of the reviews were added after the others."""
+    store = _new_store(spark)
+    columns = ("id", KEY, "user_name", "rating", "date", "review_text", "sentiment")
+    rows = sample_reviews(spark, sf_dir, *columns)
+    store.append(rows.where("id % 2 = 0"))
+    store.append(rows.where("id % 2 = 1"))
+    return store.read("reviews").withColumn("review_text", F.md5("review_text"))
+
+
+@query
+def stored_status(spark, sf_dir):
+    """Status of asked businesses by the registry of a store; unknown ones are not found."""
+    store = _new_store(spark)
+    keys = table(spark, sf_dir, "documents").select(F.col("source").alias(KEY)).distinct()
+    store.log_run(keys, "first", "pending", 1)
+    store.log_run(keys.where(F.length(KEY) == 4), "first", "completed", 1)
+    asked = table(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 10 == 0, F.lit("nowhere")).otherwise(F.col("source")).alias(KEY)
+    ).distinct()
+    return runs.status_of(asked, store.read("dataset_runs"))
+
+
+def _bundle_store(spark, sf_dir):
+    """A store with reviews and aspects of all businesses, and runs of them."""
+    store = _new_store(spark)
+    columns = ("id", KEY, "user_name", "rating", "date", "review_text", "sentiment")
+    rows = sample_reviews(spark, sf_dir, *columns)
+    keys = rows.select(KEY).distinct()
+    store.replace("reviews", rows, keys)
+    store.replace("aspect_sentiments", asp.aspect_mentions(rows, SAMPLE_ASPECTS), keys)
+    store.replace("review_clusters", rows.select(KEY, F.col("id").alias("review_id"), F.pmod("id", F.lit(3)).cast("int").alias("cluster_id"), F.lit("Label").alias("cluster_label")), keys)
+    store.log_run(keys, "run", "completed", 1)
+    return store
+
+
+@query
+def advanced_bundle_aspects(spark, sf_dir):
+    """Aspects and their sentiments of one business, as its bundle gives them."""
+    bundle = bundles.advanced_bundle(_bundle_store(spark, sf_dir), "src7")
+    return bundle["aspect_sentiment"]
+
+
+@query
+def advanced_bundle_clusters(spark, sf_dir):
+    """Clusters of one business, as its bundle gives them."""
+    return bundles.advanced_bundle(_bundle_store(spark, sf_dir), "src7")["clusters"]
+
+
+@query
+def dashboard_bundle_buckets(spark, sf_dir):
+    """Average text lengths of all businesses, as the dashboard bundle gives them."""
+    store = _bundle_store(spark, sf_dir)
+    return bundles.dashboard_bundle(store.read("reviews"))["avg_length_by_rating"]
+
+
 @query
 def exported_csv(spark, sf_dir):
     """Lines of the CSV export without its header."""
@@ -606,8 +692,9 @@ def tfidf_terms(spark, sf_dir):
 @query
 def tfidf_weights(spark, sf_dir):
     rows = sample_reviews(spark, sf_dir, KEY, "id", "review_text")
-    counts = tfidf.term_counts(rows, list(terms.CLOUD_STOP_WORDS))
-    out = tfidf.tfidf_weights(counts, tfidf.vocabulary(counts, rows))
+    found = tfidf.review_terms(rows)
+    vocab = stage(tfidf.vocabulary(found, list(terms.CLOUD_STOP_WORDS)), "vocabulary")
+    out = tfidf.tfidf_weights(found, vocab)
     return out.select(KEY, "id", "term", F.round("weight", 8).alias("weight"))
 
 

@@ -358,6 +358,34 @@ from reviews
 select * from (
   select id, business_url, row_number() over (partition by business_url order by id) - 1 as pos
   from reviews) where pos < 30
+""",
+    "capped_csv": """
+select 'upload ' || (doc_id // 500) as business_url, doc_id % 500 as pos, 'd' || doc_id as user_name
+from documents where doc_id % 500 < 30
+""",
+    "replaced_derived": REVIEWS + ASPECTS + """
+select * from aspects where business_url not in ('src3', 'src4')
+  or business_url = 'src3' and review_id % 2 = 0
+""",
+    "stored_dataset": REVIEWS + """
+select id, business_url, user_name, rating, date, md5(review_text) as review_text, sentiment
+from reviews where business_url = 'src7'
+""",
+    "appended_reviews": REVIEWS + """
+select id, business_url, user_name, rating, date, md5(review_text) as review_text, sentiment
+from reviews
+""",
+    "stored_status": """
+with asked as (
+  select distinct case when doc_id % 10 = 0 then 'nowhere' else source end as business_url
+  from documents)
+select business_url, case when business_url = 'nowhere' then 'not_found'
+  when length(business_url) = 4 then 'completed' else 'pending' end as status
+from asked
+""",
+    "advanced_bundle_clusters": REVIEWS + """
+select business_url, id as review_id, cast(id % 3 as int) as cluster_id, 'Label' as cluster_label
+from reviews where business_url = 'src7'
 """,
     "reviews_of_dataset": REVIEWS + """
 select id, business_url, user_name, rating, date, md5(review_text) as review_text, sentiment
@@ -543,3 +571,9 @@ from reviews r join aspects a on a.review_id = r.id and r.business_url = 'src7'
 select substr(date, 1, 4) as x, count(*) as y from reviews where business_url = 'src7' group by 1
 """,
 }
+
+# Bundles give the rows of the operators they gather, cut to one business.
+ORACLES["advanced_bundle_aspects"] = (
+    f"select * from ({ORACLES['aspect_sentiment']}) where business_url = 'src7'"
+)
+ORACLES["dashboard_bundle_buckets"] = ORACLES["avg_length_by_rating"]
