@@ -75,7 +75,7 @@ class ChatTokens:
 
 
 def chat_tokens(path: str, pattern: str) -> ChatTokens:
-    store = worker_store()
+    store = worker_store("chat tokens")
     if path not in store:
         store[path] = ChatTokens(path, pattern)
     return store[path]

@@ -15,10 +15,17 @@ SLICE_ROWS = 512
 SLICE_BYTES = 4 << 20
 
 
-def worker_store() -> dict:
-    """A dictionary that lives as long as the Python worker, for what is dear to load per task."""
+def worker_store(owner: str) -> dict:
+    """A dictionary that outlives a task in its Python worker, for what is dear to load.
+
+    A worker keeps that of one owner at a time, so that jobs which follow each other don't add up
+    what they keep.
+    """
     name = "feedbackmill_worker_store"
-    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("kept", {})
+    if owner not in kept:
+        kept.clear()
+    return kept.setdefault(owner, {})
 
 
 def share(spark: SparkSession, value: object) -> Callable[[], object]:

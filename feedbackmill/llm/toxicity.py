@@ -28,7 +28,7 @@ MIN_DOCUMENTS = 4
 SENTENCE_AT = 0.5
 TOXIC_AT = 0.7
 #: Words whose weight a Python worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 _TOKENS = re.compile(r"\w+|[.!?\n]")
 _SENTENCES = re.compile(r"[^.!?\n]+[.!?]*")
@@ -50,7 +50,7 @@ class SentenceModel:
     key: str
 
     def kept(self) -> dict[str, float]:
-        store = worker_store().setdefault("toxicity", {})
+        store = worker_store("toxicity")
         if self.key not in store:
             store.clear()
             store[self.key] = {end: None for end in _ENDS}
@@ -61,7 +61,7 @@ class SentenceModel:
         tokens = _TOKENS.findall((text or "").lower())
         known = self.kept()
         if len(known) > KEPT_WORDS:
-            worker_store()["toxicity"].clear()
+            worker_store("toxicity").clear()
             known = self.kept()
         for word in set(tokens).difference(known):
             known[word] = float(self.weights[word_features(word)].sum())

@@ -94,7 +94,7 @@ class WordTokens:
 
 def word_tokens(path: str) -> WordTokens:
     """The tokenizer of this Python worker, loaded once."""
-    store = worker_store()
+    store = worker_store("word tokens")
     if path not in store:
         store[path] = WordTokens(path)
     return store[path]
