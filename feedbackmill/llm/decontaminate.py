@@ -1,8 +1,8 @@
-"""Copies of benchmark items in documents, edited ones too: rare n-gram seeds and local alignment.
+"""Copies of benchmark items in documents, edited ones too: pairs of neighbouring words and local alignment.
 
-Word n-grams of the items are counted over all documents. In every few neighbouring n-grams of an
-item the rarest is a seed, so that no item is without seeds, however common its words are. Where a
-document holds a seed, the item is aligned with the words around it.
+A passage that scores half of an item's best or more must keep many of the item's neighbouring
+words together. Those kept are counted around each place of a document, which rules out most items
+and loses no copy; the rest is aligned with the words around the place.
 """
 
 import re
@@ -17,12 +17,17 @@ from pyspark.sql import functions as F
 from feedbackmill.llm.common import share, slices
 from feedbackmill.session import stage
 
-GRAM = 3
-#: Neighbouring n-grams of which the rarest is a seed: an unedited run of SPREAD + GRAM - 1 words has one.
-SPREAD = 4
+#: Words that an item has at least; shorter ones are found nowhere.
+LEAST_WORDS = 3
 #: Smith-Waterman scores, and the part of an item's best score from which a passage is a copy.
 MATCH, MISMATCH, GAP = 2, -1, -1
 COPY_AT = 0.5
+#: What a copy of n words holds of the item's pairs of neighbours: KEPT times those that stay together
+#: plus PARTED times those with one foreign word between them is n - SPARE or more. For with MATCH = 2
+#: and costs of 1, a step to the next matched word brings 2 or 1 in these two cases, 1 at most if it
+#: leaves out one word of the item and nothing if it leaves out more; the steps cover n - 1 words at
+#: most, and must bring n - 2 for a score of COPY_AT * MATCH * n = n.
+KEPT, PARTED, SPARE = 3, 1, 3
 #: Items that are sought at once; more are sought block by block.
 BLOCK_ITEMS = 5000
 BLOCK_BYTES = 8 << 20
@@ -50,7 +55,7 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class Items:
-    """A block of benchmark items as numbered words, with their n-grams."""
+    """A block of benchmark items as numbered words, with their pairs."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -62,7 +67,7 @@ class Items:
         ids, words = [], []
         for item_id, text in rows:
             found = [vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall((text or "").lower())]
-            if len(found) >= GRAM:
+            if len(found) >= LEAST_WORDS:
                 ids.append(item_id)
                 words.append(np.array(found, np.int64))
         return cls(ids, words, vocabulary)
@@ -72,78 +77,94 @@ class Items:
         get = self.vocabulary.get
         return np.array([get(w, -1) for w in words], np.int64)
 
-    def grams(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n-gram as one number, position) of the n-grams made of items' words alone."""
-        n = len(numbers) - GRAM + 1
-        if n < 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        code, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(GRAM):
-            part = numbers[k : n + k]
-            code = code * len(self.vocabulary) + part
-            known &= part >= 0
-        return code[known], np.flatnonzero(known)
-
-    def all_grams(self) -> np.ndarray:
-        found = [self.grams(w)[0] for w in self.words]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    def pairs(self, numbers: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+        """(pair as one number, position) of the items' words that stand ``gap`` places apart."""
+        left, right = numbers[:-gap], numbers[gap:]
+        known = np.flatnonzero((left >= 0) & (right >= 0))
+        return left[known] * len(self.vocabulary) + right[known], known
 
 
 @dataclass
 class Seeds:
-    """Seeds of all items, sorted by n-gram."""
+    """All pairs of neighbouring words of the items; a pair's items lie between its bounds.
+
+    The first and the last word of an item of three are a pair too, since those two are a copy.
+    """
 
-    codes: np.ndarray
+    pairs: np.ndarray
+    bounds: np.ndarray
     items: np.ndarray
-    offsets: np.ndarray
+    times: np.ndarray
+    needed: np.ndarray
 
     @classmethod
-    def rarest(cls, items: Items, grams: np.ndarray, counts: np.ndarray) -> "Seeds":
-        rows = set()
+    def of(cls, items: Items) -> "Seeds":
+        found = []
         for i, words in enumerate(items.words):
-            codes, _ = items.grams(words)
-            rarity = counts[np.searchsorted(grams, codes)]
-            for at in range(max(1, len(codes) - SPREAD + 1)):
-                best = at + int(rarity[at : at + SPREAD].argmin())
-                rows.add((int(codes[best]), i, best))
-        table = np.array(sorted(rows), np.int64).reshape(-1, 3)
-        return cls(table[:, 0], table[:, 1], table[:, 2])
-
-    def hits(self, codes: np.ndarray, positions: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(item, where its beginning would be) for all items with a seed among the n-grams."""
-        first = np.searchsorted(self.codes, codes)
-        counts = np.searchsorted(self.codes, codes, side="right") - first
-        if not counts.any():
+            gaps = (1, 2) if len(words) == LEAST_WORDS else (1,)
+            codes, times = np.unique(np.concatenate([items.pairs(words, g)[0] for g in gaps]), return_counts=True)
+            found.append(np.stack([codes, np.full(len(codes), i), times], 1))
+        table = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        table = table[np.argsort(table[:, 0], kind="stable")]
+        pairs, first = np.unique(table[:, 0], return_index=True)
+        needed = np.array([max(PARTED, len(w) - SPARE) for w in items.words], np.int64)
+        return cls(pairs, np.r_[first, len(table)], table[:, 1], table[:, 2], needed)
+
+    def _known(self, codes: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
+        hit = self.pairs[at] == codes
+        return at[hit], positions[hit]
+
+    def places(self, items: Items, numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, positions) from which on twice the item's length may hold all pairs of a copy."""
+        if not len(self.pairs):
+            return
+        kept, kept_at = self._known(*items.pairs(numbers, 1))
+        parted, parted_at = self._known(*items.pairs(numbers, 2))
+        if not len(kept) + len(parted):
             return
-        which = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        begins = np.repeat(positions, counts) - self.offsets[which]
-        order = np.lexsort((begins, self.items[which]))
-        item, begins = self.items[which][order], begins[order]
-        cuts = np.flatnonzero(np.diff(item)) + 1
-        for part, where in zip(np.split(item, cuts), np.split(begins, cuts), strict=True):
-            yield int(part[0]), where
+        pair, at = np.r_[kept, parted], np.r_[kept_at, parted_at]
+        weight = np.r_[np.full(len(kept), KEPT), np.full(len(parted), PARTED)]
+        # First by what the whole text holds, each pair of an item once.
+        held, place = np.unique(pair, return_index=True)  # kept ones come first
+        counts = self.bounds[held + 1] - self.bounds[held]
+        entry = np.repeat(self.bounds[held] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        sums = np.bincount(
+            self.items[entry], np.repeat(weight[place], counts) * self.times[entry], minlength=len(self.needed)
+        )
+        for i in np.flatnonzero(sums >= self.needed):
+            mine = entry[self.items[entry] == i]
+            value = np.zeros(len(self.pairs), np.int64)
+            value[np.searchsorted(self.bounds, mine, side="right") - 1] = self.times[mine]
+            value = value[pair] * weight
+            order = np.flatnonzero(value)
+            order = order[np.argsort(at[order], kind="stable")]
+            where, total = at[order], np.r_[0, np.cumsum(value[order])]
+            until = np.searchsorted(where, where + 2 * len(items.words[i]))
+            enough = total[until] - total[:-1] >= self.needed[i]
+            if enough.any():
+                yield int(i), np.unique(where[enough])
 
 
 def copies(items: Items, seeds: Seeds, text: str) -> list[tuple[int, float, int, int]]:
     """(item position, score, start, end) of the best copy of each item; code points, end exclusive."""
     words = _WORD.findall(text.lower())
     numbers = items.numbers(words)
-    codes, positions = items.grams(numbers)
     found, places = [], None
-    for i, begins in seeds.hits(codes, positions):
+    for i, starts in seeds.places(items, numbers):
         item = items.words[i]
-        slack = len(item) // 3 + 2
+        reach = 2 * len(item)  # a copy has no more words, as each one too many costs a point
         best = (0, 0, 0)
-        # Hits whose windows overlap are aligned together.
-        for group in np.split(begins, np.flatnonzero(np.diff(begins) > len(item) + 2 * slack) + 1):
-            low, high = max(0, int(group[0]) - slack), int(group[-1]) + len(item) + slack
+        # Places whose surroundings overlap are aligned together.
+        for group in np.split(starts, np.flatnonzero(np.diff(starts) > 2 * reach) + 1):
+            low, high = max(0, int(group[0]) - reach), int(group[-1]) + reach
             window = numbers[low:high]
             # Words that the window lacks can't match, which bounds the score before any alignment.
             if np.isin(item, window).sum() < COPY_AT * len(item):
                 continue
             score, end = align(item, window)
             if score > best[0]:
-                _, back = align(item[::-1], window[:end][::-1])
+                _, back = align(item[::-1], window[max(0, end - reach) : end][::-1])
                 best = (score, low + end - back, low + end)
         if best[0] >= COPY_AT * MATCH * len(item):
             if places is None:
@@ -167,36 +188,13 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
         yield Items.of(held)
 
 
-def find_seeds(texts: DataFrame, items: Items) -> Seeds:
-    """Seeds of a block of items, by the number of documents with each of its n-grams."""
-    grams = items.all_grams()
-    shared = share(texts.sparkSession, (items, grams))  # at most a block
-
-    def count(batches):
-        items, grams = shared()
-        counts = np.zeros(len(grams), np.int64)
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                codes = np.unique(items.grams(items.numbers(_WORD.findall((text or "").lower())))[0])
-                at = np.minimum(np.searchsorted(grams, codes), max(0, len(grams) - 1))
-                counts[at[grams[at] == codes]] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(some), "n": pa.array(counts[some])})
-
-    total = np.zeros(len(grams), np.int64)
-    if len(grams):
-        for row in texts.mapInArrow(count, "gram long, n long").groupBy("gram").sum("n").collect():
-            total[row[0]] = row[1]
-    return Seeds.rarest(items, grams, total)
-
-
 def find_copies(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, item_id, score, start, end: the best copy of each item in each document that has one.
 
     Whole texts are searched, in upper or lower case and whatever stands between words. Null and
-    empty texts have no copies; items of fewer than three words have no seed and are found nowhere.
+    empty texts have no copies; items of fewer than three words are found nowhere.
     Repeated documents and items of one id but different texts are each reported, repeated items
     once. Other columns are ignored.
     """
@@ -204,7 +202,7 @@ def find_copies(
     schema = "doc_id long, item_id long, score double, start long, end long"
     result = None
     for items in item_blocks(benchmark):
-        shared = share(rows.sparkSession, (items, find_seeds(rows.select("text"), items)))
+        shared = share(rows.sparkSession, (items, Seeds.of(items)))  # at most a block
 
         def search(batches, shared=shared):
             items, seeds = shared()
@@ -227,7 +225,7 @@ def find_copies(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no copy of any item, with all their columns."""
     for items in item_blocks(benchmark):
-        shared = share(docs.sparkSession, (items, find_seeds(docs.select(F.col(text).alias("text")), items)))
+        shared = share(docs.sparkSession, (items, Seeds.of(items)))
 
         def clean(batches, shared=shared):
             items, seeds = shared()

@@ -86,3 +86,38 @@ def test_odd_rows_and_blocks(spark, monkeypatch):
     assert decontaminate.find_copies(doc_df, item_df.limit(0)).collect() == []
     assert decontaminate.find_copies(doc_df.limit(0), item_df).collect() == []
     assert decontaminate.drop_contaminated(doc_df, item_df.limit(0)).count() == len(docs)
+
+
+def test_evenly_edited_copies_of_short_items(spark):
+    """Every copy that scores enough is found, wherever its edits lie and however rare its words are."""
+    rng = random.Random(9)
+    want, docs, kinds = set(), [], {}
+    texts = [" ".join(f"r{i}x{k}" for k in range(n)) for i, n in enumerate([3, 4, 5, 8, 12, 20, 30, 30])]
+    for i, text in enumerate(texts):
+        words = text.split()
+        edits = {}
+        for step in (2, 3, 4, 5, 6):
+            edits[f"replaced {step}"] = [w if (k + 1) % step else "foreign" for k, w in enumerate(words)]
+            edits[f"dropped {step}"] = [w for k, w in enumerate(words) if (k + 1) % step]
+            edits[f"parted {step}"] = [x for k, w in enumerate(words) for x in ([w] if (k + 1) % step else [w, "foreign"])]
+        for share in (0.2, 0.25, 0.3):
+            for n in range(20):
+                edits[f"random {share} {n}"] = [w if rng.random() >= share else "foreign" for w in words]
+        for kind, edited in edits.items():
+            if plain_align(words, edited) >= len(words):
+                want.add((len(docs), i))
+                kinds[kind] = kinds.get(kind, 0) + 1
+            docs.append((len(docs), " ".join(["around"] * 50 + edited + ["around"] * 50)))
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    found = decontaminate.find_copies(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    assert {"replaced 3", "replaced 4", "replaced 5", "replaced 6", "parted 2", "dropped 3"} <= kinds.keys()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=3, max_size=9), st.lists(st.integers(0, 4), max_size=30))
+def test_no_copy_is_ruled_out(item, words):
+    items = decontaminate.Items.of([(1, " ".join(map(str, item)))])
+    found = decontaminate.copies(items, decontaminate.Seeds.of(items), " ".join(map(str, words)))
+    score = plain_align(item, words)
+    assert [f[1] for f in found] == ([score / (2 * len(item))] if score >= len(item) else [])
