@@ -45,16 +45,24 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the signed fingerprint of each row; other columns are ignored."""
+def _mark(text: Column) -> Column:
+    """A hash that tells texts of one id, or of none, apart."""
+    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", marked: bool = False) -> DataFrame:
+    """doc_id and the signed fingerprint of each row, if asked a mark of its text; other columns are ignored."""
+    kept = ["doc_id", "mark"] if marked else ["doc_id"]
 
     def hashed(batches):
         for batch in slices(batches, "text"):
             found = [fingerprint(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(found, pa.int64())})
+            columns = {c: batch.column(c) for c in kept}
+            yield pa.RecordBatch.from_pydict({**columns, "fp": pa.array(found, pa.int64())})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(hashed, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _mark(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    schema = "doc_id long, mark string, fp long" if marked else "doc_id long, fp long"
+    return rows.select(*kept, "text").mapInArrow(hashed, schema)
 
 
 class BKTree:
@@ -235,6 +243,19 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ordered.mapInArrow(join, "a long, b long")
 
 
+def _named_classes(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, class (the smallest fingerprint of its class), component_id of each fingerprint in ``rows``."""
+    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    roots = components(links(classes.select("fp"), radius), "fp", "class")
+    in_class = roots.join(classes, "fp")
+    firsts = in_class.groupBy("class").agg(F.min("first").alias("least"))
+    least = in_class.join(firsts, "class").select("fp", "class", "least")
+    named = classes.join(least, "fp", "left").select(
+        "fp", F.coalesce("class", "fp").alias("class"), F.coalesce("least", "first").alias("component_id")
+    )
+    return stage(named, "named-classes")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, signed fp, component_id of every row: the smallest id that links lead to.
 
@@ -243,29 +264,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     back each. A null id is no class's smallest unless nothing else is in the class.
     """
     rows = stage(fingerprints(docs, doc_id, text), "fingerprints")
-    classes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes.select("fp"), radius), "fp", "root")
-    in_class = roots.join(classes, "fp")
-    firsts = in_class.groupBy("root").agg(F.min("first").alias("least"))
-    least = in_class.join(firsts, "root").select("fp", "least")
-    named = stage(
-        classes.join(least, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")),
-        "named-classes",
-    )
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(_named_classes(rows, radius), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class of near duplicates, with all its columns: that with the smallest id.
 
-    Of repeated rows of that id the one with the largest columns, in their order, stays. A class in
-    which no row has an id keeps one row, too.
+    Of repeated rows of that id in the class the one with the largest columns, in their order,
+    stays. A class in which no row has an id keeps one row, too. Rows are told apart by id and
+    text, so an id that stands for several texts loses none, if they lie in classes of their own.
     """
-    classes = near_duplicates(docs, radius, doc_id, text)
-    firsts = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
-    one = rows.groupBy("_id").agg(F.max("_row").alias("_row"))
-    kept = one.join(firsts.distinct(), F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
+    rows = stage(fingerprints(docs, doc_id, text, marked=True), "fingerprints")
+    classes = rows.join(_named_classes(rows, radius), "fp")
+    firsts = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    firsts = firsts.select(F.col("doc_id").alias("_first"), F.col("mark").alias("_first_mark"), F.col("class").alias("_class"))
+    packed = docs.select(
+        F.col(doc_id).cast("long").alias("_id"), _mark(F.col(text)).alias("_mark"),
+        F.struct(*(F.col(c) for c in docs.columns)).alias("_row"),
+    )
+    one = packed.groupBy("_id", "_mark").agg(F.max("_row").alias("_row"))
+    same = F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_mark") == F.col("_first_mark"))
+    kept = one.join(firsts.distinct(), same).groupBy("_class").agg(F.max("_row").alias("_row"))
     return kept.select("_row.*")
 
 

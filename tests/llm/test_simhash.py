@@ -110,3 +110,16 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(3, 3), (None, 4), (141, 140), (59, 58)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 142)} | {i: 7 for i in range(7, 60)}
+
+
+def test_kept_rows_by_class(spark):
+    """Several texts without an id, and ids that stand for several texts."""
+    plain = ["alpha beta gamma delta", "one two three four", "red green blue black"]
+    rows = [(None, plain[0], 1), (None, plain[1], 1), (None, plain[1], 2), (None, plain[2], 1), (4, plain[2], 1)]
+    rows += [(1, "north south east west", 1), (1, "iron gold tin lead", 1), (2, "iron gold tin lead", 1)]
+    rows += [(3, "sun moon star sky", 1), (3, "sun moon star sky", 2), (None, None, 1), (None, "", 2)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted(map(tuple, kept), key=lambda r: (r[0] or 0, r[1] or "")) == [
+        (None, "", 2), (None, plain[0], 1), (None, plain[1], 2),
+        (1, "iron gold tin lead", 1), (1, "north south east west", 1), (3, "sun moon star sky", 2), (4, plain[2], 1),
+    ]
