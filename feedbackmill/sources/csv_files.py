@@ -138,6 +138,12 @@ def dataset_keys(records: DataFrame) -> DataFrame:
     )
 
 
+def file_datasets(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
+    """(file_path, business_url) of the files; those of no bytes are in no dataset and left out."""
+    titles = _raw_rows(spark, paths, multi_line).select("file_path", "file_name", "file_time", "_block", "_seq", "title")
+    return dataset_keys(_number_records(stage(titles, "titles"))).select("file_path", "business_url")
+
+
 def part_files(records: DataFrame) -> DataFrame:
     """(business_url, file_path, rows_before): files of one dataset are parts of one upload.
 

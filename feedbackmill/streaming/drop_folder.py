@@ -1,5 +1,6 @@
 """Ingest of the CSV files that have arrived or changed in a folder since the last run."""
 
+import time
 from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
@@ -9,30 +10,58 @@ from pyspark.sql import functions as F
 from feedbackmill.plans.ingest import IngestOptions, RunResult, ingest_csv
 from feedbackmill.session import scratch, stage
 from feedbackmill.sinks.store import ReviewStore
+from feedbackmill.sources.csv_files import file_datasets
 
 VERSION = ("path", "modificationTime", "length")
-VERSION_ROWS = "path string, modificationTime timestamp, length long"
+#: A file without a dataset has an empty one; ``call`` grows from one call to the next.
+LEDGER_ROWS = "path string, modificationTime timestamp, length long, dataset string, call long"
 
 
 def _seen(store: ReviewStore, ledger: str) -> DataFrame:
+    """Rows of the ledger; files that were noted without their dataset count as not seen."""
     try:
-        return store.spark.read.schema(VERSION_ROWS).parquet(ledger)
+        return store.spark.read.schema(LEDGER_ROWS).parquet(ledger).where("dataset is not null")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return store.spark.createDataFrame([], VERSION_ROWS)
+        return store.spark.createDataFrame([], LEDGER_ROWS)
 
 
-def new_files(store: ReviewStore, folder: str, ledger: str) -> DataFrame:
-    """Files that the ledger doesn't hold with this time and length; their contents are not read."""
-    arrived = (
+def present_files(store: ReviewStore, folder: str) -> DataFrame:
+    """The CSV files of the folder; their contents are not read."""
+    return (
         store.spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.[cC][sS][vV]")
         .option("recursiveFileLookup", True)
         .load(folder)
-        .select(*VERSION)
+        .select(*VERSION, F.col("_metadata.file_path").alias("file_path"))
     )
-    return arrived.join(_seen(store, ledger), list(VERSION), "left_anti")
+
+
+def _with_datasets(store: ReviewStore, files: DataFrame, resolved: str, limit: int) -> DataFrame:
+    """``files`` with their datasets; the table in ``resolved`` grows by ``limit`` files at a time."""
+    schema = f"{LEDGER_ROWS.rsplit(',', 1)[0]}, file_path string"
+    store.spark.createDataFrame([], schema).write.parquet(resolved)
+    while True:
+        known = store.spark.read.schema(schema).parquet(resolved)
+        left = files.join(known, "file_path", "left_anti").select(*VERSION, "file_path")
+        some = left.orderBy("file_path").limit(limit).collect()
+        if not some:
+            return known
+        datasets = file_datasets(store.spark, [r["path"] for r in some])
+        rows = store.spark.createDataFrame(some, left.schema).join(datasets, "file_path", "left")
+        rows = rows.select(*VERSION, F.coalesce("business_url", F.lit("")).alias("dataset"), "file_path")
+        rows.write.mode("append").parquet(resolved)
+
+
+def _parts(present: DataFrame, new: DataFrame, seen: DataFrame) -> DataFrame:
+    """The files to ingest: the new ones, and the other parts of uploads of which a part was rewritten."""
+    last = seen.where("dataset <> ''").groupBy("dataset").agg(F.max("call").alias("call"))
+    current = seen.join(last, ["dataset", "call"]).select(*VERSION, "dataset").distinct()
+    touched = current.join(new.select("path"), "path", "left_semi").select("dataset").distinct()
+    others = current.join(touched, "dataset", "left_semi").join(present, list(VERSION), "left_semi")
+    others = others.join(new.select("path"), "path", "left_anti")
+    return new.select(*VERSION, "dataset").unionByName(others.select(*VERSION, "dataset"))
 
 
 def ingest_new_files(
@@ -46,18 +75,39 @@ def ingest_new_files(
     """Ingest the new and the rewritten files, oldest first, and remember them in ``ledger``.
 
     A file stream knows files by path only and would never read a rewritten one, so the ledger
-    keeps path, time and length. Headers differ from file to file, so each batch of paths goes
-    through the batch reader; files of one dataset in a batch are parts of one upload, and a later
-    batch replaces it. A batch that fails is not remembered and comes again.
+    keeps path, time and length, and the dataset of each file. Headers differ from file to file, so
+    each batch of paths goes through the batch reader. A batch holds all parts of its datasets: it
+    ends before ``files_per_batch`` files, unless a single dataset has more. New files of a dataset
+    in one call are parts of one upload and replace what earlier calls brought; if a part of the
+    present upload was rewritten, its other parts are ingested with it. A batch that fails is not
+    remembered and comes again.
     """
-    with scratch(store.spark):
-        files = stage(new_files(store, folder, ledger), "new-files")
+    spark = store.spark
+    with scratch(spark) as staged:
+        present = stage(present_files(store, folder), "present-files")
+        seen = stage(_seen(store, ledger), "ledger")
+        new = stage(present.join(seen, list(VERSION), "left_anti"), "new-files")
+        call = max(time.time_ns(), (seen.agg(F.max("call")).first()[0] or 0) + 1)
+        new = _with_datasets(store, new, f"{staged}/resolved", files_per_batch)
+        parts = stage(_parts(present, new, seen), "parts")
+        sizes = parts.groupBy("dataset").agg(F.min("modificationTime").alias("oldest"), F.count("*").alias("files"))
+        sizes = stage(sizes, "batches")
+        after = F.lit(True)
         while True:
-            # At most ``files_per_batch`` paths reach the driver.
-            left = files.join(_seen(store, ledger), list(VERSION), "left_anti")
-            batch = left.orderBy("modificationTime", "path").limit(files_per_batch).collect()
-            if not batch:
+            # Paths of ``files_per_batch`` files, or of one dataset, reach the driver.
+            heads = sizes.where(after).orderBy("oldest", "dataset").limit(files_per_batch).collect()
+            if not heads:
                 return
-            yield ingest_csv(store, [r["path"] for r in batch], options, max_rows)
-            done = store.spark.createDataFrame(batch, VERSION_ROWS)
-            done.select(*(F.col(c) for c in VERSION)).coalesce(1).write.mode("append").parquet(ledger)
+            take, files = 1, heads[0]["files"]
+            while take < len(heads) and files + heads[take]["files"] <= files_per_batch:
+                files += heads[take]["files"]
+                take += 1
+            end = heads[take - 1]
+            after = (F.col("oldest") > F.lit(end["oldest"])) | (
+                (F.col("oldest") == F.lit(end["oldest"])) & (F.col("dataset") > F.lit(end["dataset"]))
+            )
+            batch = parts.where(F.col("dataset").isin([r["dataset"] for r in heads[:take]])).collect()
+            if paths := [r["path"] for r in batch if r["dataset"]]:
+                yield ingest_csv(store, paths, options, max_rows)
+            done = spark.createDataFrame(batch, parts.schema).withColumn("call", F.lit(call))
+            done.coalesce(1).write.mode("append").parquet(ledger)

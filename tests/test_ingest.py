@@ -293,6 +293,40 @@ def test_drop_folder_takes_each_file_once(spark, tmp_path):
     assert rows(store.read("reviews", "one.csv"), "review_text") == [("rewritten text",)]
 
 
+def test_drop_folder_keeps_all_parts_of_a_dataset(spark, tmp_path):
+    folder, store = tmp_path / "drop", ReviewStore(spark, str(tmp_path / "store"))
+    options = ingest.IngestOptions(as_of=AS_OF, derived=())
+
+    def run():
+        return len(list(ingest_new_files(store, str(folder), str(tmp_path / "seen"), options, files_per_batch=1)))
+
+    def texts(dataset):
+        return sorted(t for (t,) in rows(store.read("reviews", dataset), "review_text"))
+
+    for part in "abc":
+        write(folder, f"part {part}+.csv", f"text,title\nfirst {part},Shop\n")
+    write(folder, "other.csv", "text\nalone\n")
+    write(folder, "empty.csv", "")
+    assert (run(), run()) == (2, 0)
+    assert texts("Shop") == ["first a", "first b", "first c"] and texts("other.csv") == ["alone"]
+    # A rewritten part comes with the other ones, and with a part that is new.
+    write(folder, "part b+.csv", "text,title\nsecond version b,Shop\n")
+    write(folder, "part d+.csv", "text,title\nfirst d,Shop\n")
+    assert (run(), run()) == (1, 0)
+    assert texts("Shop") == ["first a", "first c", "first d", "second version b"]
+    # A part that moves to another dataset leaves its former one.
+    write(folder, "part a+.csv", "text,title\nmoved away,Second shop\n")
+    assert (run(), run()) == (2, 0)
+    assert texts("Shop") == ["first c", "first d", "second version b"] and texts("Second shop") == ["moved away"]
+    # Only new files: a later upload, which replaces the earlier one with all its parts.
+    write(folder, "part e+.csv", "text,title\nlater upload,Shop\n")
+    assert (run(), run()) == (1, 0)
+    assert texts("Shop") == ["later upload"]
+    write(folder, "part e+.csv", "text,title\nlater upload rewritten,Shop\n")
+    assert (run(), run()) == (1, 0)
+    assert texts("Shop") == ["later upload rewritten"]
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, 4.0, ' say "hi"\nthere ', None), (2, 2.5, "", "x,y")],
