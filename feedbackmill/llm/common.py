@@ -64,25 +64,30 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, max_bytes: int) -> list[tuple[str, object]]:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, rows: int, max_bytes: int, max_text_share: float = 0.01
+) -> list[tuple[str, object]]:
     """(text, label) of at most ``rows`` documents, picked by a hash of the id.
 
     ``docs`` gives doc_id and text, ``labels`` doc_id and label. Rows with a null text or label or
     of the held-out third are left out; of several labels of an id the largest counts. Ids and
-    sizes are read first, texts only of those chosen, and picking ends before ``max_bytes`` of
-    text, so what reaches the driver is bounded by both, whatever the size of the input.
+    sizes are read first, texts only of those chosen. Texts above ``max_text_share`` of ``max_bytes``
+    come after all others, and one that would pass ``max_bytes`` in all is skipped. So what reaches
+    the driver is bounded by rows and bytes, whatever the size of the input, and a few very long
+    texts don't take the place of many.
     """
     named = labels.where(F.col("label").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
     pool = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     sizes = pool.select("doc_id", F.octet_length("text").alias("size")).groupBy("doc_id").agg(F.max("size").alias("size"))
+    long = F.col("size") > int(max_bytes * max_text_share)
     heads = (
-        sizes.join(named, "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(rows).collect()
+        sizes.join(named, "doc_id").orderBy(long, F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(rows).collect()
     )
     chosen, total = {}, 0
     for row in heads:
+        if total + row["size"] > max_bytes:
+            continue
         total += row["size"]
-        if chosen and total > max_bytes:
-            break
         chosen[row["doc_id"]] = row["label"]
     if not chosen:
         return []

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 
 from feedbackmill.llm import langid, toxicity
+from feedbackmill.llm.common import labelled_sample
 from feedbackmill.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -91,3 +92,16 @@ def test_language_of_odd_rows(spark):
         assert len(got) == len(ODD)
         assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if r["doc_id"] in (1, 2, 3, 4, 5))
     assert langid.predict_language(rows.limit(0), None).collect() == []
+
+
+def test_long_texts_leave_the_sample_its_rows(spark):
+    """Every fourth text is too long for the sample, or so long that few of them fill it."""
+    texts = [(i, ("x" * (200_000 if i % 8 else 30_000)) if i % 4 == 0 else f"short {i}") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 as label")
+    sample = labelled_sample(docs, labels, 50, 100_000)
+    assert len(sample) == 50 and all(t.startswith("short") for t, _ in sample)
+    sample = labelled_sample(docs, labels, 200, 100_000)
+    assert sum(t.startswith("short") for t, _ in sample) > 80 and 0 < sum(t.startswith("x") for t, _ in sample) <= 3
+    assert sum(len(t) for t, _ in sample) <= 100_000
+    assert labelled_sample(docs.where("doc_id % 8 = 4"), labels, 50, 100_000) == []
