@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedbackmill.llm import ann, chat, decontaminate, langid, packing, pii, simhash, token_files, toxicity, warc
+from feedbackmill.llm import (
+    ann, chat, decontaminate, exact, langid, packing, pii, simhash, token_files, toxicity, warc, whitening,
+)
 from feedbackmill.llm.common import held_out
 from feedbackmill.sources.sample_tables import table
 
@@ -139,3 +141,23 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
         pii.spans_text(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(documents(spark, sf_dir), hash_unique=True)
+
+
+ORACLES["op11_exact_dedup"] = r"""
+with rows as (
+    select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
+)
+select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size,
+       row_number() over (partition by text_sha256 order by doc_id nulls last) = 1 as kept, text_sha256
+from rows window same as (partition by text_sha256)
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
