@@ -77,13 +77,13 @@ def stored_bytes(staged: DataFrame) -> int:
     return files.getContentSummary(path).getLength()
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def stage(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder per value of the columns ``by``, and read it back.
 
     Cuts the lineage, fixes non-deterministic columns, and gives later joins a table whose size is
     known from its files.
     """
     spark = df.sparkSession
     path = f"{_scratch.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
