@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedbackmill.llm import (
-    ann, chat, decontaminate, exact, langid, packing, pii, simhash, token_files, toxicity, warc, whitening,
+    ann, chat, conversation_trie, decontaminate, exact, langid, packing, pii, simhash, token_files, toxicity, warc, whitening,
 )
 from feedbackmill.llm.common import held_out
 from feedbackmill.sources.sample_tables import table
@@ -161,3 +161,57 @@ from rows window same as (partition by text_sha256)
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_trie.prefix_nodes(spark, turns)
+
+
+# Unsigned crc32 of an id's digits, bit by bit.
+_CRC32_SQL = """xor(4294967295, list_reduce(
+    list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint)),
+    lambda crc, byte: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda v, i:
+        case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, xor(crc, byte)), 4294967295))"""
+ORACLES["op13_conversation_trie"] = f"""
+with recursive own as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+           row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) - 1 as pos
+    from conversations where conv_id is not null
+), convs as (
+    select conv_id, conv_id - conv_id % 20 as base, {_CRC32_SQL} % 4 as h from (select distinct conv_id from own)
+), said as (
+    select c.conv_id, o.pos, o.role, o.text from convs c join own o on o.conv_id = c.base and o.pos < c.h
+    union all select c.conv_id, o.pos, o.role, o.text from convs c join own o on o.conv_id = c.conv_id and o.pos >= c.h
+), turns as (
+    select *, row_number() over (partition by conv_id order by pos) as depth,
+           len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words
+    from said
+), paths as (
+    select conv_id, 0 as depth, '' as node, '' as above, 0 as words from convs
+    union all
+    select p.conv_id, p.depth + 1, md5(p.node || md5(t.role) || md5(t.text)), p.node, t.words
+    from paths p join turns t on t.conv_id = p.conv_id and t.depth = p.depth + 1
+), nodes as (
+    select node, min(depth) as depth, min(above) as above, min(words) as words, min(conv_id) as conv_id, count(*) as n_convs
+    from paths group by node
+), lasts as (
+    select conv_id, max(depth) as depth from paths group by conv_id
+), ended as (
+    select p.node, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids
+    from paths p join lasts using (conv_id, depth) group by p.node
+), children as (
+    select above as node, count(*) as n from nodes where depth > 0 group by above
+), below as (
+    select u.node, v.node as lower from paths u join paths v on u.conv_id = v.conv_id and u.depth <= v.depth group by all
+), sums as (
+    select b.node, sum((v.n_convs - 1) * v.words) as saved, count(*) filter (c.n is null) as leaves
+    from below b join nodes v on v.node = b.lower left join children c on c.node = v.node group by b.node
+)
+select n.conv_id, cast(n.depth as bigint) as depth, case when n.depth > 0 then a.conv_id end as parent_conv_id, n.n_convs,
+       coalesce(c.n, 0) as n_children, s.leaves as n_leaves, cast(s.saved as bigint) as saved_tokens,
+       sha256(coalesce(e.ids, '')) as ends_sha256
+from nodes n join sums s using (node) left join children c using (node) left join ended e using (node)
+left join nodes a on a.node = n.above
+"""
