@@ -49,7 +49,9 @@ class WordTokens:
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        # Byte-level vocabularies write all bytes but those of printable ASCII as other letters.
+        plain = piece.isascii() and piece.isprintable()
+        shown = piece if plain else "".join(map(self.letters.__getitem__, piece.encode()))
         found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         if len(self.pieces) >= KEPT_CHUNKS:
             self.pieces.clear()

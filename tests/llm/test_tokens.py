@@ -36,11 +36,28 @@ def test_cached_ids_equal_whole_text_ids(tokens):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("aZé Σς́İß×²½1'.,<|>\n\t\x0b\x1c  日😀stmre"), max_size=40))
+@given(st.text(st.sampled_from("aZé Σς́İß×²½1'.,<|>\n\t\x0b\x1c\x00\x01\x1f\x7f\x80\x85\xa0\xad  日😀stmre"), max_size=40))
 def test_cached_ids_of_odd_texts(tokens, text):
     assert tokens.encode(text).tolist() == plain_ids(tokens, text)
 
 
+def test_ids_of_every_low_code_point(tokens):
+    for point in range(0x250):
+        for text in (chr(point), f"a{chr(point)}b", f"1 {chr(point)}{chr(point)} x", f"é{chr(point)}."):
+            assert tokens.encode(text).tolist() == plain_ids(tokens, text), hex(point)
+
+
+def test_control_characters_through_files_and_packing(spark, tokens):
+    texts = [f"a{chr(point)}b é{chr(point)}" for point in [*range(0x20), *range(0x7F, 0xA1)]] + ["\x7f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ids = {i: plain_ids(tokens, t) for i, t in enumerate(texts)}
+    for r in token_files.token_file_digest(df, word_tokenizer(), 2).collect():
+        mine = np.array([*ids[r["doc_id"]], 2], "<u4")
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(mine), zlib.crc32(mine.tobytes()))
+    pieces = packing.token_pieces(df, word_tokenizer(), capacity=2048, end_id=0)
+    check_packing(packing.pack_pieces(pieces, capacity=2048).collect(), ids)
+
+
 def test_special_strings_and_forgetting(tokens, monkeypatch):
     monkeypatch.setattr("feedbackmill.llm.word_tokens.KEPT_CHUNKS", 3)
     for text in ("a<|endoftext|>b <|startoftext|>", "one two three four five six one two", "I'm don'T he'Ll"):
