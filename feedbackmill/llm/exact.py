@@ -7,13 +7,12 @@ level leaves is told to the next one by a bitmap of fixed size, so that texts ar
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedbackmill.llm.bitmap import only_survivors, survivors
 from feedbackmill.llm.hot_join import join_groups
 from feedbackmill.session import stage
 
 #: Characters of a text's beginning that the second level compares.
 PREFIX_CHARS = 128
-#: 64-bit words of a bitmap. It is broadcast, and has as many rows at most.
-MAP_WORDS = 1 << 18
 # Fixed value: the white space that counts as one space.
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -23,28 +22,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _SPACE, " ")
 
 
-def _place(keys: list[str]) -> tuple[Column, Column]:
-    """Word and bit of a key in the bitmap."""
-    at = F.pmod(F.xxhash64(*keys), F.lit(MAP_WORDS * 64))
-    return F.floor(at / 64).cast("int"), at.cast("int").bitwiseAND(F.lit(63))
-
-
-def survivors(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """The bitmap (word, bits) of the groups' keys: ``MAP_WORDS`` rows at most, whatever their number."""
-    word, bit = _place(keys)
-    marked = groups.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
-    return marked.groupBy("word").agg(F.bit_or("bits").alias("bits"))
-
-
-def only_survivors(rows: DataFrame, bitmap: DataFrame, keys: list[str], name: str = "survives") -> DataFrame:
-    """``rows`` with a mark of those whose key may be in the bitmap; it is never false for one that is."""
-    word, bit = _place(keys)
-    placed = rows.withColumns({"_word": word, "_bit": bit})
-    joined = placed.join(F.broadcast(bitmap), F.col("_word") == F.col("word"), "left")
-    hit = F.call_function("shiftright", F.col("bits"), F.col("_bit")).bitwiseAND(F.lit(1).cast("long")) == 1
-    return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_word", "_bit", "word", "bits")
-
-
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

@@ -21,3 +21,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     met = rows.join(large, keys)
     rest = rows.join(large.select(*keys), keys, "left_anti").join(groups.where(~hot), keys)
     return met.unionByName(rest)
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: str, counts: DataFrame, total: int) -> DataFrame:
+    """Inner join of ``rows`` to a table with any number of rows per key; hot keys of ``rows`` are spread.
+
+    ``counts`` has key and n, the number of rows of a key, of ``total`` in all; it should be staged.
+    A hot key's rows go to as many tasks as it holds times ``HOT_SHARE``, by the column ``spread``,
+    with a copy of the key's rows of ``table`` in each. Other keys are not copied.
+    """
+    bound = max(1.0, total * HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col("n") > F.lit(bound)).select(key, F.ceil(F.col("n") / bound).cast("int").alias("_copies")))
+    salt = F.when(F.col("_copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_copies")).cast("int"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1))
+    salted = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_copies")
+    copied = table.join(hot, key, "left").withColumn("_salt", copies).drop("_copies")
+    return salted.join(copied, [key, "_salt"]).drop("_salt")

@@ -1,14 +1,16 @@
 """Copies of benchmark items: planted exact and edited ones, and a plain alignment."""
 
+import math
 import random
 import re
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from feedbackmill.llm import decontaminate
+from feedbackmill.llm import bitmap, decontaminate
 from feedbackmill.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -73,8 +75,10 @@ def test_edited_copies(spark):
         assert len(texts[r["doc_id"]][r["start"] : r["end"]].split()) in range(28, 50)
 
 
-def test_odd_rows_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+@pytest.mark.parametrize("words", [1, bitmap.MAP_WORDS])
+def test_odd_rows(spark, monkeypatch, words):
+    monkeypatch.setattr(bitmap, "MAP_WORDS", words)
+    monkeypatch.setattr(decontaminate, "KEPT_WORDS", 3)
     items = [(1, None), (2, ""), (3, "two words"), (4, "the quick brown fox jumps"), (4, "the quick brown fox jumps"), (5, "ein kleines Haus am See"), (None, "nobody knows my name")]
     docs = [(1, None), (2, ""), (3, "The quick, brown fox -- jumps. Ein KLEINES haus am See!"), (3, "nobody knows my name"), (4, "fox the of"), (5, "the quick brown fox jumps " * 20_000)]
     item_df = spark.createDataFrame(items, "item_id long, text string")
@@ -118,6 +122,43 @@ def test_evenly_edited_copies_of_short_items(spark):
 @given(st.lists(st.integers(0, 3), min_size=3, max_size=9), st.lists(st.integers(0, 4), max_size=30))
 def test_no_copy_is_ruled_out(item, words):
     items = decontaminate.Items.of([(1, " ".join(map(str, item)))])
-    found = decontaminate.copies(items, decontaminate.Seeds.of(items), " ".join(map(str, words)))
+    found = decontaminate.copies(items, decontaminate.Pairs.of(items), " ".join(map(str, words)))
     score = plain_align(item, words)
     assert [f[1] for f in found] == ([score / (2 * len(item))] if score >= len(item) else [])
+
+
+def test_seeds_are_the_rarest_pairs_and_join_every_copy(spark):
+    """Each document that scores enough is a candidate, and common pairs alone make none."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(3, 25)))) for i in range(40)]
+    docs = []
+    for i in range(400):
+        said = rng.choice(items)[1].split()
+        edited = [x for w in said for x in ([w], [w], [w, rng.choice(words)], [rng.choice(words)], [])[rng.randrange(5)]]
+        docs.append((i, " ".join(rng.choices(words, k=20) + edited + rng.choices(words, k=20))))
+    docs += [(1000 + i, "common pair " * 3) for i in range(600)]
+    items += [(100, "common pair of words that is the only thing known of this item"), (101, "common pair common pair common pair")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "doc_id as doc", "text")
+    numbered = decontaminate.numbered_items(spark.createDataFrame(items, "item_id long, text string"))
+    ids = {r["item"]: r["item_id"] for r in numbered.collect()}
+    found = {(r["doc"], ids[r["item"]]) for r in decontaminate.candidates(df, numbered).collect()}
+    want = {(d, i) for d, t in docs for i, x in items if plain_align(x.split(), t.split()) >= len(x.split())}
+    assert want <= found and len(want) > 600
+    assert not any(i == 100 for _, i in found)
+
+
+def test_one_scan_of_texts_for_any_number_of_items(spark):
+    items = spark.createDataFrame([(i, f"a b{i} c d e{i} f g h{i} j k") for i in range(9000)], "item_id long, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = decontaminate.find_copies(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 1
+
+
+@given(st.integers(3, 400))
+def test_plan_of_seeds(words):
+    seeds, shared = decontaminate.seed_plan(words)
+    pairs = words - 1 if words > 3 else 3
+    held = max(1, math.ceil((words - 3) / 3))
+    # The pairs that are no seeds, all held, leave so many for the seeds.
+    assert 1 <= shared <= held and held - (pairs - seeds) == shared and seeds <= pairs

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from feedbackmill.llm import exact, hot_join
+from feedbackmill.llm import bitmap, exact, hot_join
 
 
 def plain(rows):
@@ -43,9 +43,9 @@ def test_odd_rows(spark):
     assert exact.exact_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-@pytest.mark.parametrize("words", [1, exact.MAP_WORDS])
+@pytest.mark.parametrize("words", [1, bitmap.MAP_WORDS])
 def test_many_copies_with_full_and_empty_bitmaps(spark, monkeypatch, words):
-    monkeypatch.setattr(exact, "MAP_WORDS", words)
+    monkeypatch.setattr(bitmap, "MAP_WORDS", words)
     monkeypatch.setattr(exact, "PREFIX_CHARS", 4)
     rng = random.Random(words)
     rows = [(i, "the same text") for i in range(0, 3000, 3)]  # a third of all
