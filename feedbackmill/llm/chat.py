@@ -82,7 +82,10 @@ def chat_tokens(path: str, pattern: str) -> ChatTokens:
 
 
 def encode_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
-    """conv_id, turn, role, ids and mask of each row, encoded where it lies. Null role and text are empty."""
+    """conv_id, turn, role, mark (a hash of the text), ids and mask of each row, encoded where it lies.
+
+    Null role and text are empty.
+    """
 
     def encode(batches):
         tokens = chat_tokens(path, pattern)
@@ -91,7 +94,7 @@ def encode_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
             made = [tokens.turn(r, t) for r, t in pairs]
             sizes = pa.array(np.cumsum([0, *(len(i) for i, _ in made)]), pa.int32())
             yield pa.RecordBatch.from_pydict({
-                "conv_id": batch.column("conv_id"), "turn": batch.column("turn"), "role": batch.column("role"),
+                **{c: batch.column(c) for c in ("conv_id", "turn", "role", "mark")},
                 "ids": pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([i for i, _ in made]), pa.int32())),
                 "mask": pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([m for _, m in made]))),
             })
@@ -100,7 +103,8 @@ def encode_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
-    return rows.mapInArrow(encode, "conv_id long, turn long, role string, ids array<int>, mask array<boolean>")
+    rows = rows.withColumn("mark", F.md5(F.col("text").cast("binary")))
+    return rows.mapInArrow(encode, "conv_id long, turn long, role string, mark string, ids array<int>, mask array<boolean>")
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
@@ -125,7 +129,7 @@ def _assemble(batches, tokens: ChatTokens):
 
 
 def _sorted(encoded: DataFrame) -> DataFrame:
-    order = ("conv_id", "turn", "role", "ids")
+    order = ("conv_id", "turn", "role", "mark")
     return encoded.repartition("conv_id").sortWithinPartitions(*order)
 
 
@@ -133,7 +137,7 @@ def format_conversations(turns: DataFrame, path: str, pattern: str) -> DataFrame
     """The formatted conversations, a row per turn: conv_id, nth, start, ids, mask.
 
     A conversation's output is that of its rows by ``nth``, one after the other; ``start`` is the
-    place of a row's first id. Turns go by ``turn``, nulls first, ties by role and then by ids.
+    place of a row's first id. Turns go by ``turn``, nulls first, ties by role and then by a hash of the text.
     Rows of a null conv_id are one conversation. All rows are kept, other columns are ignored, and a
     conversation may have any number of turns: tasks hold one Arrow batch at a time.
     """

@@ -64,9 +64,9 @@ with turns as (
     union all values (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')
 )
 select conv_id, count(*) as n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, md5(text))) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, md5(text)) filter (role = 'assistant'), '')) as loss_sha256,
        cast({len(chat.MARKS[0])} + sum({sum(map(len, chat.MARKS[1:]))} + length({_escaped_sql("role")})
             + length({_escaped_sql("text")})) as bigint) as formatted_chars
 from turns group by conv_id

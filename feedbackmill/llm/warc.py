@@ -24,6 +24,8 @@ from feedbackmill.session import shared_dir, stage
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads from this size on are written once.
 SHARED_BYTES = 1000
+#: Tasks over which the copies of one payload are spread.
+PARTS = 64
 #: Compressed bytes after which a package ends, and bytes of records that one range read asks for.
 PACKAGE_BYTES = 16 << 20
 RANGE_BYTES = 2 << 20
@@ -82,19 +84,27 @@ def read_record(record: bytes) -> dict:
 def with_originals(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, html and refers_to: the largest page_id with an equal payload, if that is another one.
 
-    Payloads are compared by size and SHA-256; ids and digests alone are grouped. Payloads under
-    ``SHARED_BYTES`` stand alone.
+    Payloads are compared by SHA-256; ids and digests alone are grouped. Payloads under
+    ``SHARED_BYTES`` stand alone and stay where they lie; equal ones are spread over ``PARTS`` tasks.
     """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")
     )
-    large = F.octet_length("html") >= SHARED_BYTES
-    rows = rows.withColumn("same", F.when(large, F.sha2(F.col("html"), 256)))
-    groups = rows.where("same is not null").groupBy("same").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    shared = groups.where("n > 1").select("same", "original")
-    joined = rows.join(shared, "same", "left")
+    size = F.octet_length("html")
+    small = rows.where(size < SHARED_BYTES).withColumn("refers_to", F.lit(None).cast("long"))
+    large = rows.where(size >= SHARED_BYTES).withColumns({
+        "same": F.sha2(F.col("html"), 256), "part": F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int"),
+    })
+    # Counted by part first, so that a payload of a third of all pages meets in bounded rows.
+    parts = large.groupBy("same", "part").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
+    groups = parts.groupBy("same").agg(
+        F.max("original").alias("original"), F.sum("n").alias("n"), F.collect_list("part").alias("parts")
+    )
+    # A row per part in which the payload occurs: copies of one payload stay spread over the parts.
+    shared = groups.where("n > 1 and original is not null").select("same", F.explode("parts").alias("part"), "original")
+    joined = large.join(shared, ["same", "part"], "left")
     other = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("original")), F.col("original"))
-    return joined.select("page_id", "url", "html", other.alias("refers_to"))
+    return small.unionByName(joined.select("page_id", "url", "html", other.alias("refers_to")))
 
 
 def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -108,12 +118,14 @@ def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     def write(batches):
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
+        # An attempt names its packages after itself: a repeated task may cut them elsewhere, and only
+        # those of the attempt that Spark keeps are in the table of packages.
+        part, number, attempt = TaskContext.get().partitionId(), 0, uuid.uuid4().hex
         records, index, size = [], [], 0
 
         def flush():
             package = zip_stored([(ARCHIVE, b"".join(records)), (INDEX, "".join(index).encode())])
-            name = f"part-{part:09d}-{number:06d}.wacz"
+            name = f"part-{part:09d}-{number:06d}-{attempt}.wacz"
             _put(folder, name, package)
             return pa.RecordBatch.from_pydict({"name": [name], "bytes": [len(package)]})
 

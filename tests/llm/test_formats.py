@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import uuid
 import zipfile
 
 import numpy as np
@@ -11,9 +12,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle_check import differences, duck
+from pyspark.sql import functions as F
 
 from feedbackmill.llm import ann, chat, warc, zip_archive
 from feedbackmill.llm.queries import ORACLES, QUERIES
+from feedbackmill.session import shared_dir
 
 SF = "/root/testdata/sf0.01"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -44,6 +47,7 @@ def test_odd_conversations(spark):
     got = {r["conv_id"]: r for r in chat.conversation_digest(df, PATH, PATTERN).collect()}
     turns = {1: [("", "first"), ("system", ""), ("user", ""), None, None], 2: [("assistant", "x")] * 2, None: [("assistant", "no id")], 3: [("<|role|>", "long " * 60_000)]}
     turns[1] = [("", "first"), ("system", ""), ("assistant", "a"), ("assistant", "b\\<|end|>"), ("user", "")]
+    turns[1][2:4] = sorted(turns[1][2:4], key=lambda rt: hashlib.md5(rt[1].encode()).hexdigest())
     assert got.keys() == turns.keys()
     for key, said in turns.items():
         learned = "".join(t for r, t in said if r == "assistant")
@@ -51,8 +55,7 @@ def test_odd_conversations(spark):
         assert got[key]["loss_chars"] == len(learned) and got[key]["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
         whole = "<|conversation|>" + "".join(f"<|role|>{chat.escape(r)}<|text|>{chat.escape(t)}<|end|>" for r, t in said)
         assert got[key]["formatted_chars"] == len(whole)
-        if key != 1:
-            assert got[key]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+        assert got[key]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
     formatted = chat.format_conversations(df, PATH, PATTERN).orderBy("conv_id", "nth").collect()
     assert len(formatted) == len(rows)
     tokens, at = chat.ChatTokens(PATH, PATTERN), {}
@@ -112,6 +115,36 @@ def test_odd_pages(spark, monkeypatch):
     assert warc.archived(spark, df.limit(0)).collect() == []
 
 
+def test_small_pages_and_common_payloads_stay_spread(spark):
+    """No task gets more than twice the mean, with nine tenths of small pages and a payload in most of the rest."""
+    rows = [(i, "u", f"small {i}") for i in range(3600)] + [(i, "u", "same " * 300) for i in range(3600, 3900)]
+    rows += [(i, "u", f"large {i} " * 200) for i in range(3900, 4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = warc.with_originals(df).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    sizes = [r["n"] for r in found]
+    assert sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / len(sizes)
+
+
+def test_repeated_attempts_leave_packages_alone(spark, monkeypatch):
+    """A second attempt with other cuts writes packages of its own; those of the kept one read as before."""
+    monkeypatch.setattr(warc, "PACKAGE_BYTES", 2000)
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    rows = [(i, "u", f"{i} " * (i % 90 + 1)) for i in range(300)]
+    schema = "page_id long, url string, html string"
+    kept = warc.write_packages(spark.createDataFrame(rows, schema).coalesce(1), folder)
+    late = warc.write_packages(spark.createDataFrame(rows[::-1][:200], schema).coalesce(1), folder)
+    assert not {r["name"] for r in kept.collect()} & {r["name"] for r in late.collect()}
+    got = sorted((r["page_id"], r["html"]) for r in warc.read_packages(folder, kept).collect())
+    assert got == [(i, h) for i, _, h in rows]
+
+
 def brute(rows, every, k):
     ids = {}
     for i, v in rows:
