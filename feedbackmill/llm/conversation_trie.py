@@ -4,8 +4,9 @@ Every prefix of a conversation has a hash. A compacted node, an edge of the trie
 found by the hash of one prefix only: its handle, the prefix at the two-fattest depth on the edge, that
 is the depth there with the most trailing zero bits. So the place where a conversation leaves the trie
 is found by probes at ever less even depths, the fat binary search, which all conversations do at once.
-Those which leave at one place with one next turn send one of them into the trie, and the others go on
-from it in the next batch. At the end, the edges are expanded into the nodes of single turns.
+Those which leave at one place with one next turn are a batch. A small batch is inserted by one task, one
+conversation after the other; a large one sends one conversation into the trie, and the others go on
+from it. At the end, the edges are expanded into the nodes of single turns.
 """
 
 import hashlib
@@ -20,6 +21,8 @@ from feedbackmill.session import stage
 
 #: Conversations of one group begin as their first one does, up to OWN_FROM - 1 turns.
 GROUP, OWN_FROM = 20, 4
+#: Conversations and turns of a batch that one task inserts.
+BATCH_CONVERSATIONS, BATCH_TURNS = 1000, 50_000
 #: Depths of an edge that are expanded from one row.
 _CHUNK = 4096
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -183,34 +186,137 @@ def _exits(strings: DataFrame, nodes: DataFrame | None, table: DataFrame, levels
     return left.unionByName(at_end)
 
 
+class SmallTrie:
+    """The part of the trie below one place, for a batch of bounded size."""
+
+    def __init__(self, top: int):
+        self.top = top
+        self.paths: dict[int, list[tuple]] = {}  # of each conversation, (p1, p2, w) from depth ``top`` on
+        self.handles: dict[tuple, list[int]] = {}  # a node is [p, e, rep]
+        self.names: dict[tuple, list[int]] = {}
+
+    def at(self, x: int, depth: int) -> tuple:
+        return self.paths[x][depth - self.top][:2]
+
+    @staticmethod
+    def fattest(above: int, below: int) -> int:
+        return below >> (shift := (above ^ below).bit_length() - 1) << shift
+
+    def _put(self, node: list[int]) -> None:
+        p, e, rep = node
+        f = self.fattest(p, e)
+        self.handles[f, self.at(rep, f)] = self.names[p, self.at(rep, p + 1)] = node
+
+    def _exit(self, x: int, length: int) -> tuple[int, list[int] | None]:
+        """The depth of the last node that x follows to its end, and the node on whose edge x leaves, if any."""
+        a, b, last = self.top, length + 1, None
+        while b - a > 1:
+            f = self.fattest(a, b - 1)
+            node = self.handles.get((f, self.at(x, f)))
+            if node:
+                last, a = node, node[1]
+                b = max(b, a + 1)
+            else:
+                b = f
+        if last and (a > length or self.at(x, a) != self.at(last[2], a)):
+            return last[0], last
+        return a, self.names.get((a, self.at(x, a + 1))) if a < length else None
+
+    def insert(self, x: int, path: list[tuple]) -> None:
+        self.paths[x] = path
+        length = self.top + len(path) - 1
+        s, node = self._exit(x, length)
+        if node:
+            s, high = s + 1, min(node[1], length)  # they share the turn after the place
+            while s < high:
+                middle = (s + high + 1) // 2
+                s, high = (middle, high) if self.at(x, middle) == self.at(node[2], middle) else (s, middle - 1)
+            p, e, rep = node
+            del self.handles[f := self.fattest(p, e), self.at(rep, f)]
+            node[1] = s
+            self._put(node)
+            self._put([s, e, rep])
+        if s < length:
+            self._put([s, length, x])
+
+    def rows(self):
+        """The nodes as rows of NODE."""
+        for p, e, rep in self.names.values():
+            f = self.fattest(p, e)
+            yield rep, p, e, f, self.paths[rep][p - self.top][2], self.paths[rep][e - self.top][2], *(
+                h for d in (p, p + 1, f, e) for h in self.at(rep, d)
+            )
+
+
+NODE = ("rep", "p", "e", "f", "wp", "we", *(f"{kind}{i}" for kind in "qmfe" for i in (1, 2)))
+
+
+def _inserted(members: DataFrame, table: DataFrame) -> DataFrame:
+    """The nodes of small batches (x, s, m1, m2), each inserted by one task."""
+    batch_of = ["s", "m1", "m2"]
+
+    def nodes(tries):
+        found = list(tries.rows())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], list(NODE))
+
+    def insert(batches):
+        trie, key, x, path = None, None, None, []
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in (*batch_of, "x", "depth", "p1", "p2", "w"))
+            for s, m1, m2, of, depth, p1, p2, w in zip(*columns, strict=True):
+                if key != (s, m1, m2) or x != of:
+                    if trie:
+                        trie.insert(x, path)
+                    if (s, m1, m2) != key:
+                        if trie:
+                            yield nodes(trie)
+                        trie, key = SmallTrie(s), (s, m1, m2)
+                    x, path = of, [(0, 0, 0)] if s == 0 else []
+                path.append((p1, p2, w))
+        if trie:
+            trie.insert(x, path)
+            yield nodes(trie)
+
+    rows = members.select("x", *batch_of).join(table.select(F.col("conv").alias("x"), "depth", "p1", "p2", "w"), "x")
+    rows = rows.where("depth >= s").repartition(*batch_of).sortWithinPartitions(*batch_of, "x", "depth")
+    return rows.mapInArrow(insert, ", ".join(f"{c} long" for c in NODE))
+
+
 def compacted_trie(strings: DataFrame, table: DataFrame) -> DataFrame | None:
     """The compacted nodes of distinct conversations (x, length); None if there are none.
 
-    Each batch cuts the edges that conversations leave, and hangs one of those that leave at one place
-    with one next turn there. Which one is as good as random, so that the batches are about as many as
-    the logarithm of the number of conversations at most.
+    Each round cuts the edges that conversations leave, inserts the small batches, and hangs one
+    conversation of each large batch where it leaves. Which one is as good as random, so the rounds are
+    about as many as the logarithm of the largest batch at most.
     """
     waiting, nodes = stage(strings.where("length > 0").select("x", "length"), "waiting"), None
     longest = waiting.agg(F.max("length")).first()[0]
+    place = ["s", "m1", "m2"]
     while longest:
-        exits = stage(_exits(waiting, nodes, table, int(longest).bit_length()), "exits")
+        exits = _exits(waiting, nodes, table, int(longest).bit_length())
+        if nodes is not None:
+            exits = stage(exits, "exits")
         leaving = exits.where("s < length").withColumn("below", F.col("s") + 1)
-        leaving = leaving.join(_at(table, "x", "below", p1="m1", p2="m2"), ["x", "below"])
-        chosen = leaving.groupBy("s", "m1", "m2").agg(F.min_by(F.struct("x", "length"), F.struct(F.xxhash64("x"), "x")).alias("one"))
-        leaves = stage(chosen.select(F.col("one.x").alias("rep"), F.col("s").alias("p"), F.col("one.length").alias("e")), "leaves")
-        made = leaves
+        leaving = leaving.join(_at(table, "x", "below", p1="m1", p2="m2"), ["x", "below"]).select("x", "length", *place)
+        batches = stage(leaving.groupBy(*place).agg(
+            F.count("*").alias("n"), F.sum(F.col("length") - F.col("s")).alias("turns"),
+            F.min_by(F.struct("x", "length"), F.struct(F.xxhash64("x"), "x")).alias("one"),
+        ), "batches")
+        small = (F.col("n") > 1) & (F.col("n") <= BATCH_CONVERSATIONS) & (F.col("turns") <= BATCH_TURNS)
+        dealt = join_groups(leaving, batches.select(*place, "n", F.col("one.x").alias("rep"), small.alias("small")), place, "n", waiting.count())
+        dealt = stage(dealt, "dealt")
+        bare = batches.where(~small).select(F.col("one.x").alias("rep"), F.col("s").alias("p"), F.col("one.length").alias("e"))
+        kept = nodes
         if nodes is not None:
             cuts = stage(exits.where("rep is not null and s < e").select("rep", "p", "e", "s").distinct(), "cuts")
             marks = cuts.unionByName(cuts.select("rep", "p", "e", F.col("e").alias("s")).distinct())
             # The pieces of an edge end at its cuts, and begin where the piece before ends.
             begins = F.expr("lag(s) over (partition by rep, p, e order by s)")
-            pieces = marks.select("rep", F.coalesce(begins, "p").alias("p"), F.col("s").alias("e"))
-            made = leaves.unionByName(pieces)
-        added = _described(made, table)
-        if nodes is not None:
-            added = nodes.join(cuts.select("rep", "p", "e").distinct(), ["rep", "p", "e"], "left_anti").unionByName(added)
-        nodes = stage(added, "nodes")
-        waiting = stage(leaving.select("x", "length").join(leaves.select(F.col("rep").alias("x")), "x", "left_anti"), "waiting")
+            bare = bare.unionByName(marks.select("rep", F.coalesce(begins, "p").alias("p"), F.col("s").alias("e")))
+            kept = nodes.join(cuts.select("rep", "p", "e").distinct(), ["rep", "p", "e"], "left_anti")
+        added = _described(bare, table).select(*NODE).unionByName(_inserted(dealt.where("small"), table))
+        nodes = stage(added if kept is None else kept.unionByName(added), "nodes")
+        waiting = stage(dealt.where("not small and x <> rep").select("x", "length"), "waiting")
         longest = waiting.agg(F.max("length")).first()[0]
     return nodes
 

@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+import pytest
+
 from feedbackmill.llm import conversation_trie as trie
 from feedbackmill.llm.running import running_sums
 
@@ -65,7 +67,10 @@ def test_conversations_without_turns_only(spark):
     check(spark, [(i, 0, "user", "gone") for i in ids])
 
 
-def test_many_branches_and_one_hot_path(spark):
+@pytest.mark.parametrize("batch", [1, 4, 1000])
+def test_many_branches_and_one_hot_path(spark, monkeypatch, batch):
+    monkeypatch.setattr(trie, "BATCH_CONVERSATIONS", batch)
+    monkeypatch.setattr(trie, "_CHUNK", 16)
     rng = random.Random(1)
     rows = []
     for conv in range(150):
