@@ -23,6 +23,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return met.unionByName(rest)
 
 
+def without_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """The rows that :func:`join_groups` leaves out."""
+    hot = F.col(size) > F.lit(max(1.0, total * HOT_SHARE))
+    large = F.broadcast(groups.where(hot).select(*keys))
+    return rows.join(large, keys, "left_anti").join(groups.where(~hot).select(*keys), keys, "left_anti")
+
+
 def join_spread(rows: DataFrame, table: DataFrame, key: str, spread: str, counts: DataFrame, total: int) -> DataFrame:
     """Inner join of ``rows`` to a table with any number of rows per key; hot keys of ``rows`` are spread.
 

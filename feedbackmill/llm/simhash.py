@@ -3,7 +3,8 @@
 Two fingerprints that differ in at most three bits agree in two of five blocks of bits at least, so
 each of the ten pairs of blocks deals fingerprints into shards, and similar ones meet in a shard.
 A BK-tree is built per shard. Large shards are split into parts; the tree of each part is handed to
-the tasks of all parts that search it.
+the tasks of all parts that search it. Trees are not broadcast: together they hold all fingerprints,
+whose number has no bound.
 """
 
 from itertools import combinations
@@ -13,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedbackmill.llm.bitmap import only_survivors, survivors
 from feedbackmill.llm.common import slices
 from feedbackmill.llm.components import components
+from feedbackmill.llm.hot_join import join_groups, without_groups
 from feedbackmill.session import stage
 
 SHINGLE = 3
@@ -273,19 +276,34 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", te
     Of repeated rows of that id in the class the one with the largest columns, in their order,
     stays. A class in which no row has an id keeps one row, too. Rows are told apart by id and
     text, so an id that stands for several texts loses none, if they lie in classes of their own.
+    Rows are chosen by id and a hash of the text; only texts of rows that go, or of which columns must
+    decide, are moved.
     """
     rows = stage(fingerprints(docs, doc_id, text, marked=True), "fingerprints")
     classes = rows.join(_named_classes(rows, radius), "fp")
-    firsts = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    firsts = firsts.select(F.col("doc_id").alias("_first"), F.col("mark").alias("_first_mark"), F.col("class").alias("_class"))
+    texts = classes.groupBy("doc_id", "mark").agg(
+        F.max("class").alias("class"), F.max("component_id").alias("component_id"), F.count("*").alias("n")
+    )
+    texts = stage(texts, "texts")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Rows of a class among which columns must decide, as several have its smallest id.
+    rivals = texts.where(first).groupBy("class").agg(F.sum("n").alias("rivals")).where("rivals > 1")
+    fates = texts.join(rivals, "class", "left").where(~first | F.col("rivals").isNotNull())
+    key = ["_none", "_id", "_mark"]
+    fates = stage(fates.select(
+        F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark"),
+        F.when(first, F.col("class")).alias("_class"), F.col("n").alias("_n"),
+    ), "fates")
     packed = docs.select(
-        F.col(doc_id).cast("long").alias("_id"), _mark(F.col(text)).alias("_mark"),
-        F.struct(*(F.col(c) for c in docs.columns)).alias("_row"),
+        F.col(doc_id).isNull().alias("_none"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("_id"),
+        _mark(F.col(text)).alias("_mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
     )
-    one = packed.groupBy("_id", "_mark").agg(F.max("_row").alias("_row"))
-    same = F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_mark") == F.col("_first_mark"))
-    kept = one.join(firsts.distinct(), same).groupBy("_class").agg(F.max("_row").alias("_row"))
-    return kept.select("_row.*")
+    # Rows that stay for sure stay where they lie; a bitmap tells them from the others.
+    told = only_survivors(packed, survivors(fates, key), key, "_told")
+    moved, total = told.where("_told"), rows.count()
+    decided = join_groups(moved, fates.where("_class is not null"), key, "_n", total).groupBy("_class").agg(F.max("_row").alias("_row"))
+    kept = told.where("not _told").select("_row").unionByName(decided.select("_row"))
+    return kept.unionByName(without_groups(moved, fates, key, "_n", total).select("_row")).select("_row.*")
 
 
 def fingerprint_hex(fp: Column) -> Column:
