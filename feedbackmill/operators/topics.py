@@ -14,7 +14,6 @@ from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Observation
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedbackmill.functions.labels import title_case
@@ -37,6 +36,7 @@ log = logging.getLogger(__name__)
 MIN_TEXTS = 5
 CHUNK_ROWS = 20_000  # vectors in one group of a task
 DENSE_ROWS = 2_048  # vectors unpacked at a time inside it
+SAME = 1e-9  # squared distance up to which vectors of length 1 count as equal
 
 
 def cluster_counts(reviews: DataFrame, n_clusters: int) -> DataFrame:
@@ -71,35 +71,6 @@ def review_vectors(
     )
 
 
-def first_centres(
-    vectors: DataFrame, n_clusters: int, n_starts: int, width: int
-) -> DataFrame:
-    """For each start, k different vectors of the business picked by hash, unpacked."""
-    distinct = vectors.groupBy(KEY, "k", F.xxhash64("slots", "weights").alias("_print")).agg(
-        F.min("id").alias("id")
-    )
-    starts = F.explode(F.sequence(F.lit(0), F.lit(n_starts - 1))).alias("start")
-    drawn = distinct.select(KEY, "k", "id", "_print", starts).withColumn(
-        "_draw", F.xxhash64("_print", "start")
-    )
-    order = [F.asc("_draw"), F.asc("id")]
-    picked = top_per_group(drawn, [KEY, "start"], order, n_clusters, ["id"], rank="_rank")
-    picked = picked.where(F.col("_rank") <= F.col("k")).select(
-        KEY, "id", "start", (F.col("_rank") - 1).alias("cluster")
-    )
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            points = list(_dense(batch["slots"], batch["weights"], width))
-            yield batch[["business_url", "start", "cluster"]].assign(point=points)
-
-    drawn_vectors = vectors.select(KEY, "id", "slots", "weights").join(picked, [KEY, "id"])
-    points = drawn_vectors.mapInPandas(
-        unpack, "business_url string, start int, cluster int, point array<double>"
-    )
-    return points.withColumns({"cost": F.lit(float("inf")), "moving": F.lit(True)})
-
-
 def _dense(slots: pd.Series, weights: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(slots), width))
     lengths = slots.map(len).to_numpy()
@@ -109,11 +80,8 @@ def _dense(slots: pd.Series, weights: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _nearest(
-    rows: pd.DataFrame, centres: pd.DataFrame
-) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Slices of ``rows``, dense, with the squared distance of each row to every centre."""
-    points = np.stack(centres["point"].to_list())
+def _squares(rows: pd.DataFrame, points: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Slices of ``rows``, dense, with the squared distance of each row to every point."""
     lengths = (points * points).sum(axis=1)
     for i in range(0, len(rows), DENSE_ROWS):
         part = rows.iloc[i:i + DENSE_ROWS]
@@ -122,95 +90,212 @@ def _nearest(
         yield part, dense, np.maximum(squares, 0.0)
 
 
-def _sum_chunk(key: tuple, rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-    """Per centre, the sum of the chunk's vectors nearest to it, their number and their cost."""
-    if rows.empty or centres.empty:
-        return pd.DataFrame(columns=["business_url", "start", "cluster", "sums"])
-    centres = centres.sort_values(["start", "cluster"], ignore_index=True)
-    starts = centres["start"].to_numpy()
-    sums = np.zeros((len(centres), len(centres["point"][0]) + 2))
-    for part, dense, squares in _nearest(rows, centres):
-        for start in np.unique(starts):
-            mine = np.flatnonzero(starts == start)
-            best = squares[:, mine].argmin(axis=1)
-            member = np.eye(len(mine))[best]
-            sums[mine, :-2] += member.T @ dense
-            sums[mine, -2] += member.sum(axis=0)
-            sums[mine, -1] += member.T @ squares[np.arange(len(part)), mine[best]]
-    return centres[["business_url", "start", "cluster"]].assign(sums=list(sums))
-
-
-def _assign_chunk(key: tuple, rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-    """Nearest centre of each vector; all centres are of one start."""
-    if rows.empty or centres.empty:
-        return pd.DataFrame(columns=["business_url", "review_id", "cluster_id"])
-    centres = centres.sort_values("cluster", ignore_index=True)
-    found = [
-        pd.DataFrame({
-            "business_url": key[0],
-            "review_id": part["id"].to_numpy(),
-            "cluster_id": centres["cluster"].to_numpy()[squares.argmin(axis=1)],
-        })
-        for part, _, squares in _nearest(rows, centres)
-    ]
-    return pd.concat(found, ignore_index=True)
+def _points(column: pd.Series, width: int) -> list[np.ndarray]:
+    return [np.asarray(flat, float).reshape(-1, width) for flat in column]
 
 
 def _by_chunk(vectors: DataFrame, chunks: DataFrame, centres: DataFrame):
-    """Each chunk of vectors next to a copy of the centres of its business."""
-    points = centres.select(KEY, "start", "cluster", "point")
-    copies = spread_join(points, chunks, [KEY], spread=["start", "cluster"])
+    """Each chunk of vectors next to a copy of the rows of its business in ``centres``."""
     keys = [KEY, "chunk"]
+    copies = spread_join(centres, chunks, [KEY], spread=["start"])
     return vectors.groupBy(*keys).cogroup(copies.groupBy(*keys))
 
 
-def _next_centres(
-    vectors: DataFrame, chunks: DataFrame, centres: DataFrame, width: int
+# Starts: k-means||. Each round draws vectors far from those drawn before, in all chunks at once; the few
+# that all rounds drew are weighted by the vectors nearest to them and thinned to k.
+
+
+def _uniform(ids: np.ndarray, start: int, round_: int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the id, the start and the round only."""
+    mixed = ids.astype(np.int64).view(np.uint64) + np.uint64((start * 1_000_003 + round_ + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
+    return ((mixed ^ mixed >> np.uint64(31)) >> np.uint64(11)).astype(float) / 2.0**53 + 2.0**-54
+
+
+DRAWN = "business_url string, start int, id long, draw double, k int, slots array<int>, weights array<double>"
+
+
+def draw_distant(
+    vectors: DataFrame, chunks: DataFrame, drawn: DataFrame, round_: int, draws: int, width: int
 ) -> DataFrame:
-    """Means of the vectors nearest to each centre; a centre without vectors stays."""
-    ids = [KEY, "start", "cluster"]
-    sums = (
-        _by_chunk(vectors, chunks, centres)
-        .applyInPandas(
-            _sum_chunk, "business_url string, start int, cluster int, sums array<double>"
-        )
-        .groupBy(*ids)
-        .agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("_sums"))
-    )
-    count = F.get("_sums", F.lit(width))
-    mean = F.transform(F.slice("_sums", 1, width), lambda s: s / count)
-    return centres.drop("cost", "moving").join(sums, ids, "left").select(
-        *ids,
-        F.when(count > 0, mean).otherwise(F.col("point")).alias("point"),
-        F.coalesce(F.get("_sums", F.lit(width + 1)), F.lit(0.0)).alias("cost"),
-        F.col("point").alias("_before"),
+    """For each start, ``draws`` more vectors per business, likelier the farther they lie from those in ``drawn``.
+
+    A vector at squared distance d waits an exponential time of rate d, and the first ones are taken: so
+    each draw takes one of those left with a probability in proportion to d, and no total is needed.
+    Vectors that are equal to one drawn before are never taken.
+    """
+
+    def wait(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for start, mine in before.groupby("start"):
+            points = _dense(mine["slots"], mine["weights"], width)
+            times = [
+                -np.log(_uniform(part["id"].to_numpy(), start, round_)) / np.where(far > SAME, far, np.nan)
+                for part, _, squares in _squares(rows, points)
+                for far in [squares.min(axis=1)]
+            ]
+            times = np.concatenate(times) if times else np.zeros(0)
+            best = np.argsort(times, kind="stable")[:draws]
+            best = best[np.isfinite(times[best])]
+            found.append(rows.iloc[best].assign(business_url=key[0], start=start, draw=times[best]))
+        columns = [c.split()[0] for c in DRAWN.split(", ")]
+        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
+
+    columns = drawn.select(KEY, "start", "slots", "weights")
+    far = _by_chunk(vectors, chunks, columns).applyInPandas(wait, DRAWN)
+    order = [F.asc("draw"), F.asc("id")]
+    return top_per_group(far, [KEY, "start"], order, draws, ["id"], rank="_rank").drop("_rank")
+
+
+def _weigh(vectors: DataFrame, chunks: DataFrame, drawn: DataFrame, width: int) -> DataFrame:
+    """Number of vectors nearest to each drawn one."""
+
+    def count(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, mine in before.groupby("start"):
+            points = _dense(mine["slots"], mine["weights"], width)
+            counts = sum(
+                (np.bincount(squares.argmin(axis=1), minlength=len(mine)) for _, _, squares in _squares(rows, points)),
+                np.zeros(len(mine), np.int64),
+            )
+            found.append(mine[["start", "id"]].assign(business_url=key[0], n=counts))
+        return pd.concat(found) if found else pd.DataFrame(columns=["business_url", "start", "id", "n"])
+
+    columns = drawn.select(KEY, "start", "id", "slots", "weights")
+    counts = _by_chunk(vectors, chunks, columns).applyInPandas(count, "start int, id long, business_url string, n long")
+    return counts.groupBy(KEY, "start", "id").agg(F.sum("n").alias("n"))
+
+
+def thin(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k of the points: each next one is drawn by its weight and its squared distance from those taken."""
+    rng = np.random.default_rng(seed)
+    squares, taken = np.full(len(points), np.inf), []
+    for _ in range(min(k, len(points))):
+        mass = weights * (squares if taken else 1.0)
+        if not mass.sum() > 0:
+            break
+        taken.append(int(rng.choice(len(points), p=mass / mass.sum())))
+        squares = np.minimum(squares, ((points - points[taken[-1]]) ** 2).sum(axis=1))
+    return points[taken]
+
+
+def first_centres(
+    vectors: DataFrame, chunks: DataFrame, n_clusters: int, n_starts: int, width: int, rounds: int = 2
+) -> DataFrame:
+    """For each start of a business, k of its vectors that lie far from each other (a row per start)."""
+    prints = vectors.select(KEY, "id", F.xxhash64("slots", "weights").alias("print"))
+    firsts = [F.min(F.struct(F.xxhash64("print", F.lit(i)), "id"))["id"] for i in range(n_starts)]
+    picked = prints.groupBy(KEY).agg(F.array(*firsts).alias("ids")).select(KEY, F.posexplode("ids").alias("start", "id"))
+    drawn = vectors.select(KEY, "id", "k", "slots", "weights").join(picked, [KEY, "id"])
+    drawn = stage(drawn.select(KEY, "start", "id", "k", "slots", "weights"), "drawn")
+    for round_ in range(rounds):
+        more = draw_distant(vectors, chunks, drawn, round_, 2 * n_clusters, width)
+        drawn = stage(drawn.unionByName(more.select(*drawn.columns)), "drawn")
+    weighted = drawn.join(_weigh(vectors, chunks, drawn, width), [KEY, "start", "id"])
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        points = _dense(rows["slots"], rows["weights"], width)
+        chosen = thin(points, rows["n"].to_numpy(float), int(rows["k"][0]), int(rows["start"][0]))
+        return rows[["business_url", "start"]].head(1).assign(points=[chosen.ravel()])
+
+    chosen = weighted.groupBy(KEY, "start").applyInPandas(choose, "business_url string, start int, points array<double>")
+    return chosen.withColumns({"cost": F.lit(float("inf")), "moving": F.lit(True)})
+
+
+# Steps
+
+
+def next_centres(vectors: DataFrame, chunks: DataFrame, centres: DataFrame, width: int, tol: float) -> DataFrame:
+    """All starts after a step: means of the vectors nearest to each centre; one without vectors stays.
+
+    ``cost`` is that before the step. ``moving`` says whether a centre has moved by more than ``tol``.
+    """
+
+    def add(key: tuple, rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        """Per start, its centres' sums of the nearest vectors, their number and cost, in one array."""
+        if rows.empty or mine.empty:
+            return pd.DataFrame(columns=["business_url", "start", "sums"])
+        points = _points(mine["points"], width)
+        edges = np.cumsum([0, *map(len, points)])
+        sums = np.zeros((edges[-1], width + 2))
+        for part, dense, squares in _squares(rows, np.concatenate(points)):
+            for a, b in zip(edges, edges[1:]):
+                best = squares[:, a:b].argmin(axis=1)
+                member = np.eye(b - a)[best]
+                sums[a:b, :-2] += member.T @ dense
+                sums[a:b, -2] += member.sum(axis=0)
+                sums[a:b, -1] += member.T @ squares[np.arange(len(part)), a + best]
+        flat = [sums[a:b].ravel() for a, b in zip(edges, edges[1:])]
+        return pd.DataFrame({"business_url": key[0], "start": mine["start"].to_numpy(), "sums": flat})
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = {"points": [], "cost": [], "moving": []}
+            for before, total in zip(_points(batch["points"], width), _points(batch["sums"], width + 2)):
+                count = total[:, -2:-1]
+                after = np.where(count > 0, total[:, :-2] / np.maximum(count, 1), before)
+                made["points"].append(after.ravel())
+                made["cost"].append(total[:, -1].sum())
+                made["moving"].append(bool(np.sqrt(((after - before) ** 2).sum(axis=1)).max(initial=0) > tol))
+            yield batch[["business_url", "start"]].assign(**made)
+
+    sums = _by_chunk(vectors, chunks, centres.select(KEY, "start", "points")).applyInPandas(
+        add, "business_url string, start int, sums array<double>"
     )
+    total = sums.groupBy(KEY, "start").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
+    both = centres.select(KEY, "start", "points").join(total, [KEY, "start"])
+    return both.mapInPandas(move, "business_url string, start int, points array<double>, cost double, moving boolean")
 
 
-def _move(vectors: DataFrame, chunks: DataFrame, centres: DataFrame, width: int, tol: float):
-    """All centres after a step of those whose start still moves, staged, and how many still do."""
-    moved = _next_centres(vectors, chunks, centres.where("moving"), width)
-    squares = F.zip_with("point", "_before", lambda a, b: (a - b) * (a - b))
-    way = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, s: total + s))
-    # A start has as many centres as its business has clusters.
-    longest = F.max(way).over(W.partitionBy(KEY, "start"))
-    moved = moved.withColumn("moving", longest > tol).drop("_before")
-    # Observed while the centres are written, so that the check costs no job.
-    seen = Observation()
-    moved = moved.observe(seen, F.count_if("moving").alias("moving"))
-    return stage(moved.unionByName(centres.where("not moving")), "centres"), seen.get["moving"]
+def settle(
+    vectors: DataFrame, chunks: DataFrame, centres: DataFrame, width: int, max_iter: int, tol: float
+) -> tuple[DataFrame, int]:
+    """The centres at rest, or after ``max_iter`` steps, and how many starts still move."""
+    moving = None
+    for _ in range(max_iter):
+        # Observed while the centres are written, so that the check costs no job.
+        seen = Observation()
+        moved = next_centres(vectors, chunks, centres.where("moving"), width, tol).observe(seen, F.count_if("moving").alias("moving"))
+        centres = stage(moved.unionByName(centres.where("not moving").select(*moved.columns)), "centres")
+        moving = seen.get["moving"]
+        if not moving:
+            break
+    return centres, moving or 0
 
 
 def best_start(centres: DataFrame) -> DataFrame:
-    """Centres of the start with the lowest cost of each business."""
-    total = F.sum("cost").over(W.partitionBy(KEY, "start"))
-    lowest = F.first("start").over(W.partitionBy(KEY).orderBy("_total", "start"))
-    return (
-        centres.withColumn("_total", total)
-        .withColumn("_lowest", lowest)
-        .where(F.col("start") == F.col("_lowest"))
-        .select(KEY, "start", "cluster", "point")
-    )
+    """The start with the lowest cost of each business."""
+    best = F.min_by(F.struct("start", "points"), F.struct("cost", "start")).alias("best")
+    return centres.groupBy(KEY).agg(best).select(KEY, "best.*")
+
+
+def nearest_centres(vectors: DataFrame, chunks: DataFrame, centres: DataFrame, width: int) -> DataFrame:
+    """The nearest centre of each vector, of one start per business, and its squared distance."""
+
+    def assign(key: tuple, rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or mine.empty:
+            return pd.DataFrame(columns=["business_url", "review_id", "cluster_id", "square"])
+        (points,) = _points(mine["points"], width)
+        found = [
+            pd.DataFrame({
+                "business_url": key[0], "review_id": part["id"].to_numpy(),
+                "cluster_id": squares.argmin(axis=1), "square": squares.min(axis=1),
+            })
+            for part, _, squares in _squares(rows, points)
+        ]
+        return pd.concat(found, ignore_index=True)
+
+    copies = _by_chunk(vectors, chunks, centres.select(KEY, "start", "points"))
+    return copies.applyInPandas(assign, "business_url string, review_id long, cluster_id int, square double")
+
+
+def single_centres(centres: DataFrame, width: int) -> DataFrame:
+    """A row per centre (business_url, cluster, point) of rows per start."""
+    parts = F.sequence(F.lit(0), F.floor(F.size("points") / width).cast("int") - 1)
+    parts = F.transform(parts, lambda i: F.slice("points", i * width + 1, width))
+    return centres.select(KEY, F.posexplode(parts).alias("cluster", "point"))
 
 
 def centre_labels(centres: DataFrame, vocab: DataFrame, terms: int = 3) -> DataFrame:
@@ -226,7 +311,8 @@ def centre_labels(centres: DataFrame, vocab: DataFrame, terms: int = 3) -> DataF
     named = entries.join(vocab.select(KEY, "slot", "term"), [KEY, "slot"]).select(
         KEY, "cluster_id", "slot", "weight", term
     )
-    order = [F.desc("weight"), F.asc("term")]
+    # Rounded, so that weights which are equal but for the order of their sums tie.
+    order = [F.desc(F.round("weight", 12)), F.asc("term")]
     ids = [KEY, "cluster_id"]
     top = top_per_group(named, ids, order, terms, ["slot"], rank="_rank")
     ranked = F.array_sort(F.collect_list(F.struct("_rank", "term")))
@@ -284,24 +370,18 @@ def cluster_reviews(
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     chunks = stage(vectors.select(KEY, "chunk").distinct(), "chunks")
 
-    centres = stage(first_centres(vectors, n_clusters, n_starts, width), "centres")
-    for _ in range(max_iter):
-        centres, moving = _move(vectors, chunks, centres, width, tol)
-        if not moving:
-            break
-    else:
+    centres = stage(first_centres(vectors, chunks, n_clusters, n_starts, width), "centres")
+    centres, moving = settle(vectors, chunks, centres, width, max_iter, tol)
+    if moving:
         text = f"k-means stopped after {max_iter} steps, with centres still moving"
         log.warning(text)
         if warnings is not None:
             warnings.append(text)
 
     best = stage(best_start(centres), "centres")
-    assigned = _by_chunk(vectors, chunks, best).applyInPandas(
-        _assign_chunk, "business_url string, review_id long, cluster_id int"
-    )
-    assigned = stage(assigned, "assigned")
+    assigned = stage(nearest_centres(vectors, chunks, best, width).drop("square"), "assigned")
     vectors.unpersist()
-    labels = centre_labels(best, vocab)
+    labels = centre_labels(single_centres(best, width), vocab)
     labelled = attach(assigned, labels, [KEY, "cluster_id"], spread=["review_id"])
     return labelled.select(KEY, "review_id", "cluster_id", "cluster_label").unionByName(few)
 

@@ -520,6 +520,44 @@ def ingested_pages(spark, sf_dir):
     return _stored(store)
 
 
+@query
+def ingested_terms(spark, sf_dir):
+    """Word clouds that the upload job stores, of all datasets."""
+    store = _new_store(spark)
+    options = IngestOptions(INGEST_DAY, length_scorer, derived=("term_frequencies",))
+    ingest_csv(store, [_write_uploads(spark, sf_dir)], options)
+    return store.read("term_frequencies")
+
+
+def _cluster_shape(clusters):
+    """Per business: clustered reviews, whether their cluster numbers fit, and whether a cluster has one label."""
+    labels = clusters.groupBy(KEY, "cluster_id").agg(F.count("*").alias("n"), F.count_distinct("cluster_label").alias("labels"))
+    most = F.greatest(F.least(F.lit(5), F.floor(F.sum("n") / 2)), F.lit(1))
+    few = F.sum("n") < topics.MIN_TEXTS
+    return labels.groupBy(KEY).agg(
+        F.sum("n").alias("reviews"), (F.max("cluster_id") < F.when(few, 1).otherwise(most)).alias("ids_fit"),
+        (F.max("labels") == 1).alias("one_label_each"),
+    )
+
+
+@query
+def ingested_cluster_rules(spark, sf_dir):
+    """Shape of the clusters that the upload job stores, of all datasets."""
+    store = _new_store(spark)
+    options = IngestOptions(INGEST_DAY, length_scorer, derived=("review_clusters",))
+    ingest_csv(store, [_write_uploads(spark, sf_dir)], options)
+    return _cluster_shape(store.read("review_clusters"))
+
+
+@query
+def ingested_bundle_clusters(spark, sf_dir):
+    """Shape of the clusters in the bundle of one dataset, after the upload job."""
+    store = _new_store(spark)
+    options = IngestOptions(INGEST_DAY, length_scorer, derived=("review_clusters",))
+    ingest_csv(store, [_write_uploads(spark, sf_dir)], options)
+    return _cluster_shape(bundles.advanced_bundle(store, "upload 0")["clusters"])
+
+
 @query
 def replaced_reviews(spark, sf_dir):
     """A store filled with all reviews, then with new rows for one business."""
@@ -711,3 +749,72 @@ def review_clusters(spark, sf_dir):
 @query
 def cluster_labels(spark, sf_dir):
     return topics.cluster_sizes(_clusters(spark, sf_dir))
+
+
+GIVEN = 3  # clusters given to the steps that are checked: reviews by the remainder of their id
+
+
+def _given_topics(spark, sf_dir, stop_words, clusters=None):
+    """Vectors, chunks, vocabulary and centres, the means of given clusters (business_url, id, cluster)."""
+    rows = sample_reviews(spark, sf_dir, KEY, "id", "review_text")
+    found = tfidf.review_terms(rows)
+    vocab = stage(tfidf.vocabulary(found, stop_words), "vocabulary")
+    width = (vocab.agg(F.max("slot")).first()[0] or 0) + 1
+    sizes = topics.cluster_counts(rows, GIVEN)
+    vectors = stage(topics.review_vectors(rows, vocab, found, sizes), "vectors")
+    chunks = stage(vectors.select(KEY, "chunk").distinct(), "chunks")
+    if clusters is None:
+        clusters = vectors.select(KEY, "id", F.pmod("id", F.lit(GIVEN)).cast("int").alias("cluster"))
+    members = stage(vectors.join(clusters, [KEY, "id"]), "members")
+    counts = members.groupBy(KEY, "cluster").agg(F.count("*").alias("n"))
+    entries = members.select(KEY, "cluster", F.inline(F.arrays_zip("slots", "weights")))
+    sums = entries.groupBy(KEY, "cluster", "slots").agg(F.sum("weights").alias("w")).join(counts, [KEY, "cluster"])
+    place = F.col("cluster") * width + F.col("slots")
+    means = sums.groupBy(KEY).agg(
+        F.map_from_entries(F.collect_list(F.struct(place, F.col("w") / F.col("n")))).alias("means"),
+    )
+    top = clusters.groupBy(KEY).agg((F.max("cluster") + 1).alias("k"))
+    points = F.transform(F.sequence(F.lit(0), F.col("k") * width - 1), lambda i: F.coalesce(F.element_at("means", i), F.lit(0.0)))
+    centres = means.join(top, KEY).select(
+        KEY, F.lit(0).alias("start"), points.alias("points"), F.lit(float("inf")).alias("cost"), F.lit(True).alias("moving"),
+    )
+    return vectors, chunks, vocab, stage(centres, "centres"), width
+
+
+@query
+def kmeans_steps(spark, sf_dir):
+    """Two steps of k-means from given centres, and the nearest centre of each review after them."""
+    vectors, chunks, _, centres, width = _given_topics(spark, sf_dir, list(terms.CLOUD_STOP_WORDS))
+    centres, _ = topics.settle(vectors, chunks, centres, width, max_iter=2, tol=0.0)
+    near = topics.nearest_centres(vectors, chunks, centres, width)
+    return near.withColumn("square", F.round("square", 6))
+
+
+@query
+def centroid_terms(spark, sf_dir):
+    """Labels of given clusters: the heaviest terms of their means."""
+    _, _, vocab, centres, width = _given_topics(spark, sf_dir, list(terms.CLOUD_STOP_WORDS))
+    return topics.centre_labels(topics.single_centres(centres, width), vocab)
+
+
+@query
+def cluster_rules(spark, sf_dir):
+    """Shape of all clusters, and whether reviews lie with the nearest mean.
+
+    The cost of reviews to the means of their own clusters is what is left of their squared lengths; a step
+    from those means gives the cost to the nearest ones.
+    """
+    found = stage(_clusters(spark, sf_dir), "clusters")
+    given = found.select(KEY, F.col("review_id").alias("id"), F.col("cluster_id").alias("cluster"))
+    vectors, chunks, _, centres, width = _given_topics(spark, sf_dir, tfidf.english_stop_words(), given)
+    nearest = topics.next_centres(vectors, chunks, centres, width, 0.0).select(KEY, "cost")
+    length = F.aggregate("weights", F.lit(0.0), lambda total, w: total + w * w)
+    lengths = vectors.groupBy(KEY).agg(F.sum(length).alias("squares"))
+    sizes = given.groupBy(KEY, "cluster").agg(F.count("*").alias("n"))
+    means = topics.single_centres(centres, width).join(sizes, [KEY, "cluster"])
+    square = F.aggregate("point", F.lit(0.0), lambda total, w: total + w * w)
+    explained = means.groupBy(KEY).agg(F.sum(F.col("n") * square).alias("explained"))
+    settled = nearest.join(lengths, KEY).join(explained, KEY).select(
+        KEY, (F.abs(F.col("squares") - F.col("explained") - F.col("cost")) < 0.01).alias("settled")
+    )
+    return _cluster_shape(found).join(settled, KEY, "left")

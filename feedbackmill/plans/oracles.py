@@ -577,3 +577,64 @@ ORACLES["advanced_bundle_aspects"] = (
     f"select * from ({ORACLES['aspect_sentiment']}) where business_url = 'src7'"
 )
 ORACLES["dashboard_bundle_buckets"] = ORACLES["avg_length_by_rating"]
+
+_UPLOADED = DATES + UPLOADS + ", reviews as (select doc_id as id, * from uploads)"
+ORACLES["ingested_terms"] = ORACLES["cloud_terms"].replace(REVIEWS, _UPLOADED)
+_SHAPE = """
+select business_url, count(*) as reviews, true as ids_fit, true as one_label_each
+from reviews where review_text <> '' group by business_url
+"""
+ORACLES["ingested_cluster_rules"] = _UPLOADED + _SHAPE
+ORACLES["ingested_bundle_clusters"] = f"select * from ({_UPLOADED + _SHAPE}) where business_url = 'upload 0'"
+ORACLES["cluster_rules"] = REVIEWS + _SHAPE.replace("from reviews", ", true as settled from reviews")
+
+_WEIGHTS = TFIDF + """,
+x as (
+  select business_url, id, term, w / sqrt(sum(w * w) over (partition by business_url, id)) as w
+  from (select business_url, id, term, tf * idf as w from tf join vocab using (business_url, term))
+),
+lengths as (
+  select r.business_url, r.id, coalesce(sum(x.w * x.w), 0) as square
+  from reviews r left join x using (business_url, id) where r.review_text <> '' group by all
+),
+given(cluster) as (values (0), (1), (2)),
+near0 as (select business_url, id, cast(id % 3 as int) as cluster from lengths)
+"""
+
+
+def _step(n: int) -> str:
+    """Centres from the clusters before, and the nearest of them of each review."""
+    return f""",
+sizes{n} as (select business_url, cluster, count(*) as n from near{n - 1} group by all),
+centres{n} as (
+  select business_url, cluster, term, sum(w) / any_value(n) as w
+  from x join near{n - 1} using (business_url, id) join sizes{n} using (business_url, cluster) group by all
+),
+norms{n} as (select business_url, cluster, sum(w * w) as square from centres{n} group by all),
+dots{n} as (
+  select business_url, x.id, c.cluster, sum(x.w * c.w) as dot
+  from x join centres{n} c using (business_url, term) group by all
+),
+near{n} as (
+  select business_url, id, cluster, square from (
+    select l.business_url, l.id, g.cluster,
+      l.square + coalesce(c.square, 0) - 2 * coalesce(d.dot, 0) as square,
+      row_number() over (partition by l.business_url, l.id
+        order by l.square + coalesce(c.square, 0) - 2 * coalesce(d.dot, 0), g.cluster) as nth
+    from lengths l cross join given g
+    left join norms{n} c on c.business_url = l.business_url and c.cluster = g.cluster
+    left join dots{n} d on d.business_url = l.business_url and d.id = l.id and d.cluster = g.cluster)
+  where nth = 1
+)
+"""
+
+
+ORACLES["kmeans_steps"] = REVIEWS + _WEIGHTS + _step(1) + _step(2) + _step(3) + """
+select business_url, id as review_id, cluster as cluster_id, round(greatest(square, 0), 6) as square from near3
+"""
+ORACLES["centroid_terms"] = REVIEWS + _WEIGHTS + _step(1) + """
+select business_url, cluster as cluster_id, string_agg(upper(term[1]) || substr(term, 2), ', ' order by nth) as cluster_label
+from (
+  select *, row_number() over (partition by business_url, cluster order by round(w, 12) desc, term) as nth from centres1)
+where nth <= 3 group by all
+"""

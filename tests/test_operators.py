@@ -8,6 +8,7 @@ from feedbackmill.operators import lookup, sentiment, topics
 from feedbackmill.operators.positions import with_line_number, with_position
 from feedbackmill.operators.ranking import top_per_group
 from feedbackmill.plans import adhoc
+from feedbackmill.session import stage
 
 # One group holds a third of the rows or more in all of these.
 
@@ -151,33 +152,90 @@ def test_cluster_rules(spark, monkeypatch):
     assert all(len(s) == 1 for s in subjects.values())
 
 
-def test_chunk_sums_match_a_plain_pass():
-    import pandas as pd
+def topic_vectors(spark, dense, k, n_chunks=3):
+    """Vectors of a business "u" as the operators keep them, and their chunks."""
+    rows = [
+        ("u", i % n_chunks, i, k, np.flatnonzero(v).tolist(), v[v != 0].tolist()) for i, v in enumerate(dense)
+    ]
+    schema = "business_url string, chunk int, id long, k int, slots array<int>, weights array<double>"
+    vectors = spark.createDataFrame(rows, schema)
+    return vectors, stage(vectors.select("business_url", "chunk").distinct(), "chunks")
 
-    rng = np.random.default_rng(3)
-    dense = rng.random((11, 6)) * (rng.random((11, 6)) > 0.5)
-    rows = pd.DataFrame({
-        "id": range(11),
-        "slots": [np.flatnonzero(v) for v in dense],
-        "weights": [v[v != 0] for v in dense],
-    })
-    centres = pd.DataFrame({
-        "business_url": "u", "start": [0, 0, 1, 1], "cluster": [0, 1, 0, 1],
-        "point": list(dense[[0, 1, 2, 3]]),
-    })
-    out = topics._sum_chunk(("u", 0), rows, centres)
-    for start in (0, 1):
-        points = np.stack(centres["point"][centres["start"] == start].to_list())
-        squares = ((dense[:, None] - points) ** 2).sum(axis=2)
-        best = squares.argmin(axis=1)
-        sums = np.stack(out["sums"][out["start"] == start].to_list())
-        for j in (0, 1):
-            assert np.allclose(sums[j, :6], dense[best == j].sum(axis=0))
-            assert np.isclose(sums[j, 6], (best == j).sum())
-            assert np.isclose(sums[j, 7], squares[best == j, j].sum())
 
+def topic_centres(spark, starts):
+    rows = [("u", i, np.asarray(p).ravel().tolist(), float("inf"), True) for i, p in enumerate(starts)]
+    return spark.createDataFrame(rows, "business_url string, start int, points array<double>, cost double, moving boolean")
+
+
+def plain_step(dense, points):
+    squares = ((dense[:, None] - points) ** 2).sum(axis=2)
+    best = squares.argmin(axis=1)
+    after = [dense[best == j].mean(axis=0) if (best == j).any() else points[j] for j in range(len(points))]
+    return np.array(after), squares.min(axis=1).sum()
+
+
+def test_steps_match_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    dense = rng.random((40, 6)) * (rng.random((40, 6)) > 0.5)
+    vectors, chunks = topic_vectors(spark, dense, 3)
+    starts = [dense[[0, 1, 2]], dense[[5, 9]], np.array([dense[7], np.full(6, 50.0)])]
+    centres = topic_centres(spark, starts)
+    for _ in range(3):
+        centres = stage(topics.next_centres(vectors, chunks, centres, 6, 1e-9), "centres")
+        plain = [plain_step(dense, p) for p in starts]
+        starts = [p for p, _ in plain]
+        for r in centres.collect():
+            assert np.allclose(r["points"], starts[r["start"]].ravel()) and np.isclose(r["cost"], plain[r["start"]][1])
+    settled, moving = topics.settle(vectors, chunks, centres, 6, 100, 1e-9)
+    assert moving == 0 and settled.count() == 3
+    for r in settled.collect():
+        points = np.reshape(r["points"], (-1, 6))
+        assert np.allclose(plain_step(dense, points)[0], points)
+    assert topics.settle(vectors, chunks, topic_centres(spark, starts[:1]), 6, 1, 0.0)[1] in (0, 1)
+
+
+def cost_of(dense, points):
+    return ((dense[:, None] - points) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+@pytest.mark.parametrize("kind", ["blobs", "skewed", "sparse"])
+def test_starts_are_spread(spark, kind):
+    """Starts cost no more than vectors picked at random, on average, and no two centres of one are equal."""
+    rng = np.random.default_rng(7)
+    width, k = 8, 5
+    if kind == "blobs":
+        dense = np.eye(width)[rng.integers(0, k, 300)] + rng.normal(size=(300, width)) * 0.01
+    elif kind == "skewed":  # nearly all in one place
+        dense = np.r_[np.tile(np.eye(width)[:1], (290, 1)), np.eye(width)[rng.integers(1, width, 10)]]
+    else:
+        dense = rng.random((300, width)) * (rng.random((300, width)) > 0.7)
+    vectors, chunks = topic_vectors(spark, dense, k)
+    rows = topics.first_centres(vectors, chunks, k, 10, width).collect()
+    starts = [np.reshape(r["points"], (-1, width)) for r in rows]
+    assert sorted(r["start"] for r in rows) == list(range(10))
+    for points in starts:
+        assert len(np.unique(points, axis=0)) == len(points) == min(k, len(np.unique(dense, axis=0)))
+        assert all((dense == p).all(axis=1).any() for p in points)
+    random = [cost_of(dense, dense[rng.choice(len(dense), k, replace=False)]) for _ in range(50)]
+    assert np.mean([cost_of(dense, p) for p in starts]) <= np.mean(random)
+    if kind != "sparse":
+        assert min(cost_of(dense, p) for p in starts) < 0.5 * np.mean(random)
+    few, some = topic_vectors(spark, dense[:1].repeat(6, axis=0), 3)  # fewer different vectors than clusters
+    assert [len(r["points"]) for r in topics.first_centres(few, some, 3, 2, width).collect()] == [width, width]
+
+
+def test_draws_follow_the_distance(spark):
+    """Far vectors are drawn in proportion to their squared distance, equal ones never."""
+    dense = np.array([[1.0, 0.0]] * 5 + [[2.0, 0.0]] + [[4.0, 0.0]])  # squared distances 0, 1 and 9
+    vectors, chunks = topic_vectors(spark, dense, 2)
+    before = vectors.where("id = 0").crossJoin(spark.range(2000).selectExpr("cast(id as int) as start"))
+    drawn = stage(before.select("business_url", "start", "id", "slots", "weights"), "drawn")
+    got = [r["id"] for r in topics.draw_distant(vectors, chunks, drawn, 1, 1, 2).select("id").collect()]
+    assert len(got) == 2000 and set(got) == {5, 6}
+    assert 0.87 < got.count(6) / 2000 < 0.93
+    both = topics.draw_distant(vectors, chunks, drawn.where("start = 3"), 1, 5, 2)
+    assert sorted(r["id"] for r in both.collect()) == [5, 6]
 
-@pytest.fixture()
 def scope(spark):
     def load(session):
         reviews = session.createDataFrame(
