@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedbackmill.functions.dates import fill_unknown_date, normalize_date
@@ -17,8 +17,9 @@ from feedbackmill.operators.positions import with_line_number
 from feedbackmill.operators.sentiment import Scorer, classify_sentiment, lexicon_sentiment
 from feedbackmill.operators.terms import term_frequencies
 from feedbackmill.operators.topics import cluster_reviews
-from feedbackmill.schemas import COMPLETED, FAILED, PENDING
+from feedbackmill.schemas import COMPLETED, FAILED, PENDING, SKIPPED
 from feedbackmill.session import scratch, stage
+from feedbackmill.sinks.commit_log import ConflictingWrite
 from feedbackmill.sinks.store import ReviewStore
 from feedbackmill.sources.csv_files import read_review_csv
 from feedbackmill.sources.pages import Selectors, dataset_of, page_items
@@ -81,29 +82,40 @@ def derived_tables(options: IngestOptions, warnings: list[str]) -> dict[str, Cal
 
 
 def ingest(
-    store: ReviewStore, raw: DataFrame, datasets: DataFrame, options: IngestOptions
+    store: ReviewStore, raw: DataFrame, datasets: DataFrame, options: IngestOptions, batch: str | None = None
 ) -> RunResult:
     """Replace ``datasets`` by the raw rows and all that is derived from them.
 
     A derived table that fails leaves a warning; any other failure marks the run as failed and is
-    raised. The scorer is called once per review, since its labels are staged.
+    raised. The scorer is called once per review, since its labels are staged. If another run replaces
+    one of the datasets in the meantime, this one fails. ``batch`` names the batch of a stream; one whose
+    reviews are in the store already changes nothing and is skipped.
     """
     run = RunResult(uuid.uuid4().hex, PENDING)
-    first_id = store.next_id()
-    lines = raw.agg(F.coalesce(F.max("line_no"), F.lit(-1))).first()[0] + 1
-    next_id = first_id + lines
+    if batch and store.log.has_batch(batch):
+        run.status = SKIPPED
+        return run
+    since = store.log.version()
+    # Observed while the rows are staged; they are numbered once.
+    seen = Observation()
+    last = F.coalesce(F.max("line_no"), F.lit(-1)).alias("last")
+    raw = stage(raw.observe(seen, last), "raw")
+    first_id = store.take_ids(seen.get["last"] + 1)
+    next_id = first_id + seen.get["last"] + 1
     store.log_run(datasets, run.run_id, PENDING, next_id)
     try:
         reviews = stage(prepare(raw, first_id, options), "reviews")
-        store.replace("reviews", reviews, datasets)
+        store.replace("reviews", reviews, datasets, since, run.run_id, batch)
         for table, derive in derived_tables(options, run.warnings).items():
             try:
-                store.replace(table, stage(derive(reviews), table), datasets)
+                store.replace(table, stage(derive(reviews), table), datasets, since, run.run_id)
+            except ConflictingWrite:
+                raise
             except Exception as e:
                 log.warning("%s was not derived", table, exc_info=True)
                 run.warnings.append(f"{table}: {type(e).__name__}")
                 # What was derived from the replaced reviews must not stay.
-                store.clear(table, datasets)
+                store.clear(table, datasets, since, run.run_id)
         run.status = COMPLETED
     except Exception:
         run.status = FAILED
@@ -119,6 +131,7 @@ def ingest_csv(
     options: IngestOptions = IngestOptions(),
     max_rows: int | None = None,
     multi_line: bool = True,
+    batch: str | None = None,
 ) -> RunResult:
     """The files replace the datasets that their titles, or else their names, stand for.
 
@@ -126,7 +139,7 @@ def ingest_csv(
     """
     with scratch(store.spark):
         raw, datasets = read_review_csv(store.spark, paths, max_rows, multi_line)
-        return ingest(store, raw, datasets, options)
+        return ingest(store, raw, datasets, options, batch)
 
 
 def ingest_pages(

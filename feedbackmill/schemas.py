@@ -10,6 +10,7 @@ NO_ASPECT = "Overall Experience"
 NO_TOPIC = "General Feedback"
 
 PENDING, COMPLETED, FAILED, NOT_FOUND = "pending", "completed", "failed", "not_found"
+SKIPPED = "skipped"  # of a batch that is in the store already; no status of a dataset
 
 RAW_REVIEW = T.StructType([
     T.StructField("user_name", T.StringType()),
@@ -58,11 +59,3 @@ DATASET_RUNS = T.StructType([
     T.StructField("next_id", T.LongType()),
     T.StructField("ts", T.TimestampType()),
 ])
-
-COMMITS = T.StructType([
-    T.StructField("business_url", T.StringType()),
-    T.StructField("table_name", T.StringType()),
-    T.StructField("generation", T.StringType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("kind", T.StringType()),
-])

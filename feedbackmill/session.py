@@ -60,20 +60,21 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         remove_path(spark, folder)
 
 
-def _hadoop_path(spark: SparkSession, name: str):
+def hadoop_path(spark: SparkSession, name: str):
+    """A path and the file system it lies in."""
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def remove_path(spark: SparkSession, folder: str) -> None:
-    path, files = _hadoop_path(spark, folder)
+    path, files = hadoop_path(spark, folder)
     files.delete(path, True)
 
 
 def stored_bytes(staged: DataFrame) -> int:
     """Size of the files behind a staged table."""
     folder = staged.inputFiles()[0].rsplit("/", 1)[0]
-    path, files = _hadoop_path(staged.sparkSession, folder)
+    path, files = hadoop_path(staged.sparkSession, folder)
     return files.getContentSummary(path).getLength()
 
 

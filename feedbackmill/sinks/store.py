@@ -1,9 +1,9 @@
 """Stored tables: reviews, what is derived from them, and the run registry.
 
-Every write adds a generation of rows and then one commit per dataset that says which generation
-holds. Readers join the commits, so a dataset is replaced, emptied or extended as a whole, and a
-write that fails before its commits is never seen. One writer works on a store at a time; readers
-may come and go.
+Every write adds a generation of rows and then one entry to the log of commits, which says for which
+datasets the generation holds. Readers join the commits, so a dataset is replaced, emptied or extended
+as a whole, and a write that fails before its commit is never seen. Writers may work at the same time:
+each takes ids of its own, and of two that replace one dataset the later is refused.
 """
 
 import uuid
@@ -19,20 +19,19 @@ from feedbackmill.operators.dashboard import KEY
 from feedbackmill.operators.runs import latest_status
 from feedbackmill.schemas import NOT_FOUND
 from feedbackmill.session import remove_path, scratch, stage
+from feedbackmill.sinks.commit_log import APPEND, IDS, REPLACE, RUNS, CommitLog
 
 #: Folders of a generation; a dataset lies in one of them.
 BUCKETS = 64
-REPLACE, APPEND = "replace", "append"
 GENERATION = (T.StructField("generation", T.StringType()), T.StructField("bucket", T.IntegerType()))
 SCHEMAS = {
     "reviews": schemas.REVIEWS,
     "aspect_sentiments": schemas.ASPECT_SENTIMENTS,
     "review_clusters": schemas.REVIEW_CLUSTERS,
     "term_frequencies": schemas.TERM_FREQUENCIES,
-    "dataset_runs": schemas.DATASET_RUNS,
-    "commits": schemas.COMMITS,
 }
-FLAT = ("dataset_runs", "commits")
+#: Read from the log.
+REGISTRY = "dataset_runs"
 
 
 def bucket(key: Column) -> Column:
@@ -47,10 +46,13 @@ class ReviewStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    @property
+    def log(self) -> CommitLog:
+        return CommitLog(self.spark, self.path("commits"))
+
     def _stored(self, table: str) -> DataFrame:
         """All rows of a table that were ever written and not compacted away."""
-        schema = SCHEMAS[table]
-        stored = schema if table in FLAT else T.StructType([*schema, *GENERATION])
+        stored = T.StructType([*SCHEMAS[table], *GENERATION])
         try:
             return self.spark.read.schema(stored).parquet(self.path(table))
         except AnalysisException as e:
@@ -60,24 +62,20 @@ class ReviewStore:
 
     def live(self, table: str, key: str | None = None) -> DataFrame:
         """(business_url, generation) of what holds: the last replacement and what was added since."""
-        commits = self._stored("commits").where(F.col("table_name") == table)
+        commits = self.log.commits().where(F.col("table_name") == table)
         if key is not None:
             commits = commits.where(F.col(KEY) == key)
-        since = commits.where(F.col("kind") == REPLACE).groupBy(KEY).agg(F.max("seq").alias("since"))
-        held = commits.join(since, KEY, "left").where(F.col("seq") >= F.coalesce("since", F.lit(-1)))
-        return held.select(KEY, "generation").distinct()
+        return self.log.holding(commits).select(KEY, "generation").distinct()
 
     def read(self, table: str, key: str | None = None) -> DataFrame:
         """A whole table, or one dataset of it, for which only its bucket's folders are read."""
-        names = [f.name for f in SCHEMAS[table]]
+        if table == REGISTRY:
+            return self.log.runs() if key is None else self.log.runs().where(F.col(KEY) == key)
         rows = self._stored(table)
         if key is not None:
-            rows = rows.where(F.col(KEY) == key)
-            if table not in FLAT:
-                rows = rows.where(F.col("bucket") == bucket(F.lit(key)))
-        if table not in FLAT:
-            rows = rows.join(self.live(table, key), [KEY, "generation"], "left_semi")
-        return rows.select(*names)
+            rows = rows.where((F.col(KEY) == key) & (F.col("bucket") == bucket(F.lit(key))))
+        rows = rows.join(self.live(table, key), [KEY, "generation"], "left_semi")
+        return rows.select(*(f.name for f in SCHEMAS[table]))
 
     def _add(self, table: str, rows: DataFrame) -> str:
         """Write a generation of rows. Rebalancing gathers small buckets and splits large ones."""
@@ -90,38 +88,51 @@ class ReviewStore:
         )
         return generation
 
-    def _commit(self, table: str, datasets: DataFrame, generation: str, kind: str) -> None:
-        seq = self._stored("commits").agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1
-        rows = datasets.select(
-            KEY, F.lit(table).alias("table_name"), F.lit(generation).alias("generation"),
-            F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"),
-        ).distinct()
-        rows.write.mode("append").parquet(self.path("commits"))
-
-    def replace(self, table: str, rows: DataFrame, datasets: DataFrame) -> None:
+    def _commit(
+        self, table: str, datasets: DataFrame, generation: str, kind: str,
+        since: int | None, writer: str | None, batch: str | None = None, compacts: bool = False,
+    ) -> None:
+        entry = {"kind": kind, "table": table, "generation": generation, "writer": writer or generation}
+        if batch:
+            entry["batch"] = batch
+        if compacts:
+            entry["compacts"] = True
+        self.log.add(entry, datasets.select(KEY).distinct(), since)
+
+    def replace(
+        self, table: str, rows: DataFrame, datasets: DataFrame,
+        since: int | None = None, writer: str | None = None, batch: str | None = None,
+    ) -> None:
         """Put ``rows`` in place of all rows of ``datasets``; other datasets stay.
 
-        A dataset without new rows is emptied. Rows of datasets that are not named are not kept.
+        A dataset without new rows is emptied. Rows of datasets that are not named are not kept. If
+        another writer has replaced one of the datasets after version ``since`` of the log (that of the
+        call's begin unless given), this one is refused with :class:`ConflictingWrite`. ``batch``
+        names the batch of a stream that the rows come from.
         """
-        self._commit(table, datasets, self._add(table, rows), REPLACE)
+        since = self.log.version() if since is None else since
+        self._commit(table, datasets, self._add(table, rows), REPLACE, since, writer, batch)
 
-    def clear(self, table: str, datasets: DataFrame) -> None:
+    def clear(self, table: str, datasets: DataFrame, since: int | None = None, writer: str | None = None) -> None:
         """Empty ``datasets``."""
-        self._commit(table, datasets, uuid.uuid4().hex, REPLACE)
+        self._commit(table, datasets, uuid.uuid4().hex, REPLACE, since, writer)
 
     def append(self, rows: DataFrame) -> None:
         """Add review rows to their datasets; ``rows`` is read twice, so it should be staged."""
-        self._commit("reviews", rows.select(KEY), self._add("reviews", rows), APPEND)
+        self._commit("reviews", rows.select(KEY), self._add("reviews", rows), APPEND, None, None)
 
     def compact(self, table: str) -> None:
         """Write what holds as one generation and drop the older ones; no reader may be at work.
 
-        The folders dropped are as many as there were writes since the last compaction.
+        A writer that commits in the meantime makes it fail without loss; none may be about to. The
+        folders dropped are as many as there were writes since the last compaction.
         """
+        since = self.log.version()
         old = [r["generation"] for r in self._stored(table).select("generation").distinct().collect()]
         with scratch(self.spark):
             held = self.live(table).select(KEY).distinct()
-            self.replace(table, stage(self.read(table), "compacted"), stage(held, "held"))
+            rows, held = stage(self.read(table), "compacted"), stage(held, "held")
+            self._commit(table, held, self._add(table, rows), REPLACE, since, None, compacts=True)
         for generation in old:
             remove_path(self.spark, f"{self.path(table)}/generation={generation}")
 
@@ -137,11 +148,15 @@ class ReviewStore:
             F.lit(next_id).cast("long").alias("next_id"),
             F.current_timestamp().alias("ts"),
         )
-        entry.hint("rebalance").write.mode("append").parquet(self.path("dataset_runs"))
+        self.log.add({"kind": RUNS, "next_id": next_id}, entry.hint("rebalance"))
+
+    def take_ids(self, count: int) -> int:
+        """The first of ``count`` review ids that no other writer gets."""
+        return self.log.add({"kind": IDS, "ids": count})
 
     def next_id(self) -> int:
         """First review id that no run has taken."""
-        return self.read("dataset_runs").agg(F.coalesce(F.max("next_id"), F.lit(0))).first()[0]
+        return self.log.next_id()
 
     def status(self, key: str) -> str:
         found = latest_status(self.read("dataset_runs", key)).first()
