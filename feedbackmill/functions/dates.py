@@ -10,7 +10,11 @@ from feedbackmill.schemas import UNKNOWN
 UNIT_DAYS = (("year", 365), ("month", 30), ("week", 7), ("day", 1))
 
 # Date forms read besides ISO dates and times.
-DAY_FORMS = ("M/d/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]")
+DAY_FORMS = ("M/d/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "M-d-yyyy[ H:mm[:ss]]") + tuple(
+    form for month in ("MMM", "MMMM") for form in (
+        f"{month} d[,] yyyy", f"d {month}[,] yyyy", f"{month}-d-yyyy", f"d-{month}-yyyy", f"{month}/d/yyyy", f"d/{month}/yyyy",
+    )
+)
 
 
 def normalize_date(text: Column, as_of: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from feedbackmill.operators.aspects import of_reviews
 from feedbackmill.operators.dashboard import KEY
 from feedbackmill.sinks.store import ReviewStore
+from feedbackmill.sources.pages import Selectors, register_page_items
 
 VIEWS = ("reviews", "aspect_sentiments", "review_clusters")
 CHART_KINDS = ("line", "bar", "pie")
@@ -57,9 +58,13 @@ class Answer:
 
 
 def scoped_session(
-    spark: SparkSession, load: Callable[[SparkSession], Tables], key: str | None = None
+    spark: SparkSession, load: Callable[[SparkSession], Tables], key: str | None = None,
+    selectors: Selectors = Selectors(),
 ) -> SparkSession:
-    """A session of its own whose only views are the tables from ``load``, cut to one business."""
+    """A session of its own whose only views are the tables from ``load``, cut to one business.
+
+    Its table function ``page_items`` takes the reviews out of a page by ``selectors``.
+    """
     child = spark.newSession()
     for name in _CARRIED_CONF:
         child.conf.set(name, spark.conf.get(name))
@@ -72,6 +77,7 @@ def scoped_session(
         tables = {"reviews": reviews, **{n: of_reviews(t, reviews) for n, t in cut.items()}}
     for name, rows in tables.items():
         rows.createOrReplaceTempView(name)
+    register_page_items(child, selectors)
     registry = child._jsparkSession.sessionState().functionRegistry()
     for name in REFLECTION:
         registry.dropFunction(child._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
@@ -112,7 +118,8 @@ def store_session(store: ReviewStore, key: str | None = None) -> SparkSession:
 def run_query(session: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
     """Result of one query, with values for its ``:name`` markers.
 
-    As a subquery, only a single query can be parsed, never a command.
+    The text has to be a whole statement by itself, so that it can't close the bracket around it; and
+    as a subquery, only a single query can be parsed, never a command.
     """
     text = (sql or "").strip().rstrip(";").rstrip()
     if not text:
@@ -120,6 +127,7 @@ def run_query(session: SparkSession, sql: str, args: dict | None = None) -> Data
     if _MADE_NAME.search(_COMMENT.sub(" ", text)):
         raise QueryError("names can't be made from values")
     try:
+        session._jsparkSession.sessionState().sqlParser().parsePlan(text)
         result = session.sql(f"SELECT * FROM (\n{text}\n) AS result", args=args)
     except PySparkException as e:
         raise QueryError(str(e)) from e

@@ -25,13 +25,14 @@ from feedbackmill.operators.ranking import top_per_group
 from feedbackmill.plans import adhoc, bundles
 from feedbackmill.plans.ingest import IngestOptions, ingest_csv, ingest_pages
 from feedbackmill.schemas import UNKNOWN
-from feedbackmill.session import shared_dir, stage
+from feedbackmill.session import hadoop_path, shared_dir, stage
 from feedbackmill.sinks.csv_export import export_csv
 from feedbackmill.sinks.store import ReviewStore
 from feedbackmill.sources import csv_files
 from feedbackmill.sources.pages import Selectors, page_items
 from feedbackmill.sources.records import parse_records, prefer
 from feedbackmill.sources.sample_tables import sample_reviews, table
+from feedbackmill.streaming.drop_folder import stream_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -449,11 +450,12 @@ def dataset_key(spark, sf_dir):
     return csv_files.dataset_keys(rows).drop("file_time")
 
 
-def _write_uploads(spark, sf_dir):
+def _write_uploads(spark, sf_dir, documents=None):
     """Documents as CSV files of 500 rows, with line breaks and quotes inside fields."""
     folder = f"{shared_dir(spark)}/upload-{uuid.uuid4().hex}"
     part = F.expr("doc_id div 500")
-    rows = table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents") if documents is None else documents
+    rows = documents.select(
         part.alias("part"),
         F.concat(F.lit("d"), "doc_id").alias(" Name"),
         F.col("text").alias("TEXT"),
@@ -558,6 +560,48 @@ def ingested_bundle_clusters(spark, sf_dir):
     return _cluster_shape(bundles.advanced_bundle(store, "upload 0")["clusters"])
 
 
+def _place_parts(spark, written, folder):
+    """Move the CSV files that ``_write_uploads`` wrote to one name per part in ``folder``, over what is there."""
+    source, files = hadoop_path(spark, written)
+    target, _ = hadoop_path(spark, folder)
+    files.mkdirs(target)
+    for part in files.listStatus(source):
+        name = part.getPath().getName()
+        if name.startswith("part="):
+            (one,) = [f.getPath() for f in files.listStatus(part.getPath()) if f.getPath().getName().endswith(".csv")]
+            place, _ = hadoop_path(spark, f"{folder}/{name.removeprefix('part=')}.csv")
+            files.delete(place, False)
+            files.rename(one, place)
+
+
+@query
+def streamed_drop_folder(spark, sf_dir):
+    """A drop folder read by a stream twice: all parts, and again after every third one was rewritten."""
+    store, folder = _new_store(spark), f"{shared_dir(spark)}/drop-{uuid.uuid4().hex}"
+    options = IngestOptions(INGEST_DAY, length_scorer, derived=())
+    documents = table(spark, sf_dir, "documents")
+    third = (F.expr("doc_id div 500") % 3 == 0) & (F.col("doc_id") % 3 == 0)
+    for rows in (documents, documents.where(third)):
+        _place_parts(spark, _write_uploads(spark, sf_dir, rows), folder)
+        stream_new_files(store, folder, f"{folder}-state", options).awaitTermination()
+    return _stored(store)
+
+
+@query
+def vacuumed_store(spark, sf_dir):
+    """A store after appends, a replacement and a vacuum of its log, and a replacement after that."""
+    store = _new_store(spark)
+    columns = ("id", KEY, "user_name", "rating", "date", "review_text", "sentiment")
+    rows = sample_reviews(spark, sf_dir, *columns)
+    keys = rows.select(KEY).distinct()
+    store.append(rows.where("id % 2 = 0"))
+    store.append(rows.where("id % 2 = 1"))
+    store.replace("reviews", rows.where("sentiment = 'Negative' and business_url = 'src3'"), keys.where("business_url = 'src3'"))
+    store.log.vacuum()
+    store.replace("reviews", rows.where("sentiment = 'Positive' and business_url = 'src4'"), keys.where("business_url = 'src4'"))
+    return store.read("reviews").withColumn("review_text", F.md5("review_text"))
+
+
 @query
 def replaced_reviews(spark, sf_dir):
     """A store filled with all reviews, then with new rows for one business."""
@@ -704,6 +748,18 @@ def chart_axes(spark, sf_dir):
     return result.chart.points
 
 
+@query
+def page_items_sql(spark, sf_dir):
+    """List items taken out of pages by a table function in the SQL of the caller."""
+    selectors = Selectors(container="li", user_name="a", review_text="a", attributes={"user_name": "href"})
+    session = adhoc.scoped_session(spark, lambda s: {"pages": table(s, sf_dir, "pages")}, selectors=selectors)
+    return adhoc.run_query(
+        session,
+        "SELECT p.page_id, i.item_pos, i.user_name AS target, trim(i.review_text) AS label"
+        " FROM pages p, LATERAL page_items(p.html) i",
+    )
+
+
 # Sentiment and topics
 
 

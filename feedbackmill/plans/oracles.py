@@ -638,3 +638,22 @@ from (
   select *, row_number() over (partition by business_url, cluster order by round(w, 12) desc, term) as nth from centres1)
 where nth <= 3 group by all
 """
+ORACLES["streamed_drop_folder"] = DATES + UPLOADS.replace(
+    "from documents join dates using (doc_id)",
+    "from documents join dates using (doc_id) where doc_id // 500 % 3 <> 0 or doc_id % 3 = 0",
+) + """
+select business_url, user_name, rating, date, md5(review_text) as review_text, sentiment from uploads
+"""
+ORACLES["vacuumed_store"] = REVIEWS + """
+select id, business_url, user_name, rating, date, md5(review_text) as review_text, sentiment from reviews
+where business_url not in ('src3', 'src4') or (business_url = 'src3' and sentiment = 'Negative')
+  or (business_url = 'src4' and sentiment = 'Positive')
+"""
+ORACLES["page_items_sql"] = """
+select page_id, cast(nth - 1 as int) as item_pos,
+  replace(regexp_extract(item, 'href="([^"]*)"', 1), '&amp;', '&') as target,
+  trim(replace(regexp_extract(item, '>([^<]*)</a>', 1), '&amp;', '&')) as label
+from (
+  select page_id, generate_subscripts(items, 1) as nth, unnest(items) as item
+  from (select page_id, regexp_extract_all(html, '<li>.*?</li>') as items from pages))
+"""

@@ -5,13 +5,12 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedbackmill.functions.labels import name_or_unknown
 from feedbackmill.functions.ratings import first_number
 from feedbackmill.functions.text import strip
-from feedbackmill.operators.positions import with_position
 from feedbackmill.schemas import UNKNOWN
 
 # HTML elements that have no end tag.
@@ -148,6 +147,16 @@ def page_items(
     )
 
 
-def with_dataset_position(items: DataFrame) -> DataFrame:
-    """Add ``pos``: the place of an item among all items of its dataset."""
-    return with_position(items, "business_url", ["page_id", "item_pos"])
+def register_page_items(session: SparkSession, selectors: Selectors = Selectors(), name: str = "page_items") -> None:
+    """Make the extraction a table function for SQL: ``FROM pages p, LATERAL page_items(p.html) i``.
+
+    It gives a row per container with its place and its fields as they stand in the page, null if absent.
+    """
+
+    class PageItems:
+        def eval(self, html: str):
+            for pos, item in enumerate(_items(html, selectors)):
+                yield pos, *(item.get(field) for field in Selectors.FIELDS)
+
+    columns = "item_pos int, " + ", ".join(f"{field} string" for field in Selectors.FIELDS)
+    session.udtf.register(name, F.udtf(PageItems, returnType=columns, useArrow=True))

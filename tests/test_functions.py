@@ -65,6 +65,13 @@ def test_month_period(spark):
     ]
 
 
+def test_month_names(spark):
+    forms = ["Jan 5, 2024", "february 7 2024", "5 MAR 2024", "5-apr-2024", "May-05-2023", "jun/5/2023", "12/July/2023", "31 Smarch 2024", "Feb 31, 2024"]
+    assert apply(spark, dates.month_period, forms) == [
+        "2024-01", "2024-02", "2024-03", "2024-04", "2023-05", "2023-06", "2023-07", "Unknown", "Unknown",
+    ]
+
+
 def test_fill_unknown_date(spark):
     df = spark.createDataFrame([("Unknown", 3), ("2020-01-01", 4)], "d string, p long")
     out = dates.fill_unknown_date(F.col("d"), F.col("p"), F.lit(AS_OF))

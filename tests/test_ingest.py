@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from feedbackmill import schemas
@@ -8,7 +9,8 @@ from feedbackmill.plans import adhoc, bundles, ingest
 from feedbackmill.sinks.csv_export import export_csv
 from feedbackmill.sinks.store import ReviewStore
 from feedbackmill.sources.csv_files import read_review_csv
-from feedbackmill.streaming.drop_folder import ingest_new_files
+from feedbackmill.streaming import drop_folder
+from feedbackmill.streaming.drop_folder import ingest_new_files, stream_new_files
 
 AS_OF = date(2025, 1, 31)
 OPTIONS = ingest.IngestOptions(as_of=AS_OF)
@@ -327,6 +329,65 @@ def test_drop_folder_keeps_all_parts_of_a_dataset(spark, tmp_path):
     assert texts("Shop") == ["later upload rewritten"]
 
 
+def test_stream_takes_new_and_rewritten_files(spark, tmp_path):
+    folder, store = tmp_path / "drop", ReviewStore(spark, str(tmp_path / "store"))
+    options = ingest.IngestOptions(as_of=AS_OF, derived=())
+
+    def run():
+        stream_new_files(store, str(folder), str(tmp_path / "state"), options, files_per_batch=2).awaitTermination()
+        return sorted(rows(store.read("reviews"), "business_url", "review_text"))
+
+    assert run() == []
+    for part in "ab":
+        write(folder, f"part {part}+.csv", f"text,title\nfirst {part},Shop\n")
+    write(folder / "below", "ONE.CSV", "text\nalone\n")
+    write(folder, "other.txt", "text\nnot taken\n")
+    want = [("ONE.CSV", "alone"), ("Shop", "first a"), ("Shop", "first b")]
+    assert run() == want
+    version = store.log.version()
+    assert run() == want and store.log.version() == version
+    write(folder, "part b+.csv", "text,title\nsecond version b,Shop\n")
+    assert run() == [("ONE.CSV", "alone"), ("Shop", "first a"), ("Shop", "second version b")]
+    assert len(list((tmp_path / "state" / "snapshots").glob("*.json"))) <= 2
+
+
+@pytest.mark.parametrize("dies_at", ["before the store", "after the store"])
+def test_stream_that_dies_repeats_its_batch(spark, tmp_path, monkeypatch, dies_at):
+    folder, store = tmp_path / "drop", ReviewStore(spark, str(tmp_path / "store"))
+    options = ingest.IngestOptions(as_of=AS_OF, derived=())
+    for name in ("one", "two"):
+        write(folder, f"{name}.csv", f"text,title\nof {name},{name}\n")
+    real = drop_folder.ingest_csv
+    calls = []
+
+    def dying(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 2 and dies_at == "before the store":
+            raise RuntimeError("lost")
+        run = real(*args, **kwargs)
+        if len(calls) == 2:
+            raise RuntimeError("lost")  # the commit is in the store, but neither ledger nor checkpoint know
+        return run
+
+    def run():
+        stream_new_files(store, str(folder), str(tmp_path / "state"), options, files_per_batch=1).awaitTermination()
+
+    monkeypatch.setattr(drop_folder, "ingest_csv", dying)
+    with pytest.raises(StreamingQueryException):
+        run()
+    done, version = store.read("reviews").count(), store.log.version()
+    assert done == (1 if dies_at == "before the store" else 2)
+    ids = rows(store.read("reviews").orderBy("id"), "id", "business_url")
+    run()
+    assert len(calls) == 3  # of the two groups only the one that died comes again
+    assert sorted(rows(store.read("reviews"), "business_url", "review_text")) == [("one", "of one"), ("two", "of two")]
+    if dies_at == "after the store":
+        assert store.log.version() == version and rows(store.read("reviews").orderBy("id"), "id", "business_url") == ids
+    version = store.log.version()
+    run()
+    assert len(calls) == 3 and store.log.version() == version
+
+
 def test_export(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, 4.0, ' say "hi"\nthere ', None), (2, 2.5, "", "x,y")],

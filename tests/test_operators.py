@@ -236,6 +236,8 @@ def test_draws_follow_the_distance(spark):
     both = topics.draw_distant(vectors, chunks, drawn.where("start = 3"), 1, 5, 2)
     assert sorted(r["id"] for r in both.collect()) == [5, 6]
 
+
+@pytest.fixture()
 def scope(spark):
     def load(session):
         reviews = session.createDataFrame(
@@ -290,6 +292,8 @@ def test_empty_sql(scope, sql):
     "sql",
     [
         "select nothing from reviews",
+        "select * from reviews) as x, (select 1 y",
+        "select 1) as result union all (select 2",
         "drop view reviews",
         "create table t as select 1",
         "insert into reviews select * from reviews",
