@@ -104,6 +104,48 @@ def test_scorer_keeps_rows_and_labels_together(spark, n):
     assert got == want
 
 
+@pytest.mark.parametrize("calls", [1, 3])
+def test_scorer_sees_full_batches_of_different_texts(spark, tmp_path, calls):
+    """Batches go on over Arrow batches, equal texts of a task are sent once, and failing calls again."""
+    def scorer(texts):
+        batch = f"{len(texts)} {len(set(texts))} {hash(tuple(texts))}"
+        tries = tmp_path / f"{abs(hash(batch))}"
+        with open(tries, "a") as file:
+            file.write(batch + "\n")
+        if "text 7" in texts and len(tries.read_text().splitlines()) < 3:
+            raise RuntimeError("busy")
+        return [("Positive", "Negative", "Neutral")[int(t.split()[1]) % 3] for t in texts]
+
+    rows = [(i, f"text {i % 230}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, review_text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "33")
+    try:
+        got = sentiment.classify_sentiment(df, scorer, calls=calls, attempts=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r["id"], r["sentiment"]) for r in got] == [(i, ("Positive", "Negative", "Neutral")[i % 230 % 3]) for i in range(1000)]
+    made = [p.read_text().splitlines() for p in tmp_path.iterdir()]
+    assert sorted(int(m[0].split()[0]) for m in made) == [30, 50, 50, 50, 50]
+    assert all(m[0].split()[0] == m[0].split()[1] for m in made)
+    assert sorted(len(m) for m in made) == [1, 1, 1, 1, 3]
+
+
+def test_every_text_is_scored_once(spark, tmp_path):
+    def scorer(texts):
+        for text in texts:
+            with open(tmp_path / text.replace(" ", "_"), "a") as file:
+                file.write("x")
+        return ["Positive" if t.endswith("1") else "Negative" for t in texts]
+
+    rows = [(i, None if i % 50 == 0 else f"text {i % 4}", "x") for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, review_text string, other string").repartition(4)
+    got = {r["id"]: r for r in sentiment.classify_once(df.where("review_text is not null"), scorer).collect()}
+    assert len(got) == 392 and {p.read_text() for p in tmp_path.iterdir()} == {"x"}
+    assert all(r["sentiment"] == ("Positive" if i % 4 == 1 else "Negative") and r["other"] == "x" for i, r in got.items())
+    empty = sentiment.classify_once(df.where("review_text is null"), lambda texts: ["Negative"] * len(texts))
+    assert [r["sentiment"] for r in empty.collect()] == ["Negative"] * 8
+
+
 def test_lexicon(spark):
     texts = ["Great food, GREAT staff", "awful", "great but awful", "greatly", None]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, review_text string")
