@@ -54,6 +54,69 @@ def dashboard_totals(reviews: DataFrame, *charts: str) -> DataFrame:
     return rows.groupBy(KEY).agg(*[a for chart in charts or CHARTS for a in aggs[chart]()])
 
 
+# Partial sums that can be added up: those of parts of a business's reviews give those of all of them.
+
+COUNTS = (
+    "n", "pos", "neg", "rated", *(f"n_{s}" for s in SENTIMENTS), *(f"n_{b}" for b in BUCKETS),
+    *(f"n_{s}_{b}" for s in SENTIMENTS for b in BUCKETS), *(f"length_sum_{b}" for b in BUCKETS),
+)
+SUMS = ("rating_sum", *(f"rating_sum_{s}" for s in SENTIMENTS))
+
+
+def dashboard_partials(reviews: DataFrame) -> DataFrame:
+    """One row per business with ``COUNTS`` (long) and ``SUMS`` (double)."""
+    rows = reviews.select(
+        KEY, F.col("sentiment").alias("given"), F.col("rating").alias("raw"),
+        sentiment_or_neutral(F.col("sentiment")).alias("sentiment"),
+        rating_bucket(F.col("rating")).alias("bucket"),
+        rating_or_zero(F.col("rating")).alias("rating"),
+        utf16_length(F.col("review_text")).cast("long").alias("length"),
+    )
+    labelled = {s: F.col("sentiment") == s for s in SENTIMENTS}
+    rated = {b: F.col("bucket") == b for b in BUCKETS}
+    made = {
+        "n": F.count("*"), "pos": F.count_if(F.col("given") == POSITIVE), "neg": F.count_if(F.col("given") == NEGATIVE),
+        "rated": F.count("raw"), "rating_sum": F.coalesce(F.sum("raw"), F.lit(0.0)),
+    }
+    for s, is_s in labelled.items():
+        made[f"n_{s}"] = F.count_if(is_s)
+        made[f"rating_sum_{s}"] = F.coalesce(F.sum(F.when(is_s, F.col("rating"))), F.lit(0.0))
+        made |= {f"n_{s}_{b}": F.count_if(is_s & is_b) for b, is_b in rated.items()}
+    for b, is_b in rated.items():
+        made[f"n_{b}"] = F.count_if(is_b)
+        made[f"length_sum_{b}"] = F.coalesce(F.sum(F.when(is_b, F.col("length"))), F.lit(0).cast("long"))
+    return rows.groupBy(KEY).agg(*(made[c].alias(c) for c in (*COUNTS, *SUMS)))
+
+
+def totals_of_partials(partials: DataFrame) -> DataFrame:
+    """What :func:`dashboard_totals` gives for all charts, with n, pos, neg and avg_rating, from partial sums."""
+    added = partials.groupBy(KEY).agg(*(F.sum(c).alias(c) for c in (*COUNTS, *SUMS)))
+
+    def mean(total: str, count: str) -> Column:
+        return F.when(F.col(count) > 0, F.col(total) / F.col(count))
+
+    means = {f"rating_{s}": mean(f"rating_sum_{s}", f"n_{s}") for s in SENTIMENTS}
+    means |= {f"length_{b}": mean(f"length_sum_{b}", f"n_{b}") for b in BUCKETS}
+    return added.withColumns(means | {"avg_rating": mean("rating_sum", "rated")})
+
+
+def monthly_partials(reviews: DataFrame) -> DataFrame:
+    """Number and sum of ratings per business and month that has a readable date."""
+    rows = reviews.select(KEY, month_period(F.col("date")).alias("period"), rating_or_zero(F.col("rating")).alias("rating"))
+    return rows.where(F.col("period") != UNKNOWN).groupBy(KEY, "period").agg(
+        F.count("*").alias("n"), F.sum("rating").alias("rating_sum")
+    )
+
+
+def months_of_partials(partials: DataFrame) -> DataFrame:
+    """What :func:`monthly_volume_rating` gives, from partial sums."""
+    return (
+        partials.groupBy(KEY, "period")
+        .agg(F.sum("n").alias("n"), (F.sum("rating_sum") / F.sum("n")).alias("avg_rating"))
+        .orderBy(KEY, "period")
+    )
+
+
 def sentiment_breakdown(totals: DataFrame) -> DataFrame:
     return _long(totals, [[F.lit(s), F.col(f"n_{s}")] for s in SENTIMENTS], ["sentiment", "n"])
 

@@ -29,6 +29,22 @@ def dashboard_bundle(reviews: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def stored_dashboard(store: ReviewStore, key: str | None = None) -> dict[str, DataFrame]:
+    """The dashboard charts of a store, kept up to date by its writes: all but ``top_words`` read no reviews."""
+    totals = d.totals_of_partials(store.read("review_totals", key))
+    return {
+        "sentiment_breakdown": d.sentiment_breakdown(totals),
+        "rating_distribution": d.rating_distribution(totals),
+        "avg_rating_by_sentiment": d.avg_rating_by_sentiment(totals),
+        "avg_length_by_rating": d.avg_length_by_rating(totals),
+        "top_words": top_words(store.read("reviews", key)),
+        "sentiment_by_rating": d.sentiment_by_rating(totals),
+        "monthly_volume_rating": d.months_of_partials(store.read("review_months", key)),
+        "dataset_counts": totals.select(d.KEY, "n", "pos", "neg"),
+        "overall_average": totals.select(d.KEY, "avg_rating"),
+    }
+
+
 def advanced_bundle(store: ReviewStore, key: str) -> dict[str, DataFrame]:
     """Aspects, clusters, term clouds and the charts over them for one dataset."""
     if store.status(key) == NOT_FOUND:

@@ -694,6 +694,30 @@ def dashboard_bundle_buckets(spark, sf_dir):
     return bundles.dashboard_bundle(store.read("reviews"))["avg_length_by_rating"]
 
 
+def _changed_store(spark, sf_dir):
+    """A store after two appends and a replacement."""
+    store = _new_store(spark)
+    columns = ("id", KEY, "user_name", "rating", "date", "review_text", "sentiment")
+    rows = sample_reviews(spark, sf_dir, *columns)
+    store.append(rows.where("id % 2 = 0"))
+    store.append(rows.where("id % 2 = 1"))
+    new = rows.where("sentiment = 'Negative' and business_url = 'src3'")
+    store.replace("reviews", new, rows.select(KEY).distinct().where("business_url = 'src3'"))
+    return store
+
+
+@query
+def kept_sentiment_by_rating(spark, sf_dir):
+    """A chart from the partial sums of a store that was written to three times."""
+    return bundles.stored_dashboard(_changed_store(spark, sf_dir))["sentiment_by_rating"]
+
+
+@query
+def kept_months(spark, sf_dir):
+    """Monthly volume and mean rating from the partial sums of such a store."""
+    return bundles.stored_dashboard(_changed_store(spark, sf_dir))["monthly_volume_rating"]
+
+
 @query
 def exported_csv(spark, sf_dir):
     """Lines of the CSV export without its header."""

@@ -657,3 +657,8 @@ from (
   select page_id, generate_subscripts(items, 1) as nth, unnest(items) as item
   from (select page_id, regexp_extract_all(html, '<li>.*?</li>') as items from pages))
 """
+_CHANGED = REVIEWS.replace(
+    "left join labels l on l.doc_id = d.doc_id\n)", "left join labels l on l.doc_id = d.doc_id\n  where d.source <> 'src3' or l.toxic = 1\n)"
+)
+ORACLES["kept_sentiment_by_rating"] = ORACLES["sentiment_by_rating"].replace(REVIEWS, _CHANGED)
+ORACLES["kept_months"] = ORACLES["monthly_volume_rating"].replace(REVIEWS, _CHANGED)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedbackmill import schemas
-from feedbackmill.operators.dashboard import KEY
+from feedbackmill.operators.dashboard import COUNTS, KEY, SUMS, dashboard_partials, monthly_partials
 from feedbackmill.operators.runs import latest_status
 from feedbackmill.schemas import NOT_FOUND
 from feedbackmill.session import remove_path, scratch, stage
@@ -29,7 +29,18 @@ SCHEMAS = {
     "aspect_sentiments": schemas.ASPECT_SENTIMENTS,
     "review_clusters": schemas.REVIEW_CLUSTERS,
     "term_frequencies": schemas.TERM_FREQUENCIES,
+    "review_totals": T.StructType([
+        T.StructField(KEY, T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS),
+        *(T.StructField(c, T.DoubleType()) for c in SUMS),
+    ]),
+    "review_months": T.StructType([
+        T.StructField(KEY, T.StringType()), T.StructField("period", T.StringType()),
+        T.StructField("n", T.LongType()), T.StructField("rating_sum", T.DoubleType()),
+    ]),
 }
+#: Partial sums of each generation of reviews. They hold as long as it does, so a replaced dataset takes its
+#: sums along, and what holds adds up to the sums of all its reviews.
+PARTIALS = {"review_totals": dashboard_partials, "review_months": monthly_partials}
 #: Read from the log.
 REGISTRY = "dataset_runs"
 
@@ -62,7 +73,8 @@ class ReviewStore:
 
     def live(self, table: str, key: str | None = None) -> DataFrame:
         """(business_url, generation) of what holds: the last replacement and what was added since."""
-        commits = self.log.commits().where(F.col("table_name") == table)
+        owner = "reviews" if table in PARTIALS else table
+        commits = self.log.commits().where(F.col("table_name") == owner)
         if key is not None:
             commits = commits.where(F.col(KEY) == key)
         return self.log.holding(commits).select(KEY, "generation").distinct()
@@ -77,15 +89,22 @@ class ReviewStore:
         rows = rows.join(self.live(table, key), [KEY, "generation"], "left_semi")
         return rows.select(*(f.name for f in SCHEMAS[table]))
 
-    def _add(self, table: str, rows: DataFrame) -> str:
-        """Write a generation of rows. Rebalancing gathers small buckets and splits large ones."""
-        generation = uuid.uuid4().hex
+    def _add(self, table: str, rows: DataFrame, generation: str | None = None) -> str:
+        """Write a generation of rows, and the partial sums of reviews.
+
+        Rebalancing gathers small buckets and splits large ones.
+        """
+        generation = generation or uuid.uuid4().hex
         names = [f.name for f in SCHEMAS[table]]
         keyed = rows.select(*names, F.lit(generation).alias("generation"), bucket(F.col(KEY)).alias("bucket"))
         (
             keyed.hint("rebalance", "bucket").sortWithinPartitions("bucket", KEY)
             .write.mode("append").partitionBy("generation", "bucket").parquet(self.path(table))
         )
+        if table == "reviews":
+            written = self._stored(table).where(F.col("generation") == generation)
+            for part, sums in PARTIALS.items():
+                self._add(part, sums(written), generation)
         return generation
 
     def _commit(
@@ -134,7 +153,8 @@ class ReviewStore:
             rows, held = stage(self.read(table), "compacted"), stage(held, "held")
             self._commit(table, held, self._add(table, rows), REPLACE, since, None, compacts=True)
         for generation in old:
-            remove_path(self.spark, f"{self.path(table)}/generation={generation}")
+            for name in (table, *(PARTIALS if table == "reviews" else ())):
+                remove_path(self.spark, f"{self.path(name)}/generation={generation}")
 
     def log_run(
         self, datasets: DataFrame, run_id: str, status: str, next_id: int, warnings: str = ""

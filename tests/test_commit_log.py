@@ -5,7 +5,8 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 
 from feedbackmill import schemas
-from feedbackmill.plans import ingest
+from feedbackmill.operators import dashboard
+from feedbackmill.plans import bundles, ingest
 from feedbackmill.sinks import commit_log
 from feedbackmill.sinks.commit_log import ConflictingWrite, put_if_absent
 from feedbackmill.sinks.store import ReviewStore
@@ -127,3 +128,36 @@ def test_compaction_and_other_writers(spark, tmp_path, monkeypatch):
     with pytest.raises(ConflictingWrite):
         store.compact("reviews")
     assert texts(store) == [("a", "meanwhile"), ("a", "t"), ("b", "t")]
+
+
+def test_dashboards_are_kept_up_to_date(spark, tmp_path):
+    store = ReviewStore(spark, str(tmp_path / "store"))
+    labels = ("Positive", "Negative", None, "odd")
+    rows = [
+        (i, f"k{i % 4}", "n", (None, 0.0, 2.5, 5.0, 7.0)[i % 5], ("2024-01-05", "2024-02-01", "Unknown")[i % 3], "t" * (i % 9), labels[i % 4])
+        for i in range(120)
+    ]
+    whole = spark.createDataFrame(rows, schemas.REVIEWS)
+
+    def check():
+        reviews, kept = store.read("reviews"), bundles.stored_dashboard(store)
+        again = bundles.dashboard_bundle(reviews) | {
+            "monthly_volume_rating": dashboard.monthly_volume_rating(reviews), "dataset_counts": dashboard.dataset_counts(reviews),
+            "overall_average": dashboard.overall_average(reviews),
+        }
+        assert kept.keys() == again.keys()
+        for name, chart in kept.items():
+            assert sorted(map(tuple, chart.collect()), key=str) == sorted(map(tuple, again[name].collect()), key=str), name
+            if name != "top_words":
+                assert f"{store.root}/reviews" not in chart._jdf.queryExecution().executedPlan().toString()
+
+    store.append(whole.where("id < 50"))
+    store.append(whole.where("id >= 50"))
+    check()
+    store.replace("reviews", whole.where("id % 8 = 1"), whole.where("business_url in ('k1', 'k2')"))
+    check()
+    store.clear("reviews", whole.where("business_url = 'k3'"))
+    store.compact("reviews")
+    check()
+    one = bundles.stored_dashboard(store, "k0")["dataset_counts"].collect()
+    assert [(r["business_url"], r["n"]) for r in one] == [("k0", 30)]
