@@ -170,7 +170,7 @@ def plan_packing(counts: dict[int, int], capacity: int, effort: int = SEARCH_EFF
     """Patterns and how many sequences each fills; every piece has its place.
 
     Branch and bound by bin completion, with the best-fit packing as the first incumbent. It ends
-    when a packing meets the lower bound, when all is searched, or after ``effort``.
+    when a packing meets the lower bound, when the ``FILLINGS`` of each node are searched, or after ``effort``.
     """
     counts = {n: c for n, c in counts.items() if c}
     if any(n < 1 or n > capacity for n in counts):
