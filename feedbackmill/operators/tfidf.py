@@ -1,15 +1,26 @@
-"""TF-IDF weights per business as a long table."""
+"""TF-IDF weights per business as a long table.
 
+The terms of a review are counted where it lies, and its vector is made next to the vocabulary of its
+business, so a review is moved once and no row per term is.
+"""
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedbackmill.functions.text import feature_tokens
 from feedbackmill.operators.dashboard import KEY
-from feedbackmill.operators.lookup import spread_join
+from feedbackmill.operators.lookup import attach
 from feedbackmill.operators.ranking import top_per_group
+from feedbackmill.session import stage
 
 MAX_FEATURES = 1000
+CHUNK_ROWS = 10_000  # reviews of a business that one task weighs at a time
 
 
 def english_stop_words() -> list[str]:
@@ -22,8 +33,28 @@ def with_text(reviews: DataFrame) -> DataFrame:
 
 
 def review_terms(reviews: DataFrame) -> DataFrame:
-    """The terms of each review with text, repeats and stop words included (business_url, id, terms)."""
-    return with_text(reviews).select(KEY, "id", feature_tokens(F.col("review_text")).alias("terms"))
+    """The different terms of each review with text and how often it holds each, stop words included.
+
+    (business_url, id, terms, counts); to be staged, since the vocabulary and the vectors read it.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            words = lists.flatten().dictionary_encode()
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            different = max(len(words.dictionary), 1)
+            pairs = np.repeat(np.arange(len(batch)), lengths) * different + words.indices.to_numpy()
+            pairs, counts = np.unique(pairs, return_counts=True)
+            edges = pa.array(np.searchsorted(pairs, np.arange(len(batch) + 1) * different), pa.int32())
+            terms = pa.ListArray.from_arrays(edges, words.dictionary.take(pa.array(pairs % different)))
+            counts = pa.ListArray.from_arrays(edges, pa.array(counts, pa.int32()))
+            columns = [batch.column(KEY), batch.column("id"), terms, counts]
+            yield pa.RecordBatch.from_arrays(columns, [KEY, "id", "terms", "counts"])
+
+    rows = with_text(reviews).select(KEY, "id", feature_tokens(F.col("review_text")).alias("terms"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(count, f"{KEY} string, id {kind}, terms array<string>, counts array<int>")
 
 
 def vocabulary(terms: DataFrame, stop_words: list[str], max_features: int = MAX_FEATURES) -> DataFrame:
@@ -32,16 +63,10 @@ def vocabulary(terms: DataFrame, stop_words: list[str], max_features: int = MAX_
     ``slot`` numbers the terms of a business by falling frequency, from 0. Totals and document
     frequencies come from one grouping by term, whose partial sums are as many as distinct terms.
     """
-    first = F.transform(
-        F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("total"), F.lit(1).alias("df"))
-    )
-    every = F.transform(
-        "terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("total"), F.lit(0).alias("df"))
-    )
     totals = (
-        terms.select(KEY, F.explode(F.concat(first, every)).alias("one")).select(KEY, "one.*")
+        terms.select(KEY, F.inline(F.arrays_zip("terms", "counts"))).withColumnRenamed("terms", "term")
         .where(~F.col("term").isin(*stop_words))
-        .groupBy(KEY, "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+        .groupBy(KEY, "term").agg(F.sum("counts").alias("total"), F.count("*").alias("df"))
     )
     order = [F.desc("total"), F.asc("term")]
     top = top_per_group(totals, [KEY], order, max_features, ["term"], rank="slot")
@@ -62,34 +87,72 @@ def tfidf_terms(
 ) -> DataFrame:
     """Vocabulary with total, df and idf per business and term."""
     stop = english_stop_words() if stop_words is None else stop_words
-    return vocabulary(review_terms(reviews), stop, max_features).drop("slot")
+    return vocabulary(stage(review_terms(reviews), "terms"), stop, max_features).drop("slot")
 
 
-def tfidf_vectors(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """One row per review that holds a known term: ``entries`` (slot, term, weight) by slot.
+def in_chunks(rows: DataFrame, sizes: DataFrame, chunk_rows: int) -> DataFrame:
+    """Add what ``sizes`` (business_url, docs) holds, the chunks of the business and the chunk of the row's id.
 
-    ``vocab`` is staged. Terms that it lacks are dropped before anything is sent. The weights of a
-    review are scaled to length 1.
+    A business of more than ``chunk_rows`` rows has chunks of half as many, so that more tasks share it.
     """
-    known = vocab.select(KEY, "term", "slot", "idf")
-    found = spread_join(terms.select(KEY, "id", F.explode("terms").alias("term")), known, [KEY, "term"], spread=["id"])
-    # A review lies in one task, so its terms are counted there before anything is sent.
-    raw = found.groupBy(KEY, "id", "slot", "term").agg((F.count("*") * F.first("idf")).alias("weight"))
-    by_review = raw.groupBy(KEY, "id").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "term", "weight"))).alias("entries"),
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"),
-    )
-    scaled = F.transform(
-        "entries",
-        lambda e: F.struct(
-            e["slot"].alias("slot"),
-            e["term"].alias("term"),
-            (e["weight"] / F.col("_norm")).alias("weight"),
-        ),
-    )
-    return by_review.select(KEY, "id", scaled.alias("entries"))
+    many = F.ceil(2 * F.col("docs") / chunk_rows)
+    return attach(rows, sizes, [KEY], spread=["id"]).withColumn(
+        "chunks", F.when(F.col("docs") <= chunk_rows, 1).otherwise(many).cast("int")
+    ).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+
+
+def by_chunk(rows: DataFrame) -> DataFrame:
+    """Rows dealt by chunk over all shuffle partitions: the tasks cost arithmetic, so small ones must not be merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY, "chunk")
+
+
+def beside_words(terms: DataFrame, vocab: DataFrame):
+    """Each chunk of ``terms`` next to the vocabulary of its business, one row with the terms by slot."""
+    keys = [KEY, "chunk"]
+    words = F.array_sort(F.collect_list(F.struct("slot", "term", "idf"))).alias("words")
+    chunks = terms.select(*keys).distinct().toDF(*keys)
+    copies = chunks.join(vocab.groupBy(KEY).agg(words), KEY)
+    return by_chunk(terms).groupBy(*keys).cogroup(copies.groupBy(*keys))
+
+
+def weigh(rows: pa.Table, words: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """Vectors of length 1 of the ids in a chunk: the ids, the id of each row, and slots, terms and weights of each id.
+
+    Rows of one id count as one review.
+    """
+    ids = rows["id"].combine_chunks().dictionary_encode("encode")
+    owner = ids.indices.to_numpy()
+    lists = rows["terms"].combine_chunks()
+    known = words["words"].combine_chunks().flatten()
+    width = max(len(known), 1)
+    slots = pc.index_in(lists.flatten(), value_set=known.field("term"))
+    found = slots.is_valid().to_numpy(zero_copy_only=False)
+    owners = np.repeat(owner, pc.list_value_length(lists).to_numpy(zero_copy_only=False))[found].astype(np.int64)
+    counts = rows["counts"].combine_chunks().flatten().to_numpy()[found]
+    pairs, place = np.unique(owners * width + slots.drop_null().to_numpy(), return_inverse=True)
+    owners, at = pairs // width, pairs % width
+    weights = np.bincount(place, counts, len(pairs)) * known.field("idf").to_numpy()[at]
+    norms = np.sqrt(np.bincount(owners, weights * weights, len(ids.dictionary)))
+    edges = pa.array(np.searchsorted(owners, np.arange(len(ids.dictionary) + 1)), pa.int32())
+    values = pa.array(at, pa.int32()), known.field("term").take(pa.array(at)), pa.array(weights / norms[owners])
+    return ids.dictionary, owner, *(pa.ListArray.from_arrays(edges, v) for v in values)
 
 
 def tfidf_weights(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Weight of each vocabulary term in each review that holds it."""
-    return tfidf_vectors(terms, vocab).select(KEY, "id", F.inline("entries"))
+    """Weight of each vocabulary term in each review that holds it; both tables are staged."""
+    kind = terms.schema["id"].dataType.simpleString()
+
+    def entries(key: tuple, rows: pa.Table, words: pa.Table) -> pa.Table:
+        ids, _, slots, names, weights = weigh(rows, words)
+        return pa.table({
+            KEY: pa.repeat(key[0].as_py(), len(ids)).cast(pa.string()), "id": ids,
+            "slots": slots, "terms": names, "weights": weights,
+        })
+
+    rows = in_chunks(terms, terms.groupBy(KEY).agg(F.count("*").alias("docs")), CHUNK_ROWS)
+    lists = beside_words(rows, vocab).applyInArrow(
+        entries, f"{KEY} string, id {kind}, slots array<int>, terms array<string>, weights array<double>"
+    )
+    return lists.select(KEY, "id", F.inline(F.arrays_zip(
+        F.col("slots").alias("slot"), F.col("terms").alias("term"), F.col("weights").alias("weight")
+    )))

@@ -810,7 +810,7 @@ def tfidf_terms(spark, sf_dir):
 @query
 def tfidf_weights(spark, sf_dir):
     rows = sample_reviews(spark, sf_dir, KEY, "id", "review_text")
-    found = tfidf.review_terms(rows)
+    found = stage(tfidf.review_terms(rows), "terms")
     vocab = stage(tfidf.vocabulary(found, list(terms.CLOUD_STOP_WORDS)), "vocabulary")
     out = tfidf.tfidf_weights(found, vocab)
     return out.select(KEY, "id", "term", F.round("weight", 8).alias("weight"))
@@ -837,11 +837,11 @@ GIVEN = 3  # clusters given to the steps that are checked: reviews by the remain
 def _given_topics(spark, sf_dir, stop_words, clusters=None):
     """Vectors, chunks, vocabulary and centres, the means of given clusters (business_url, id, cluster)."""
     rows = sample_reviews(spark, sf_dir, KEY, "id", "review_text")
-    found = tfidf.review_terms(rows)
+    found = stage(tfidf.review_terms(rows), "terms")
     vocab = stage(tfidf.vocabulary(found, stop_words), "vocabulary")
     width = (vocab.agg(F.max("slot")).first()[0] or 0) + 1
     sizes = topics.cluster_counts(rows, GIVEN)
-    vectors = stage(topics.review_vectors(rows, vocab, found, sizes), "vectors")
+    vectors = stage(topics.review_vectors(vocab, found, sizes), "vectors")
     chunks = stage(vectors.select(KEY, "chunk").distinct(), "chunks")
     if clusters is None:
         clusters = vectors.select(KEY, "id", F.pmod("id", F.lit(GIVEN)).cast("int").alias("cluster"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedbackmill.operators import lookup, sentiment, topics
+from feedbackmill.operators import lookup, sentiment, tfidf, topics
 from feedbackmill.operators.positions import with_line_number, with_position
 from feedbackmill.operators.ranking import top_per_group
 from feedbackmill.plans import adhoc
@@ -194,6 +194,56 @@ def test_cluster_rules(spark, monkeypatch):
     assert all(len(s) == 1 for s in subjects.values())
 
 
+def test_small_businesses_are_clustered_in_one_pass(spark, monkeypatch):
+    """A business of one chunk takes no step of the common loop, and gets the clusters that the loop gives."""
+    rng = random.Random(5)
+    words = ["pizza", "crust", "staff", "waiter", "parking", "garage", "music", "price", "table", "window"]
+    texts = [
+        (f"b{n}", 1000 * n + i, " ".join(rng.choices(words, range(1, 11), k=rng.randint(4, 15)))) for n in (5, 9, 30, 41) for i in range(n)
+    ]
+    rows = spark.createDataFrame(texts + texts[-41:], "business_url string, id long, review_text string")  # ids that come twice
+
+    def groups(chunk_rows):
+        monkeypatch.setattr(topics, "CHUNK_ROWS", chunk_rows)
+        # Starts that end alike are told apart by the last digits of their costs, so numbers may differ.
+        members = {}
+        for r in topics.cluster_reviews(rows, n_starts=4).collect():
+            members.setdefault((r["business_url"], r["cluster_id"], r["cluster_label"]), []).append(r["review_id"])
+        return sorted((url, label, sorted(ids)) for (url, _, label), ids in members.items())
+
+    together = groups(4)
+    monkeypatch.setattr(topics, "settle", lambda *args, **options: pytest.fail("a step over all tasks"))
+    assert groups(1000) == together and sum(len(ids) for *_, ids in together) == 5 + 9 + 30 + 82
+    # Of the many draws, some business stops early when only one step is allowed.
+    notes = []
+    topics.cluster_reviews(rows, max_iter=1, warnings=notes).collect()
+    assert notes == ["k-means stopped after 1 steps, with centres still moving"]
+
+
+def test_terms_are_counted_where_the_review_lies(spark):
+    """Counts, ids that come twice and null ids; the plan sends no row per term to make the weights."""
+    rows = spark.createDataFrame(
+        [("a", 1, "Red red blue x"), ("a", 1, "Red red blue x"), ("a", 2, "blue the"), ("a", 3, "... !"),
+         ("a", None, "red"), (None, 4, "red"), ("b", 5, None)],
+        "business_url string, id long, review_text string",
+    )
+    found = stage(tfidf.review_terms(rows), "terms")
+    counts = {(r["business_url"], r["id"]): dict(zip(r["terms"], r["counts"])) for r in found.collect()}
+    assert counts == {
+        ("a", 1): {"red": 2, "blue": 1}, ("a", 2): {"blue": 1, "the": 1}, ("a", 3): {}, ("a", None): {"red": 1},
+        (None, 4): {"red": 1},
+    }
+    vocab = stage(tfidf.vocabulary(found, ["the"]), "vocabulary")
+    assert {(r["term"], r["total"], r["df"]) for r in vocab.where("business_url = 'a'").collect()} == {("red", 5, 3), ("blue", 3, 3)}
+    weights = tfidf.tfidf_weights(found, vocab)
+    got = {(r["business_url"], r["id"], r["term"]): r["weight"] for r in weights.collect()}
+    assert got == pytest.approx({
+        ("a", 1, "red"): 2 / 5**0.5, ("a", 1, "blue"): 1 / 5**0.5, ("a", 2, "blue"): 1.0, ("a", None, "red"): 1.0,
+    })
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "CoGroup" in plan
+
+
 def topic_vectors(spark, dense, k, n_chunks=3):
     """Vectors of a business "u" as the operators keep them, and their chunks."""
     rows = [
