@@ -5,6 +5,7 @@ business, so a review is moved once and no row per term is.
 """
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from feedbackmill.functions.text import feature_tokens
 from feedbackmill.operators.dashboard import KEY
-from feedbackmill.operators.lookup import attach
+from feedbackmill.operators.lookup import attach, spread_join
 from feedbackmill.operators.ranking import top_per_group
+from feedbackmill.operators.word_lists import plain_or_words, row_words
 from feedbackmill.session import stage
 
 MAX_FEATURES = 1000
@@ -40,37 +42,88 @@ def review_terms(reviews: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("terms")
-            words = lists.flatten().dictionary_encode()
-            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            owner, words = row_words(batch)
+            words = words.dictionary_encode()
             different = max(len(words.dictionary), 1)
-            pairs = np.repeat(np.arange(len(batch)), lengths) * different + words.indices.to_numpy()
-            pairs, counts = np.unique(pairs, return_counts=True)
+            pairs, counts = np.unique(owner * different + words.indices.to_numpy(), return_counts=True)
             edges = pa.array(np.searchsorted(pairs, np.arange(len(batch) + 1) * different), pa.int32())
             terms = pa.ListArray.from_arrays(edges, words.dictionary.take(pa.array(pairs % different)))
             counts = pa.ListArray.from_arrays(edges, pa.array(counts, pa.int32()))
             columns = [batch.column(KEY), batch.column("id"), terms, counts]
             yield pa.RecordBatch.from_arrays(columns, [KEY, "id", "terms", "counts"])
 
-    rows = with_text(reviews).select(KEY, "id", feature_tokens(F.col("review_text")).alias("terms"))
+    text = F.col("review_text")
+    rows = with_text(reviews).select(KEY, "id", *plain_or_words(text, feature_tokens(text)))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(count, f"{KEY} string, id {kind}, terms array<string>, counts array<int>")
 
 
+def _added(urls: pa.Array, terms: pa.Array, *values: np.ndarray):
+    """Sums of ``values`` by business and term: the codes of both, their dictionaries and the sums, ordered by business."""
+    urls, terms = urls.dictionary_encode("encode"), terms.dictionary_encode()
+    different = max(len(terms.dictionary), 1)
+    pairs = urls.indices.to_numpy().astype(np.int64) * different + terms.indices.to_numpy()
+    order = np.argsort(pairs)
+    pairs, firsts = np.unique(pairs[order], return_index=True)
+    sums = [np.add.reduceat(v[order], firsts) if len(firsts) else v for v in values]
+    return pairs // different, pairs % different, urls.dictionary, terms.dictionary, *sums
+
+
 def vocabulary(terms: DataFrame, stop_words: list[str], max_features: int = MAX_FEATURES) -> DataFrame:
     """The most frequent terms of each business with document frequency and smoothed idf.
 
-    ``slot`` numbers the terms of a business by falling frequency, from 0. Totals and document
-    frequencies come from one grouping by term, whose partial sums are as many as distinct terms.
+    ``slot`` numbers the terms of a business by falling frequency, from 0. Totals and document frequencies are
+    added up within a batch of reviews, then by share: one of a business of up to ``CHUNK_ROWS`` reviews, and all
+    shares of a larger one, each with the terms that fall to it. A share keeps the first ``max_features`` terms.
     """
-    totals = (
-        terms.select(KEY, F.inline(F.arrays_zip("terms", "counts"))).withColumnRenamed("terms", "term")
-        .where(~F.col("term").isin(*stop_words))
-        .groupBy(KEY, "term").agg(F.sum("counts").alias("total"), F.count("*").alias("df"))
-    )
+    shares = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = "terms array<string>, totals array<bigint>, dfs array<bigint>"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = pa.array(stop_words, pa.string())
+        for batch in batches:
+            rows = pa.array(np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)))
+            counts = batch.column("counts").flatten().to_numpy().astype(np.int64)
+            url, term, urls, words, total, df = _added(
+                batch.column(KEY).take(rows), batch.column("terms").flatten(), counts, np.ones_like(counts)
+            )
+            kept = ~pc.is_in(words, value_set=stop).to_numpy(zero_copy_only=False)[term]
+            url, term, total, df = url[kept], term[kept], total[kept], df[kept]
+            one, every = (
+                np.array([crc32(w or b"") % shares for w in names.cast(pa.binary()).to_pylist()], np.int64) for names in (urls, words)
+            )
+            large = pc.unique(batch.column(KEY).filter(pc.greater(batch.column("docs"), CHUNK_ROWS)))
+            large = pc.is_in(urls, value_set=large).to_numpy(zero_copy_only=False)
+            lots = url * shares + np.where(large[url], every[term], one[url])
+            order = np.argsort(lots, kind="stable")
+            lots, firsts = np.unique(lots[order], return_index=True)
+            edges = pa.array(np.append(firsts, len(order)), pa.int32())
+            values = words.take(pa.array(term[order])), pa.array(total[order]), pa.array(df[order])
+            yield pa.RecordBatch.from_arrays(
+                [urls.take(pa.array(lots // shares)), pa.array(lots % shares, pa.int32()), *(pa.ListArray.from_arrays(edges, v) for v in values)],
+                [KEY, "share", "terms", "totals", "dfs"],
+            )
+
+    def first(table: pa.Table) -> pa.Table:
+        lists = [table[c].combine_chunks() for c in ("terms", "totals", "dfs")]
+        rows = np.repeat(np.arange(len(table)), pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
+        urls = table[KEY].combine_chunks().take(pa.array(rows))
+        url, term, urls, words, total, df = _added(urls, lists[0].flatten(), *(v.flatten().to_numpy() for v in lists[1:]))
+        order = np.lexsort((-total, url))
+        nth = np.arange(len(order)) - np.searchsorted(url[order], url[order])
+        # All terms as frequent as the last one stay; ties are settled by the term, by Spark.
+        last = np.zeros(len(urls), np.int64)
+        last[url[order[nth == max_features - 1]]] = total[order[nth == max_features - 1]]
+        kept = np.flatnonzero(total >= last[url])
+        columns = urls.take(pa.array(url[kept])), words.take(pa.array(term[kept])), pa.array(total[kept]), pa.array(df[kept])
+        return pa.table(columns, [KEY, "term", "total", "df"])
+
+    sizes = stage(terms.groupBy(KEY).agg(F.count("*").alias("docs")), "sizes")
+    rows = spread_join(terms.select(KEY, "id", "terms", "counts"), sizes, [KEY], spread=["id"])
+    parts = rows.select(KEY, "terms", "counts", "docs").mapInArrow(add, f"{KEY} string, share int, {lists}")
+    totals = parts.repartition(shares, "share").groupBy("share").applyInArrow(first, f"{KEY} string, term string, total long, df long")
     order = [F.desc("total"), F.asc("term")]
     top = top_per_group(totals, [KEY], order, max_features, ["term"], rank="slot")
-    sizes = terms.groupBy(KEY).agg(F.count("*").alias("docs"))
     idf = F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1
     return (
         top.join(sizes, KEY)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from feedbackmill.operators import lookup, sentiment, tfidf, topics
+from feedbackmill.functions.text import feature_tokens
+from feedbackmill.operators import lookup, sentiment, terms, tfidf, topics, word_lists
 from feedbackmill.operators.positions import with_line_number, with_position
 from feedbackmill.operators.ranking import top_per_group
 from feedbackmill.plans import adhoc
@@ -413,3 +414,71 @@ def test_refused_sql(spark, scope, sql):
     with pytest.raises(adhoc.QueryError):
         adhoc.run_query(scope, sql)
     assert scope.catalog.tableExists("reviews")
+
+
+WORD_TEXTS = [
+    "It's a Café_1 'tis ÉTÉ é x1", "naïve ÀÇ Š ŸÆ ß½ ²³ 2024 2024's", "bob's BOB'S 's ''quote'' a' s's __ _", "", None, "ab\ncd\u00a0ef", "İstanbul ἈΡΧΗ it's's 12 ٣٤",
+    "日本語 ok's", "ﬀ x", "á", "a", "ŉa ſt Ĳ", "don't can't rock'n'roll'", "x" * 300 + "é" * 300,
+]
+
+
+@pytest.mark.parametrize("cloud", [False, True])
+def test_words_are_those_of_the_patterns(spark, cloud):
+    """Words cut from bytes are those that Spark's patterns find, for plain texts and others, and in a slice of a batch."""
+    signs = "abzAZ019_' -.\u00e9\u00c9\u00d7\u00df\u00aa\u00bd\u0178\u017f\u0130\u0391\u0663"
+    rng = random.Random(1)
+    texts = WORD_TEXTS + ["".join(rng.choices(signs[:rng.choice([12, 21, len(signs)])], k=rng.randint(0, 40))) for _ in range(400)]
+    texts += [chr(i) + "b" + chr(i).upper() + "c" for i in range(1, 0x180)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    found = terms._cloud_words(F.col("t")) if cloud else feature_tokens(F.col("t"))
+    table = rows.select("id", found.alias("found"), *word_lists.plain_or_words(F.col("t"), found)).toArrow()
+    for some in (table, table.slice(3)):
+        owner, words = word_lists.row_words(some, cloud)
+        got = {i: [] for i in range(len(some))}
+        for i, word in zip(owner.tolist(), words.to_pylist()):
+            got[i].append(word)
+        assert list(got.values()) == [r or [] for r in some["found"].to_pylist()]
+
+
+def test_word_pairs_take_no_row_each(spark, monkeypatch):
+    """Groups counted by lot give the terms that rows per pair give; no row per word or pair is made for them."""
+    rng = random.Random(2)
+    words = "pizza pizzas crust the boss bosses staff it's bob's bobs été 12 glass glasses s is" .split()
+    texts = [
+        (rng.choice(["a", "b", "c", None]), rng.choice(["Positive", "Negative", "Neutral"]), " ".join(["new york's", *rng.choices(words, k=rng.randint(0, 12))]))
+        for _ in range(600)
+    ] + [("d", "Positive", None), ("e", "Positive", "!"), ("f", "Negative", "日本 日本")]
+    rows = spark.createDataFrame(texts + texts[:50], "business_url string, sentiment string, review_text string")
+    for options in ({"stop_words": ("pizza",)}, {"merge_plurals": True, "n": 5}):
+        clouds = terms.term_frequencies(rows, collocations=True, **options)
+        assert "explode" not in clouds._jdf.queryExecution().optimizedPlan().toString()
+        with monkeypatch.context() as patch:
+            patch.setattr(terms, "CLOUD_BYTES", -1)
+            plain = terms.term_frequencies(rows, collocations=True, **options).collect()
+        with monkeypatch.context() as patch:  # some groups by lot, some not
+            patch.setattr(terms, "CLOUD_BYTES", 3000)
+            both = terms.term_frequencies(rows, collocations=True, **options).collect()
+        assert sorted(clouds.collect(), key=str) == sorted(plain, key=str) == sorted(both, key=str)
+        assert any(" " in r["term"] for r in plain)
+
+
+def test_large_vocabularies_are_added_by_share(spark, monkeypatch):
+    """A business of many reviews spreads its terms over shares; ties at the end of a vocabulary go by the term."""
+    rng = random.Random(3)
+    texts = [(rng.choice(["a", "b", None]), i, " ".join(rng.choices([f"w{j:02}" for j in range(40)] + ["the", "été"], k=12))) for i in range(80)]
+    found = stage(tfidf.review_terms(spark.createDataFrame(texts, "business_url string, id long, review_text string").repartition(5)), "terms")
+    plan = tfidf.vocabulary(found, ["the"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "inline" not in plan
+    totals, dfs = {}, {}
+    for url, _, text in texts:
+        for word in text.split():
+            totals.setdefault(url, {}).setdefault(word, []).append(word)
+        for word in set(text.split()):
+            dfs[url, word] = dfs.get((url, word), 0) + 1
+    for rows in (10_000, 10):
+        monkeypatch.setattr(tfidf, "CHUNK_ROWS", rows)
+        got = {(r["business_url"], r["slot"]): (r["term"], r["total"], r["df"]) for r in tfidf.vocabulary(found, ["the"], 7).collect()}
+        for url in ("a", "b"):
+            best = sorted((-len(v), w) for w, v in totals[url].items() if w != "the")[:7]
+            assert [got[url, i] for i in range(7)] == [(w, -n, dfs[url, w]) for n, w in best]
+        assert len(got) == 14
