@@ -58,15 +58,16 @@ def review_terms(reviews: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, f"{KEY} string, id {kind}, terms array<string>, counts array<int>")
 
 
-def _added(urls: pa.Array, terms: pa.Array, *values: np.ndarray):
-    """Sums of ``values`` by business and term: the codes of both, their dictionaries and the sums, ordered by business."""
+def _added(urls: pa.Array, rows: np.ndarray, terms: pa.Array, *values: np.ndarray):
+    """Sums of ``values`` by the business in ``urls`` of the row and by term: codes, dictionaries and sums, by business."""
     urls, terms = urls.dictionary_encode("encode"), terms.dictionary_encode()
     different = max(len(terms.dictionary), 1)
-    pairs = urls.indices.to_numpy().astype(np.int64) * different + terms.indices.to_numpy()
+    pairs = urls.indices.to_numpy().astype(np.int64)[rows] * different + terms.indices.to_numpy()
     order = np.argsort(pairs)
-    pairs, firsts = np.unique(pairs[order], return_index=True)
+    pairs = pairs[order]
+    firsts = np.flatnonzero(np.diff(pairs, prepend=-1))
     sums = [np.add.reduceat(v[order], firsts) if len(firsts) else v for v in values]
-    return pairs // different, pairs % different, urls.dictionary, terms.dictionary, *sums
+    return *np.divmod(pairs[firsts], different), urls.dictionary, terms.dictionary, *sums
 
 
 def vocabulary(terms: DataFrame, stop_words: list[str], max_features: int = MAX_FEATURES) -> DataFrame:
@@ -82,10 +83,10 @@ def vocabulary(terms: DataFrame, stop_words: list[str], max_features: int = MAX_
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = pa.array(stop_words, pa.string())
         for batch in batches:
-            rows = pa.array(np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)))
+            rows = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False))
             counts = batch.column("counts").flatten().to_numpy().astype(np.int64)
             url, term, urls, words, total, df = _added(
-                batch.column(KEY).take(rows), batch.column("terms").flatten(), counts, np.ones_like(counts)
+                batch.column(KEY), rows, batch.column("terms").flatten(), counts, np.ones_like(counts)
             )
             kept = ~pc.is_in(words, value_set=stop).to_numpy(zero_copy_only=False)[term]
             url, term, total, df = url[kept], term[kept], total[kept], df[kept]
@@ -107,8 +108,8 @@ def vocabulary(terms: DataFrame, stop_words: list[str], max_features: int = MAX_
     def first(table: pa.Table) -> pa.Table:
         lists = [table[c].combine_chunks() for c in ("terms", "totals", "dfs")]
         rows = np.repeat(np.arange(len(table)), pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
-        urls = table[KEY].combine_chunks().take(pa.array(rows))
-        url, term, urls, words, total, df = _added(urls, lists[0].flatten(), *(v.flatten().to_numpy() for v in lists[1:]))
+        values = [v.flatten().to_numpy() for v in lists[1:]]
+        url, term, urls, words, total, df = _added(table[KEY].combine_chunks(), rows, lists[0].flatten(), *values)
         order = np.lexsort((-total, url))
         nth = np.arange(len(order)) - np.searchsorted(url[order], url[order])
         # All terms as frequent as the last one stay; ties are settled by the term, by Spark.
