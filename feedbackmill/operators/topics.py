@@ -41,7 +41,7 @@ from feedbackmill.session import stage
 log = logging.getLogger(__name__)
 
 MIN_TEXTS = 5
-DENSE_ROWS = 2_048  # vectors unpacked at a time inside it
+DENSE_ROWS = 128  # vectors unpacked at a time inside it, few enough for a processor's cache
 SAME = 1e-9  # squared distance up to which vectors of length 1 count as equal
 
 
@@ -108,11 +108,13 @@ class Rows:
 
     def squares(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Slices of the vectors, dense, with the squared distance of each to every point."""
-        lengths = (points * points).sum(axis=1)
+        lengths, twice = (points * points).sum(axis=1), 2 * points.T
+        owner = np.repeat(np.arange(len(self)), np.diff(self.edges))
+        own = np.bincount(owner, self.weights * self.weights, len(self))
         for i in range(0, len(self), DENSE_ROWS):
-            dense = self.dense(i, min(i + DENSE_ROWS, len(self)), points.shape[1])
-            squares = (dense * dense).sum(axis=1)[:, None] + lengths - 2 * dense @ points.T
-            yield dense, np.maximum(squares, 0.0)
+            last = min(i + DENSE_ROWS, len(self))
+            dense = self.dense(i, last, points.shape[1])
+            yield dense, np.maximum(own[i:last, None] + lengths - dense @ twice, 0.0)
 
 
 def _edges(parts: list) -> np.ndarray:

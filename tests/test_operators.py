@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +256,20 @@ def topic_vectors(spark, dense, k, n_chunks=3):
     return vectors, stage(vectors.select("business_url", "chunk").distinct(), "chunks")
 
 
+def test_distances_are_taken_in_slices_of_a_cache():
+    """Slices at the full width hold 2 MB at most; empty vectors lie at their distance from the origin."""
+    rng = np.random.default_rng(11)
+    dense = rng.random((300, 7)) * (rng.random((300, 7)) > 0.6)
+    dense[[0, 150, 299]] = 0
+    lists = {"slots": [np.flatnonzero(v).tolist() for v in dense], "weights": [v[v != 0].tolist() for v in dense]}
+    schema = pa.schema({"slots": pa.list_(pa.int32()), "weights": pa.list_(pa.float64())})
+    points = np.vstack([dense[[4, 9]], np.full(7, 3.0), np.zeros(7)])
+    found = list(topics.Rows(pa.table(lists, schema)).squares(points))
+    assert (np.concatenate([part for part, _ in found]) == dense).all()
+    assert np.allclose(np.concatenate([squares for _, squares in found]), ((dense[:, None] - points) ** 2).sum(axis=2))
+    assert max(len(part) for part, _ in found) * tfidf.MAX_FEATURES * 8 <= 2 * 1024 * 1024
+
+
 def topic_centres(spark, starts):
     rows = [("u", i, np.asarray(p).ravel().tolist(), float("inf"), True) for i, p in enumerate(starts)]
     return spark.createDataFrame(rows, "business_url string, start int, points array<double>, cost double, moving boolean")
